@@ -61,7 +61,7 @@ def draw(doc_id: Column, text: Column, seed: int) -> Column:
 
 def quality_weight(text: Column) -> Column:
     """From 0.05 to 1: the fourth power of the share of characters that aren't mark-up or currency symbols."""
-    clean = F.length(F.translate(text, "#*$%&|<>", "")) / F.length(text)
+    clean = F.try_divide(F.length(F.translate(text, "#*$%&|<>", "")), F.length(text))
     return F.coalesce(F.greatest(F.lit(0.05), clean * clean * clean * clean), F.lit(0.05))
 
 
@@ -84,7 +84,7 @@ def mix_sources(
     # A key k of weight 1 is below the share 1 - exp(-k) of the draws; lower weights only spread the upper bins.
     bins = F.greatest(F.lit(1.0), F.ceil(F.col("n") / bin_rows).cast("double"))
     plans = totals.join(source_targets(totals.select("source", "source_size"), weights, share, max_epochs).withColumnRenamed("source", "s").withColumnRenamed("source_size", "z"), F.col("source").eqNullSafe(F.col("s"))).drop("s", "z")
-    full = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
+    full = F.coalesce(F.floor(F.try_divide("target", "source_size")), F.lit(0))
     plans = cut(plans.withColumn("full", full.cast("long")).withColumn("rest", F.col("target") - F.col("full") * F.col("source_size")).withColumn("bins", bins).withColumnRenamed("source", "s"))
     planned = sized.join(plans, F.col("source").eqNullSafe(F.col("s"))).drop("s")
     binned = planned.withColumn("bin", F.least(F.col("bins") - 1, F.floor((1 - F.exp(-F.col("key"))) * F.col("bins"))).cast("long"))
