@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaykit.llm import chat_format, decontaminate, mixing, quality_rules, token_counts, url_filter
+from assaykit.llm import chat_format, decontaminate, jaccard_join, mixing, quality_rules, token_counts, url_filter
 from assaykit.llm.common import table
 
 #: The listed hosts and path prefixes.
@@ -38,6 +38,25 @@ FROM doc_words LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc
 """
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_groups(table(spark, sf_dir, "documents"))
+
+
+OP2_SQL = r"""
+WITH RECURSIVE doc_words AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+sets AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 4), ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 3))) AS i FROM doc_words WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sets a JOIN sets b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM pairs JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y WHERE 100 * c >= 80 * (a.n + b.n - c)),
+both AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT reach.x, both.y FROM reach JOIN both ON reach.y = both.x)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, (SELECT min(y) FROM reach WHERE x = doc_id) AS component_id
+FROM documents LEFT JOIN sizes USING (doc_id)
+"""
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_filter.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
@@ -107,6 +126,7 @@ FROM placed
 def queries() -> dict:
     return {
         "op1_decontaminate": op1_decontaminate,
+        "op2_jaccard_join": op2_jaccard_join,
         "op3_url_filter": op3_url_filter,
         "op4_quality_rules": op4_quality_rules,
         "op5_count_tokens": op5_count_tokens,
@@ -118,6 +138,7 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_decontaminate": OP1_SQL,
+        "op2_jaccard_join": OP2_SQL,
         "op3_url_filter": OP3_SQL,
         "op10_mix_sources": OP10_SQL,
     }
