@@ -87,12 +87,18 @@ def split_bytes(lengths: np.ndarray, blob: bytes) -> list[bytes]:
 
 
 def documents_in_blocks(batches: Iterable[pa.RecordBatch], block_bytes: int) -> Iterator[tuple[list, list]]:
-    """(ids, texts as UTF-8 bytes or None) of about block_bytes each; a longer text is a block of its own."""
+    """(ids, texts as UTF-8 bytes or None) of about block_bytes each; a longer text is a block of its own.
+
+    Columns: id, text and possibly more; an id is then a tuple of the id and those.
+    """
     ids: list = []
     texts: list = []
     size = 0
     for batch in batches:
-        for i, t in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
+        keys = batch.column(0).to_pylist()
+        if batch.num_columns > 2:
+            keys = list(zip(keys, *(c.to_pylist() for c in batch.columns[2:]), strict=True))
+        for i, t in zip(keys, batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
             ids.append(i)
             texts.append(t)
             size += 16 + len(t or b"")
@@ -121,7 +127,7 @@ def block_exchange(
     *,
     block_bytes: int = 4 << 20,
 ) -> DataFrame:
-    """docs has two columns, an id and a text; the result has the columns of schema, as merge() returns them.
+    """docs has an id, a text and possibly more columns; the result has the columns of schema, as merge() returns them.
 
     make(ids, texts, buckets): a block's notes, and its request to each bucket that it has items of.
     serve(requests): from all (block, request) of a bucket, (block, reply) for those that get one.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaykit.llm import chat_format, decontaminate, jaccard_join, mixing, quality_rules, token_counts, url_filter
+from assaykit.llm import chat_format, decontaminate, jaccard_join, mixing, quality_rules, substring_dedup, token_counts, url_filter
 from assaykit.llm.common import table
 
 #: The listed hosts and path prefixes.
@@ -50,8 +50,8 @@ sets AS (
 sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
 pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sets a JOIN sets b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
 links AS (SELECT x, y FROM pairs JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y WHERE 100 * c >= 80 * (a.n + b.n - c)),
-both AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
-reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT reach.x, both.y FROM reach JOIN both ON reach.y = both.x)
+ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT reach.x, ways.y FROM reach JOIN ways ON reach.y = ways.x)
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, (SELECT min(y) FROM reach WHERE x = doc_id) AS component_id
 FROM documents LEFT JOIN sizes USING (doc_id)
 """
@@ -93,6 +93,23 @@ def op8_format_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(chat_format.format_conversations(turns))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring_dedup.remove_repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+OP9_SQL = r"""
+WITH doc_words AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+windows AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i + 12), ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM doc_words WHERE len(w) >= 13)),
+firsts AS (SELECT g, min(doc_id) AS owner FROM windows GROUP BY g),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS k FROM windows JOIN firsts USING (g) WHERE owner < doc_id),
+placed AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS k FROM doc_words),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY k) AS t, count(*) AS n FROM placed ANTI JOIN gone USING (doc_id, k) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM doc_words LEFT JOIN kept USING (doc_id)
+"""
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -131,6 +148,7 @@ def queries() -> dict:
         "op4_quality_rules": op4_quality_rules,
         "op5_count_tokens": op5_count_tokens,
         "op8_format_chat": op8_format_chat,
+        "op9_substring_dedup": op9_substring_dedup,
         "op10_mix_sources": op10_mix_sources,
     }
 
@@ -140,5 +158,6 @@ def oracle_sql() -> dict[str, str]:
         "op1_decontaminate": OP1_SQL,
         "op2_jaccard_join": OP2_SQL,
         "op3_url_filter": OP3_SQL,
+        "op9_substring_dedup": OP9_SQL,
         "op10_mix_sources": OP10_SQL,
     }
