@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +45,15 @@ def small_bytes(df: DataFrame, size: Column, max_bytes: int) -> DataFrame:
     return F.broadcast(df) if total <= max_bytes else df.hint("shuffle_hash")
 
 
+def share(spark: SparkSession, value) -> Broadcast:
+    """A broadcast of value whose classes travel with it; read it with received()."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def received(shared: Broadcast):
+    return pickle.loads(shared.value)
+
+
 def word_count(text: Column) -> Column:
     """Number of words; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from assaykit.llm.common import received, share
 from assaykit.llm.exchange import documents_in_blocks
 
 #: Lower-cases A-Z and turns what isn't part of a word into spaces.
@@ -127,9 +128,10 @@ def find_contamination(
     shards = []
     for k in range(n_shards):
         part = rows if n_shards == 1 else rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(n_shards)) == k)
-        shards.append(session.sparkContext.broadcast(compile_items([(r["item"], r["text"]) for r in part.toLocalIterator()], window)))
+        shards.append(share(session, compile_items([(r["item"], r["text"]) for r in part.toLocalIterator()], window)))
 
     def run(batches):
+        single = received(shards[0]) if len(shards) == 1 else None
         for ids, texts in documents_in_blocks(batches, block_bytes):
             words = [words_of(t) for t in texts]
             # A 0 between documents, which no window holds, keeps occurrences inside one of them.
@@ -139,7 +141,7 @@ def find_contamination(
             cover = np.zeros(size + 1, np.int32)
             found: list[set[str]] = [set() for _ in ids]
             for shard in shards:
-                vocabulary, groups = shard.value
+                vocabulary, groups = single or received(shard)
                 number = np.zeros(size, np.int32)
                 for at, w in zip(first.tolist(), words, strict=True):
                     number[at : at + len(w)] = np.fromiter(map(vocabulary.get, w, repeat(0)), np.int32, len(w))

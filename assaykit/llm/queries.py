@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaykit.llm import chat_format, decontaminate, jaccard_join, mixing, quality_rules, substring_dedup, token_counts, url_filter
+from assaykit.llm import chat_format, decontaminate, jaccard_join, language_id, mixing, quality_classifier, quality_rules, substring_dedup, token_counts, url_filter
 from assaykit.llm.common import table
 
 #: The listed hosts and path prefixes.
@@ -87,6 +87,16 @@ def op5_count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
         return token_counts.count_tokens(table(spark, sf_dir, "documents"), f.read())
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality_classifier.classify_quality(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return language_id.identify(docs).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op8_format_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     added = spark.sql("SELECT -1L AS conv_id, 0L AS turn, 'user' AS role, :t AS text UNION ALL SELECT -1L, 1L, 'assistant', :t", args={"t": IMITATION})
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(added)
@@ -147,6 +157,8 @@ def queries() -> dict:
         "op3_url_filter": op3_url_filter,
         "op4_quality_rules": op4_quality_rules,
         "op5_count_tokens": op5_count_tokens,
+        "op6_quality_classifier": op6_quality_classifier,
+        "op7_language_id": op7_language_id,
         "op8_format_chat": op8_format_chat,
         "op9_substring_dedup": op9_substring_dedup,
         "op10_mix_sources": op10_mix_sources,
