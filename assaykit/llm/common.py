@@ -17,17 +17,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the folder named by spark.checkpoint.dir, so that a lost executor costs no recomputation.
+def scratch_folder(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir, which all executors share.
 
-    Only where the session names no folder, as in tests on one machine, a temporary one is set.
+    Only where the session names none, as in tests on one machine, a temporary one is set.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if named is None and not context.master.startswith("local"):
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not context.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="assaykit-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise df in the shared folder, so that a lost executor costs no recomputation of what led to it."""
+    scratch_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -11,7 +11,7 @@ The number of bins follows the number of documents, so that such a bin holds abo
 
 Defined cases: a null text has size 0 and is taken 0 times; a null source is a source of its own, sorted last; a
 document's key depends on its id and text, so repeated rows tie and are taken one after the other; an empty table
-gives an empty result; a total of 0 gives targets of 0. Other columns are kept unless they clash with those added.
+gives an empty result; a total of 0 gives targets of 0. Other columns are not read, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -23,7 +23,6 @@ from pyspark.sql import functions as F
 
 from assaykit.llm.common import cut, word_count
 
-ADDED = ("size", "source_size", "target", "taken", "epochs")
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float] = (3.0, 1.0, 2.0), share: float = 1.5, max_epochs: int = 2) -> DataFrame:
@@ -77,9 +76,9 @@ def mix_sources(
     text: str = "text",
     source: str = "source",
 ) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken, epochs): epochs is how often the mix takes the document."""
+    """(doc_id, text_hash, source, size, source_size, target, taken, epochs): epochs is how often the mix takes the document."""
     exponential = -F.log(draw(F.col(doc_id), F.col(text), seed)) / quality_weight(F.col(text))
-    sized = cut(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), exponential.alias("key")))
+    sized = cut(docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), exponential.alias("key")))
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     # A key k of weight 1 is below the share 1 - exp(-k) of the draws; lower weights only spread the upper bins.
     bins = F.greatest(F.lit(1.0), F.ceil(F.col("n") / bin_rows).cast("double"))
@@ -100,4 +99,4 @@ def mix_sources(
     start = F.col("before") + F.coalesce(F.sum("size").over(in_bin), F.lit(0))
     sorted_bin = marked.where(F.col("bin") == F.col("end_bin")).withColumn("extra", (start + F.col("size") / 2 <= F.col("rest")).cast("long"))
     out = decided.unionByName(sorted_bin).withColumn("epochs", F.when(F.col("size") > 0, F.col("full") + F.when(F.col("rest") > 0, F.col("extra")).otherwise(F.lit(0))).otherwise(F.lit(0)))
-    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("epochs")).alias("taken"), F.col("epochs").cast("long").alias("epochs"))
+    return out.select("doc_id", "text_hash", "source", "size", "source_size", "target", (F.col("size") * F.col("epochs")).alias("taken"), F.col("epochs").cast("long").alias("epochs"))
