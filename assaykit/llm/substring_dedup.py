@@ -36,8 +36,10 @@ from assaykit.llm.shingles import Powers, Words
 ADDED = ("n_words", "n_removed", "kept_text")
 ANCHORS = "doc_id long, text_hash long, anchors array<long>"
 MARKS = "doc_id long, text_hash long, starts array<int>, lengths array<int>"
-#: Letters below the surrogates and above them.
-GAP, GAP_SIZE, LETTERS = 0xD800, 0x800, 0x10F000
+#: Words are spelled with these in automata.
+LETTERS = "".join(map(chr, range(0x30, 0x70)))
+#: A bucket's passages are dealt by anchor to this many automata.
+SHARDS = 16
 
 
 def text_hash(raw: bytes | None) -> int:
@@ -97,17 +99,19 @@ def passages(words: Words, wanted: np.ndarray, window: int, anchor: int) -> list
 
 
 def occurrences(texts: dict[bytes, tuple[int, int]], window: int) -> dict[bytes, tuple[list[int], list[int]]]:
-    """For each passage (with the smallest and largest id it comes from): first words of its confirmed windows, their smallest ids."""
+    """For each passage (with the smallest and largest id it comes from): first words of its confirmed windows, their smallest ids.
+
+    A word is spelled with the fewest letters of a small alphabet that tell the words apart: an automaton looks
+    through a node's children one by one, and the root would have one for each word.
+    """
     number: dict[bytes, int] = {}
     numbered = {t: [number.setdefault(w, len(number)) for w in t.split(b" ")] for t in texts}
-    width = 1 if len(number) <= LETTERS else 2
-
-    def letters(n: int) -> str:
-        parts = [n] if width == 1 else [n // LETTERS, n % LETTERS]
-        return "".join(chr(p if p < GAP else p + GAP_SIZE) for p in parts)
-
-    alphabet = [letters(n) for n in range(len(number))]
+    width = 1
+    while len(LETTERS) ** width < len(number):
+        width += 1
+    alphabet = ["".join(LETTERS[n // len(LETTERS) ** i % len(LETTERS)] for i in range(width)) for n in range(len(number))]
     spelled = {t: "".join([alphabet[n] for n in ns]) for t, ns in numbered.items()}
+    del numbered
     seen: dict[str, tuple[int, int]] = {}
     size = window * width
     for t, (low, high) in texts.items():
@@ -145,16 +149,16 @@ def repeated_words(docs: DataFrame, window: int, anchor: int, block_bytes: int)
         found: dict[bytes, list] = {}
         for first, n, a in passages(words, wanted, window, anchor):
             text = b" ".join(raw[start[first] : end[first + n - 1]].split())
-            entry = found.setdefault(text, [a * buckets >> BITS, [], []])
+            entry = found.setdefault(text, [a * buckets * SHARDS >> BITS, [], []])
             d = int(words.of[first])
             entry[1].append(d)
             entry[2].append(first - int(words.first[d]))
         ordered = sorted(found.items(), key=lambda e: e[1][0])
         doc_ids = [i for i, _, _ in ids]
         requests: dict[int, list] = {}
-        for text, (bucket, of, _) in ordered:
+        for text, (shard, of, _) in ordered:
             own = [doc_ids[d] for d in of]
-            requests.setdefault(bucket, []).append((text, min(own), max(own)))
+            requests.setdefault(shard // SHARDS, []).append((text, min(own), max(own), shard % SHARDS))
         notes = pack(
             np.array(doc_ids, np.int64),
             np.array([h for _, h, _ in ids], np.int64).view(np.uint64),
@@ -162,19 +166,21 @@ def repeated_words(docs: DataFrame, window: int, anchor: int, block_bytes: int)
             np.array([d for _, e in ordered for d in e[1]], np.int64),
             np.array([f for _, e in ordered for f in e[2]], np.int64),
         )
-        return notes, {b: pack(*join_bytes([t for t, _, _ in r]), np.array([x for _, x, _ in r], np.int64), np.array([x for _, _, x in r], np.int64)) for b, r in requests.items()}
+        return notes, {b: pack(*join_bytes([t for t, *_ in r]), *(np.array([x[i] for x in r], np.int64) for i in (1, 2, 3))) for b, r in requests.items()}
 
     def serve(requests):
-        every: dict[bytes, tuple[int, int]] = {}
+        shards: list[dict[bytes, tuple[int, int]]] = [{} for _ in range(SHARDS)]
         asked = []
         for block, payload in requests:
-            lengths, blob, low, high = unpack(payload)
+            lengths, blob, low, high, shard = unpack(payload)
             texts = split_bytes(lengths, blob)
             asked.append((block, texts, high.tolist()))
-            for t, a, b in zip(texts, low.tolist(), high.tolist(), strict=True):
-                known = every.get(t)
-                every[t] = (a, b) if known is None else (min(a, known[0]), max(b, known[1]))
-        found = occurrences(every, window)
+            for t, a, b, k in zip(texts, low.tolist(), high.tolist(), shard.tolist(), strict=True):
+                known = shards[k].get(t)
+                shards[k][t] = (a, b) if known is None else (min(a, known[0]), max(b, known[1]))
+        found: dict[bytes, tuple[list[int], list[int]]] = {}
+        while shards:  # one automaton at a time
+            found.update(occurrences(shards.pop(), window))
         for block, texts, high in asked:
             counts, places, owners = [], [], []
             for t, b in zip(texts, high, strict=True):
@@ -201,7 +207,7 @@ def repeated_words(docs: DataFrame, window: int, anchor: int, block_bytes: int)
         # Windows that touch or overlap are one range.
         new = np.append(True, (doc[1:] != doc[:-1]) | (word[1:] > word[:-1] + window)) if len(doc) else np.empty(0, bool)
         heads = np.flatnonzero(new)
-        last = np.append(heads[1:], len(doc)) - 1
+        last = np.append(heads[1:], len(doc))[: len(heads)] - 1
         starts, sizes, owner = word[heads], word[last] + window - word[heads], doc[heads]
         some, at = np.unique(owner, return_index=True)
         ends = pa.array(np.append(at, len(owner)), pa.int32())

@@ -55,12 +55,20 @@ def test_hash_is_sparks(spark):
     assert spark.range(1).select(F.xxhash64(F.lit(None).cast("string")).alias("h")).first()["h"] == text_hash(None)
 
 
-def test_more_words_than_letters():
-    many = {b" ".join(b"%d" % n for n in range(LETTERS + 50)): (1, 1), b" ".join(b"%d" % n for n in range(LETTERS - 20, LETTERS + 20)): (2, 2)}
+def test_words_of_several_letters():
+    n = len(LETTERS) ** 2 + 500
+    many = {b" ".join(b"%d" % i for i in range(n)): (1, 1), b" ".join(b"%d" % i for i in range(4000, 4040)): (2, 2), b"x " * 12 + b"y": (3, 4), b"x " * 12 + b"z": (5, 5)}
     found = occurrences(many, 13)
-    short = min(many, key=len)
-    assert found[short] == (list(range(28)), [1] * 28)
-    assert found[max(many, key=len)] == (list(range(LETTERS - 20, LETTERS + 8)), [1] * 28)
+    short = b" ".join(b"%d" % i for i in range(4000, 4040))
+    assert found == {short: (list(range(28)), [1] * 28), max(many, key=len): (list(range(4000, 4028)), [1] * 28), b"x " * 12 + b"y": ([0], [3])}
+
+
+def test_no_repeats_at_all(spark):
+    rng = random.Random(5)
+    rows = [(i, prose(rng, 40, 10**9)) for i in range(20)]
+    shared = " ".join(f"s{i}" for i in range(13))
+    assert remove_repeats(docs(spark, rows)).agg(F.sum("n_removed")).first()[0] == 0
+    assert remove_repeats(docs(spark, [*rows, (7, shared), (7, shared + " x")])).agg(F.sum("n_removed")).first()[0] == 0
 
 
 def test_empty_table(spark):
