@@ -45,12 +45,6 @@ def small_side(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
-def small_bytes(df: DataFrame, size: Column, max_bytes: int) -> DataFrame:
-    """df, marked for broadcast if its rows' sizes add up to at most max_bytes, for a hash table per partition otherwise."""
-    total = df.agg(F.sum(size.cast("long"))).first()[0] or 0
-    return F.broadcast(df) if total <= max_bytes else df.hint("shuffle_hash")
-
-
 def share(spark: SparkSession, value) -> Broadcast:
     """A broadcast of value whose classes travel with it; read it with received()."""
     return spark.sparkContext.broadcast(cloudpickle.dumps(value))

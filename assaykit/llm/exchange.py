@@ -45,7 +45,7 @@ def pack(*arrays: np.ndarray | bytes) -> bytes:
             out.append((b"S" if signed else b"U") + len(a).to_bytes(8, "little") + bytes([width]) + planes)
         else:
             raise TypeError(a.dtype)
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(out))
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(out))
 
 
 def unpack(data: bytes) -> list:

@@ -28,10 +28,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assaykit.llm.common import cut, small_bytes
+from assaykit.llm.common import cut
 from assaykit.llm.exchange import block_exchange, join_bytes, pack, split_bytes, unpack
 from assaykit.llm.recurring import BITS, recurring_items, short
-from assaykit.llm.shingles import Powers, Words
+from assaykit.llm.shingles import Powers, Words, mix
 
 ADDED = ("n_words", "n_removed", "kept_text")
 ANCHORS = "doc_id long, text_hash long, anchors array<long>"
@@ -54,7 +54,8 @@ def window_anchors(words: Words, window: int, anchor: int) -> tuple[np.ndarray,
     least = runs[:n].copy()
     for i in range(1, window - anchor + 1):
         np.minimum(least, runs[i : i + n], out=least)
-    return short(least), words.of[:n] == words.of[window - 1 : window - 1 + n] if n else np.empty(0, bool)
+    # Mixed again: the smallest of several hashes is a small one, and buckets are cut from the hash space.
+    return short(mix(least)), words.of[:n] == words.of[window - 1 : window - 1 + n] if n else np.empty(0, bool)
 
 
 def _keys(of: np.ndarray, item: np.ndarray) -> np.ndarray:
@@ -242,7 +243,6 @@ def remove_repeats(
     doc_id: str = "doc_id",
     text: str = "text",
     block_bytes: int = 4 << 20,
-    broadcast_bytes: int = 4 << 20,
 ) -> DataFrame:
     """docs with n_words, n_removed and kept_text (the words that stay, joined by one space)."""
     docs = docs.drop(*ADDED)
@@ -252,7 +252,7 @@ def remove_repeats(
     hashed = rows.withColumn("text_hash", F.xxhash64("text"))
     suspects = hashed.join(some, (F.col("doc_id") == F.col("i")) & (F.col("text_hash") == F.col("h"))).select("doc_id", "text", "text_hash", "anchors")
     marks = cut(repeated_words(suspects, window, anchor, block_bytes)).groupBy("doc_id", "text_hash").agg(F.any_value("starts").alias("_starts"), F.any_value("lengths").alias("_lengths"))
-    marks = small_bytes(cut(marks.select(F.col("doc_id").alias("_i"), F.col("text_hash").alias("_h"), "_starts", "_lengths")), 32 + 8 * F.size("_starts"), broadcast_bytes)
+    marks = marks.select(F.col("doc_id").alias("_i"), F.col("text_hash").alias("_h"), "_starts", "_lengths").hint("shuffle_hash")
     marked = docs.join(marks, (F.col(doc_id).cast("long") == F.col("_i")) & (F.xxhash64(F.col(text).cast("string")) == F.col("_h")), "left")
     without = F.pandas_udf(_without, "n_words long, n_removed long, kept_text string")
     return marked.withColumn("_out", without(F.col(text).cast("string"), "_starts", "_lengths")).select(*docs.columns, "_out.n_words", "_out.n_removed", "_out.kept_text")

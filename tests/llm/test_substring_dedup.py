@@ -39,11 +39,11 @@ def rows_of(seed):
     return rows
 
 
-@pytest.mark.parametrize(("block", "broadcast"), [(1500, 0), (1 << 22, 1 << 22)])
-def test_matches_brute_force(spark, block, broadcast):
+@pytest.mark.parametrize("block", [1500, 1 << 22])
+def test_matches_brute_force(spark, block):
     rows = rows_of(21)
     table = docs(spark, rows).withColumn("n_words", F.lit("clash"))
-    got = remove_repeats(table.repartition(3), block_bytes=block, broadcast_bytes=broadcast)
+    got = remove_repeats(table.repartition(3), block_bytes=block)
     assert got.columns == ["doc_id", "text", "lang", "source", "n_chars", "n_words", "n_removed", "kept_text"]
     assert sorted(str((r["doc_id"], r["n_words"], r["n_removed"], r["kept_text"])) for r in got.collect()) == brute(rows)
 
