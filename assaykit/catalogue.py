@@ -1,11 +1,380 @@
-"""Queries registered with the driver, each with its SQL."""
+"""Queries registered with the driver, each with its SQL.
+
+The tables hold no nulls, so each query derives its violations from whole tables by a fixed rule, on both sides.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from assaykit.functions import scalars
+from assaykit.model import Rule, RuleType, Target
+from assaykit.operators.engine import quarantine
+from assaykit.operators.report import rollup
+from assaykit.operators.schema_check import check_fields
+from assaykit.plans.compat import desired_rule, matrix_rows
+from assaykit.plans.fusion import duplicates, rule_counts, samples, violations
+from assaykit.plans.types import TypeInfo
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+#: Derived columns: query's table, name, Spark SQL, DuckDB SQL (where it differs).
+_EMAIL = (
+    "CASE WHEN o_orderkey % 11 = 0 THEN NULL WHEN o_orderkey % 7 = 0 THEN concat('user', o_custkey, '.example.com') "
+    "WHEN o_orderkey % 5 = 0 THEN concat('u', o_custkey, '@example.org') ELSE concat('u', o_custkey, '@example.com') END"
+)
+_ISO = "CASE o_orderkey % 6 WHEN 0 THEN '2023-02-31' WHEN 1 THEN '2023-1-05' WHEN 2 THEN '' WHEN 3 THEN NULL WHEN 4 THEN '2024-02-29' ELSE '2023-12-25' END"
+_US = "CASE o_orderkey % 4 WHEN 0 THEN '13/01/2023' WHEN 1 THEN '12/25/2023' WHEN 2 THEN '02/30/2024' ELSE NULL END"
+_COMPACT = "CASE o_orderkey % 4 WHEN 0 THEN '20230229' WHEN 1 THEN '20240229' WHEN 2 THEN '19780230' ELSE '19680630' END"
+_TIME = "CASE o_orderkey % 5 WHEN 0 THEN '12:13:14' WHEN 1 THEN '14:15:78' WHEN 2 THEN '25:17:18' WHEN 3 THEN '00:00:00' ELSE NULL END"
+_INT_DATE = "CASE o_orderkey % 3 WHEN 0 THEN 19680223 WHEN 1 THEN 19780230 ELSE 19610631 END"
+_NUMBER_TEXT = "CASE o_orderkey % 7 WHEN 0 THEN '12' WHEN 1 THEN '-5' WHEN 2 THEN '12.7' WHEN 3 THEN 'abc' WHEN 4 THEN '' WHEN 5 THEN NULL ELSE '12345' END"
+_PRECISE = "CASE o_orderkey % 6 WHEN 0 THEN 999.9 WHEN 1 THEN 1000.0 WHEN 2 THEN 99.99 WHEN 3 THEN 10.0 WHEN 4 THEN NULL ELSE 0.5 END"
+_LINE = {
+    "flag": "CASE WHEN l_linenumber = 7 THEN NULL ELSE l_returnflag END",
+    "qty": "CASE WHEN l_linenumber = 6 THEN NULL ELSE l_quantity END",
+}
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str, **derived: str) -> DataFrame:
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return df.withColumns({k: F.expr(v) for k, v in derived.items()}) if derived else df
+
+
+def _rule(kind: str, column: str, name: str, **parameters) -> Rule:
+    return Rule(RuleType(kind), Target("t", column), parameters, name=name, id=name)
+
+
+def _counts_sql(table: str, rules: list[tuple[str, str, str | None]], **derived: str) -> str:
+    """SQL for rule_counts(): (name, violation, filter) of each rule."""
+    columns = "".join(f", {v} AS {k}" for k, v in derived.items())
+    parts = []
+    for name, bad, keep in rules:
+        where = f" WHERE {keep}" if keep else ""
+        parts.append(f"SELECT '{name}' AS rule, count(*) AS total_records, count(*) FILTER (WHERE {bad}) AS failed_records FROM t{where}")
+    return f"WITH t AS (SELECT *{columns} FROM {table}) SELECT *, CASE WHEN failed_records = 0 THEN 'PASSED' ELSE 'FAILED' END AS status FROM ({' UNION ALL '.join(parts)})"
+
+
+def _unique_sql(table: str, column: str, name: str, where: str = "true", **derived: str) -> str:
+    columns = "".join(f", {v} AS {k}" for k, v in derived.items())
+    return (
+        f"WITH t AS (SELECT *{columns} FROM {table}), g AS (SELECT {column} AS value, count(*) AS n FROM t WHERE {where} GROUP BY 1) "
+        f"SELECT '{name}' AS rule, sum(n)::BIGINT AS total_records, coalesce(sum(n - 1) FILTER (WHERE value IS NOT NULL), 0)::BIGINT AS failed_records, "
+        "CASE WHEN coalesce(sum(n - 1) FILTER (WHERE value IS NOT NULL), 0) = 0 THEN 'PASSED' ELSE 'FAILED' END AS status FROM g"
+    )
+
+
+def _date_sql(column: str, fmt: str) -> str:
+    return f"{column} IS NOT NULL AND trim({column}::VARCHAR) <> '' AND (try_strptime({column}::VARCHAR, '{fmt}') IS NULL OR strftime(try_strptime({column}::VARCHAR, '{fmt}'), '{fmt}') <> {column}::VARCHAR)"
+
+
+class _Catalogue:
+    def __init__(self):
+        self.queries: dict[str, Query] = {}
+        self.sql: dict[str, str] = {}
+
+    def counts(self, name: str, table: str, rules: list[tuple[Rule, str]], **derived: str) -> None:
+        """A query of row rules, each with the SQL of its violation."""
+        self.queries[name] = lambda spark, d: rule_counts(_table(spark, d, table, **derived), [r for r, _ in rules])
+        self.sql[name] = _counts_sql(table, [(r.name, bad, r.filter) for r, bad in rules], **derived)
+
+    def add(self, name: str, query: Query, sql: str) -> None:
+        self.queries[name], self.sql[name] = query, sql
+
+
+C = _Catalogue()
+
+# Row rules, alone.
+C.counts("rule_not_null", "lineitem", [(_rule("NOT_NULL", "flag", "flag_not_null"), "flag IS NULL")], flag=_LINE["flag"])
+C.counts("rule_not_null_empty_text", "lineitem", [(_rule("NOT_NULL", "e", "empty_is_no_null"), "e IS NULL")], e="CASE WHEN l_linenumber = 1 THEN '' ELSE l_returnflag END")
+C.counts("rule_length_min_max", "customer", [(_rule("LENGTH", "c_mktsegment", "segment_length", min_length=8, max_length=9), "length(c_mktsegment) < 8 OR length(c_mktsegment) > 9")])
+C.counts("rule_length_exact", "customer", [(_rule("LENGTH", "c_name", "name_length", exact_length=18), "length(c_name) <> 18")])
+C.counts("rule_length_null_fails", "lineitem", [(_rule("LENGTH", "flag", "flag_length", min_length=1), "flag IS NULL OR length(flag) < 1")], flag=_LINE["flag"])
+C.counts("rule_length_characters", "documents", [(_rule("LENGTH", "text", "text_length", max_length=2000), "length(text) > 2000")])
+C.counts("rule_range_both", "lineitem", [(_rule("RANGE", "l_quantity", "quantity_range", min=1, max=40), "l_quantity < 1 OR l_quantity > 40")])
+C.counts("rule_range_min_only", "part", [(_rule("RANGE", "p_retailprice", "price_min", min=1000), "p_retailprice < 1000")])
+C.counts("rule_range_max_only", "part", [(_rule("RANGE", "p_size", "size_max", max=25), "p_size > 25")])
+C.counts("rule_range_equal", "part", [(_rule("RANGE", "p_size", "size_is_7", min=7, max=7), "p_size < 7 OR p_size > 7")])
+C.counts("rule_range_zero_bound", "customer", [(_rule("RANGE", "c_acctbal", "no_debt", min_value=0), "c_acctbal < 0")])
+C.counts("rule_range_null_fails", "lineitem", [(_rule("RANGE", "qty", "qty_range", min=0, max=100), "qty IS NULL OR qty < 0 OR qty > 100")], qty=_LINE["qty"])
+C.counts("rule_enum_string", "orders", [(_rule("ENUM", "o_orderstatus", "status_known", allowed_values=["F", "O"]), "o_orderstatus NOT IN ('F', 'O')")])
+C.counts("rule_enum_numeric", "part", [(_rule("ENUM", "p_size", "size_listed", allowed_values=[1, 2, "3", 4.0, 5]), "p_size NOT IN (1, 2, 3, 4, 5)")])
+C.counts("rule_enum_mixed_as_text", "part", [(_rule("ENUM", "p_size", "size_mixed", allowed_values=[1, 2, "x"]), "p_size::VARCHAR NOT IN ('1', '2', 'x')")])
+C.counts("rule_enum_null_passes", "lineitem", [(_rule("ENUM", "flag", "flag_known", allowed_values=["A", "R"]), "flag NOT IN ('A', 'R')")], flag=_LINE["flag"])
+C.counts("rule_enum_domain", "orders", [(_rule("ENUM", "email", "domain_known", allowed_values=["example.com"], extract_domain=True), "email IS NOT NULL AND contains(email, '@') AND split_part(email, '@', -1) NOT IN ('example.com')")], email=_EMAIL)
+C.counts("rule_regex_email", "orders", [(_rule("REGEX", "email", "email_form", pattern=r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}$"), r"NOT regexp_matches(email, '^[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}$')")], email=_EMAIL)
+C.counts("rule_regex_code", "part", [(_rule("REGEX", "p_brand", "brand_form", pattern="^Brand#[1-3]"), "NOT regexp_matches(p_brand, '^Brand#[1-3]')")])
+C.counts("rule_regex_search", "supplier", [(_rule("REGEX", "s_name", "name_has_5", pattern="5"), "NOT regexp_matches(s_name, '5')")])
+C.counts("rule_regex_null_passes", "lineitem", [(_rule("REGEX", "flag", "flag_form", pattern="^[AN]$"), "NOT regexp_matches(flag, '^[AN]$')")], flag=_LINE["flag"])
+C.counts("rule_date_format_iso", "orders", [(_rule("DATE_FORMAT", "d", "iso", format_pattern="YYYY-MM-DD"), _date_sql("d", "%Y-%m-%d"))], d=_ISO)
+C.counts("rule_date_format_us", "orders", [(_rule("DATE_FORMAT", "d", "us", format_pattern="MM/DD/YYYY"), _date_sql("d", "%m/%d/%Y"))], d=_US)
+C.counts("rule_date_format_compact", "orders", [(_rule("DATE_FORMAT", "d", "compact", format_pattern="yyyymmdd"), _date_sql("d", "%Y%m%d"))], d=_COMPACT)
+C.counts("rule_date_format_time", "orders", [(_rule("DATE_FORMAT", "d", "time", format_pattern="HH:MI:SS"), _date_sql("d", "%H:%M:%S"))], d=_TIME)
+C.counts("rule_date_format_int_native", "orders", [(_rule("DATE_FORMAT", "d", "int_date", format_pattern="YYYYMMDD"), _date_sql("d", "%Y%m%d"))], d=_INT_DATE)
+C.counts("rule_date_format_directives", "orders", [(_rule("DATE_FORMAT", "d", "directives", format_pattern="%Y-%m-%d"), _date_sql("d", "%Y-%m-%d"))], d=_ISO)
+C.counts("rule_total_count", "nation", [(_rule("NOT_NULL", "n_name", "nation_names"), "n_name IS NULL")])
+
+# Filters and fusion.
+C.counts("rule_filtered", "lineitem", [(_rule("RANGE", "l_quantity", "returned_quantity", max=40, filter_condition="l_returnflag = 'R'"), "l_quantity > 40")])
+C.counts(
+    "rules_same_filter",
+    "lineitem",
+    [
+        (_rule("RANGE", "l_discount", "discount", max=0.05, filter_condition="l_linestatus = 'O'"), "l_discount > 0.05"),
+        (_rule("ENUM", "l_returnflag", "flag", allowed_values=["N"], filter_condition="l_linestatus = 'O'"), "l_returnflag NOT IN ('N')"),
+    ],
+)
+C.counts(
+    "rules_mixed_filters",
+    "lineitem",
+    [
+        (_rule("RANGE", "l_quantity", "quantity_of_r", max=40, filter_condition="l_returnflag = 'R'"), "l_quantity > 40"),
+        (_rule("RANGE", "l_quantity", "quantity_of_late", max=30, filter_condition="l_shipdate >= timestamp '1996-01-01'"), "l_quantity > 30"),
+        (_rule("NOT_NULL", "flag", "flag_given"), "flag IS NULL"),
+        (_rule("RANGE", "l_tax", "tax_of_none", max=0.01, filter_condition="l_orderkey < 0"), "l_tax > 0.01"),
+    ],
+    flag=_LINE["flag"],
+)
+FLAGSHIP = [
+    (_rule("NOT_NULL", "flag", "flag_not_null"), "flag IS NULL"),
+    (_rule("RANGE", "qty", "qty_range", min=1, max=40), "qty IS NULL OR qty < 1 OR qty > 40"),
+    (_rule("ENUM", "l_linestatus", "linestatus_enum", allowed_values=["O"]), "l_linestatus NOT IN ('O')"),
+    (_rule("REGEX", "l_returnflag", "returnflag_regex", pattern="^[AR]$"), "NOT regexp_matches(l_returnflag, '^[AR]$')"),
+    (_rule("LENGTH", "l_returnflag", "returnflag_length", exact_length=1), "l_returnflag IS NULL OR length(l_returnflag) <> 1"),
+    (_rule("RANGE", "l_discount", "discount_range", min=0, max=0.08), "l_discount < 0 OR l_discount > 0.08"),
+]
+C.counts("rules_fused_lineitem", "lineitem", FLAGSHIP, **_LINE)
+
+
+def _individual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rules as rules_fused_lineitem, each in a plan of its own: the counts must not differ."""
+    df, out = _table(spark, sf_dir, "lineitem", **_LINE), None
+    for rule, _ in FLAGSHIP:
+        one = rule_counts(df, [rule])
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+C.add("rules_individual_lineitem", _individual, C.sql["rules_fused_lineitem"])
+
+_MANY = [(_rule("RANGE", "l_extendedprice", f"price_over_{i}", min=100 * i), f"l_extendedprice < {100 * i}") for i in range(1, 41)]
+C.counts("rules_fused_forty", "lineitem", _MANY)
+
+_MULTI = {
+    "orders": [(_rule("RANGE", "o_totalprice", "orders_price", min=0, max=300000), "o_totalprice < 0 OR o_totalprice > 300000")],
+    "customer": [(_rule("ENUM", "c_mktsegment", "customer_segment", allowed_values=["BUILDING", "MACHINERY"]), "c_mktsegment NOT IN ('BUILDING', 'MACHINERY')")],
+    "part": [(_rule("REGEX", "p_type", "part_type", pattern="STEEL"), "NOT regexp_matches(p_type, 'STEEL')")],
+    "supplier": [(_rule("RANGE", "s_acctbal", "supplier_balance", min=0), "s_acctbal < 0")],
+}
+
+
+def _multi_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = None
+    for table, rules in _MULTI.items():
+        one = rule_counts(_table(spark, sf_dir, table), [r for r, _ in rules])
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+C.add("rules_multi_table", _multi_table, " UNION ALL ".join(f"SELECT * FROM ({_counts_sql(t, [(r.name, bad, None) for r, bad in rules])})" for t, rules in _MULTI.items()))
+
+# UNIQUE.
+C.add("rule_unique", lambda s, d: rule_counts(_table(s, d, "lineitem"), [_rule("UNIQUE", "l_orderkey", "orderkey_unique")]), _unique_sql("lineitem", "l_orderkey", "orderkey_unique"))
+C.add("rule_unique_key", lambda s, d: rule_counts(_table(s, d, "orders"), [_rule("UNIQUE", "o_orderkey", "key_unique")]), _unique_sql("orders", "o_orderkey", "key_unique"))
+C.add("rule_unique_nulls", lambda s, d: rule_counts(_table(s, d, "orders", email=_EMAIL), [_rule("UNIQUE", "email", "email_unique")]), _unique_sql("orders", "email", "email_unique", email=_EMAIL))
+C.add(
+    "rule_unique_filtered",
+    lambda s, d: rule_counts(_table(s, d, "orders"), [_rule("UNIQUE", "o_custkey", "custkey_unique", filter_condition="o_orderstatus = 'F'")]),
+    _unique_sql("orders", "o_custkey", "custkey_unique", "o_orderstatus = 'F'"),
+)
+C.add(
+    "rules_unique_several",
+    lambda s, d: rule_counts(_table(s, d, "orders"), [_rule("UNIQUE", c, f"{c}_unique") for c in ("o_orderkey", "o_custkey", "o_orderpriority")]),
+    " UNION ALL ".join(f"SELECT * FROM ({_unique_sql('orders', c, f'{c}_unique')})" for c in ("o_orderkey", "o_custkey", "o_orderpriority")),
+)
+C.add("unique_dup_groups", lambda s, d: duplicates(_table(s, d, "orders"), _rule("UNIQUE", "o_custkey", "u")), "SELECT o_custkey AS value, count(*) AS duplicate_count FROM orders WHERE o_custkey IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
+C.add(
+    "unique_dup_samples",
+    lambda s, d: samples(_table(s, d, "lineitem"), _rule("UNIQUE", "l_orderkey", "u"), 5),
+    "SELECT l_orderkey AS value, count(*) AS duplicate_count FROM lineitem GROUP BY 1 HAVING count(*) > 1 ORDER BY 1 LIMIT 10",
+)
+
+# Samples and quarantine.
+_PRICE = _rule("RANGE", "o_totalprice", "price", max=200000)
+C.add(
+    "samples_range",
+    lambda s, d: samples(_table(s, d, "orders").select("o_orderkey", "o_totalprice"), _PRICE, 5, ["o_orderkey"]),
+    "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice IS NULL OR o_totalprice > 200000 ORDER BY o_orderkey LIMIT 5",
+)
+C.add(
+    "samples_filtered",
+    lambda s, d: samples(_table(s, d, "orders", email=_EMAIL).select("o_orderkey", "o_orderstatus", "email"), _rule("REGEX", "email", "e", pattern="@", filter_condition="o_orderstatus = 'O'"), 5, ["o_orderkey"]),
+    f"SELECT * FROM (SELECT o_orderkey, o_orderstatus, {_EMAIL} AS email FROM orders) WHERE o_orderstatus = 'O' AND NOT regexp_matches(email, '@') ORDER BY o_orderkey LIMIT 5",
+)
+C.add(
+    "violating_rows",
+    lambda s, d: violations(_table(s, d, "lineitem", **_LINE), FLAGSHIP[1][0]).select("l_orderkey", "l_linenumber", "qty"),
+    f"SELECT * FROM (SELECT l_orderkey, l_linenumber, {_LINE['qty']} AS qty FROM lineitem) WHERE qty IS NULL OR qty < 1 OR qty > 40",
+)
+C.add(
+    "quarantine_split",
+    lambda s, d: quarantine(_table(s, d, "orders", email=_EMAIL), [_PRICE, _rule("NOT_NULL", "email", "email_given")])[1].select("o_orderkey", F.array_join("broken_rules", ",").alias("broken")),
+    f"""SELECT o_orderkey, concat_ws(',', CASE WHEN o_totalprice > 200000 THEN 'price' END, CASE WHEN email IS NULL THEN 'email_given' END) AS broken
+        FROM (SELECT *, {_EMAIL} AS email FROM orders) WHERE o_totalprice > 200000 OR email IS NULL""",
+)
+
+
+# Desired types.
+def _desired(column: str, native: TypeInfo, desired: str) -> Rule:
+    rule = desired_rule("t", column, native, desired)
+    return Rule(rule.type, rule.target, rule.parameters, name=f"{column} as {desired}", id=column + desired)
+
+
+def _desired_counts(name: str, column: str, native: TypeInfo, desired: str, bad: str, table: str = "orders", **derived: str) -> None:
+    rule = _desired(column, native, desired)
+    C.queries[name] = lambda s, d: rule_counts(_table(s, d, table, **derived), [rule]).withColumn("rule", F.lit(name))
+    C.sql[name] = _counts_sql(table, [(name, bad, None)], **derived)
+
+
+_desired_counts("desired_int_digits", "o_custkey", TypeInfo("INTEGER"), "integer(3)", "abs(o_custkey) >= 1000")
+_desired_counts("desired_float_to_int", "o_totalprice", TypeInfo("FLOAT"), "integer", "o_totalprice <> floor(o_totalprice)")
+_desired_counts("desired_float_to_int_digits", "o_totalprice", TypeInfo("FLOAT"), "integer(5)", "o_totalprice <> floor(o_totalprice) OR abs(o_totalprice) >= 100000")
+_desired_counts("desired_float_precision", "v", TypeInfo("FLOAT"), "float(4,1)", "v IS NOT NULL AND (abs(v) >= 1000 OR round(v::DOUBLE, 1) <> v::DOUBLE)", v=f"CAST({_PRECISE} AS DOUBLE)")
+_desired_counts("desired_float_precision_equals_scale", "v", TypeInfo("FLOAT"), "float(1,1)", "v IS NOT NULL AND (abs(v) >= 1 OR round(v::DOUBLE, 1) <> v::DOUBLE)", v=f"CAST({_PRECISE} AS DOUBLE)")
+_desired_counts("desired_string_length", "c_mktsegment", TypeInfo("STRING"), "string(8)", "length(c_mktsegment) > 8", table="customer")
+_desired_counts("desired_int_to_string", "o_custkey", TypeInfo("INTEGER"), "string(3)", "length(o_custkey::VARCHAR) > 3")
+_desired_counts("desired_str_to_int", "v", TypeInfo("STRING"), "integer", "NOT regexp_matches(v, '^-?[0-9]+$')", v=_NUMBER_TEXT)
+_desired_counts("desired_str_to_float", "v", TypeInfo("STRING"), "float", r"NOT regexp_matches(v, '^-?[0-9]+(\.[0-9]+)?$')", v=_NUMBER_TEXT)
+_desired_counts("desired_str_to_date", "d", TypeInfo("STRING"), "date('YYYY-MM-DD')", _date_sql("d", "%Y-%m-%d"), d=_ISO)
+_desired_counts("desired_int_to_date", "d", TypeInfo("INTEGER"), "date", _date_sql("d", "%Y%m%d"), d=_INT_DATE)
+_desired_counts("desired_int_to_float", "o_custkey", TypeInfo("INTEGER"), "float(5,2)", "abs(o_custkey) >= 1000")
+
+_KIND = {"I": {"INTEGER": "REGEX", "FLOAT": "REGEX", "DATE": "DATE_FORMAT", "DATETIME": "DATE_FORMAT"}}
+C.add(
+    "desired_matrix",
+    lambda s, d: s.createDataFrame(matrix_rows(), "native string, desired string, verdict string, kind string"),
+    """WITH cells(native, desired, verdict, kind) AS (VALUES
+         ('STRING', 'STRING', 'COMPATIBLE', NULL), ('STRING', 'INTEGER', 'INCOMPATIBLE', 'REGEX'), ('STRING', 'FLOAT', 'INCOMPATIBLE', 'REGEX'),
+         ('STRING', 'DATE', 'INCOMPATIBLE', 'DATE_FORMAT'), ('STRING', 'DATETIME', 'INCOMPATIBLE', 'DATE_FORMAT'),
+         ('INTEGER', 'STRING', 'COMPATIBLE', NULL), ('INTEGER', 'INTEGER', 'COMPATIBLE', NULL), ('INTEGER', 'FLOAT', 'COMPATIBLE', NULL),
+         ('INTEGER', 'DATE', 'INCOMPATIBLE', 'DATE_FORMAT'), ('INTEGER', 'DATETIME', 'INCOMPATIBLE', 'DATE_FORMAT'),
+         ('FLOAT', 'STRING', 'COMPATIBLE', NULL), ('FLOAT', 'INTEGER', 'INCOMPATIBLE', 'REGEX'), ('FLOAT', 'FLOAT', 'COMPATIBLE', NULL),
+         ('BOOLEAN', 'BOOLEAN', 'COMPATIBLE', NULL), ('DATE', 'STRING', 'COMPATIBLE', NULL), ('DATE', 'DATE', 'COMPATIBLE', NULL), ('DATE', 'DATETIME', 'COMPATIBLE', NULL),
+         ('DATETIME', 'STRING', 'COMPATIBLE', NULL), ('DATETIME', 'DATE', 'COMPATIBLE', NULL), ('DATETIME', 'DATETIME', 'COMPATIBLE', NULL)),
+       types(t) AS (VALUES ('STRING'), ('INTEGER'), ('FLOAT'), ('BOOLEAN'), ('DATE'), ('DATETIME'))
+       SELECT n.t AS native, d.t AS desired, coalesce(verdict, 'CONFLICTING') AS verdict, kind
+       FROM types n CROSS JOIN types d LEFT JOIN cells ON native = n.t AND desired = d.t""",
+)
+
+
+# Schemas: from the data's schema on one side, from the information schema on the other.
+def _schema_check(table: str, columns: dict, **options) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        checks, extras = check_fields(_table(spark, sf_dir, table).schema, columns, **options)
+        rows = [(c.column, c.existence, c.type, c.failure_code) for c in checks] + [(e, "EXTRA", "SKIPPED", "EXTRA_COLUMN") for e in extras]
+        return spark.createDataFrame(rows, "`column` string, existence string, type string, failure_code string")
+
+    return query
+
+
+def _schema_sql(table: str, columns: dict, strict: bool = False, case_insensitive: bool = False) -> str:
+    fold = "lower" if case_insensitive else ""
+    wanted = ", ".join(f"('{c}', '{w['expected_type']}')" for c, w in columns.items())
+    extra = f" UNION ALL SELECT column_name, 'EXTRA', 'SKIPPED', 'EXTRA_COLUMN' FROM there WHERE {fold}(column_name) NOT IN (SELECT {fold}(name) FROM wanted)" if strict else ""
+    return f"""WITH wanted(name, want) AS (VALUES {wanted}),
+      there AS (SELECT column_name, CASE WHEN data_type IN ('VARCHAR') THEN 'STRING' WHEN data_type IN ('BIGINT', 'INTEGER', 'SMALLINT', 'TINYINT') THEN 'INTEGER'
+                  WHEN data_type IN ('DOUBLE', 'FLOAT') OR data_type LIKE 'DECIMAL%' THEN 'FLOAT' WHEN data_type = 'BOOLEAN' THEN 'BOOLEAN' WHEN data_type = 'DATE' THEN 'DATE'
+                  WHEN data_type LIKE 'TIMESTAMP%' THEN 'DATETIME' END AS kind FROM information_schema.columns WHERE table_name = '{table}')
+      SELECT name AS "column", CASE WHEN column_name IS NULL THEN 'FAILED' ELSE 'PASSED' END AS existence,
+             CASE WHEN column_name IS NULL THEN 'SKIPPED' WHEN kind IS NOT DISTINCT FROM want THEN 'PASSED' ELSE 'FAILED' END AS type,
+             CASE WHEN column_name IS NULL THEN 'FIELD_MISSING' WHEN kind IS NOT DISTINCT FROM want THEN 'NONE' ELSE 'TYPE_MISMATCH' END AS failure_code
+      FROM wanted LEFT JOIN there ON {fold}(column_name) = {fold}(name){extra}"""
+
+
+def _kinds(**kinds: str) -> dict:
+    return {c: {"expected_type": k} for c, k in kinds.items()}
+
+
+for _name, _t, _columns, _options in (
+    ("schema_check_ok", "nation", _kinds(n_nationkey="INTEGER", n_name="STRING", n_regionkey="INTEGER"), {}),
+    ("schema_check_missing", "nation", _kinds(n_nationkey="INTEGER", n_comment="STRING", N_NAME="STRING"), {}),
+    ("schema_check_mismatch", "lineitem", _kinds(l_quantity="INTEGER", l_shipdate="DATETIME", l_tax="FLOAT", l_returnflag="BOOLEAN"), {}),
+    ("schema_check_strict", "region", _kinds(r_regionkey="INTEGER"), {"strict": True}),
+    ("schema_check_case_insensitive", "region", _kinds(R_REGIONKEY="INTEGER", R_Name="STRING", r_other="STRING"), {"case_insensitive": True, "strict": True}),
+    ("schema_check_unsupported_type", "embeddings", _kinds(vec_id="INTEGER", embedding="STRING", label="INTEGER"), {}),
+):
+    C.add(_name, _schema_check(_t, _columns, **_options), _schema_sql(_t, _columns, **_options))
+
+# Rollups over counts.
+C.add(
+    "profile_error_rate",
+    lambda s, d: C.queries["rules_fused_lineitem"](s, d).select("rule", F.try_divide("failed_records", "total_records").alias("error_rate"), (1 - F.try_divide("failed_records", "total_records")).alias("success_rate")),
+    f"SELECT rule, failed_records / total_records AS error_rate, 1 - failed_records / total_records AS success_rate FROM ({C.sql['rules_fused_lineitem']})",
+)
+C.add(
+    "report_summary",
+    lambda s, d: C.queries["rules_fused_lineitem"](s, d).agg(F.count(F.lit(1)).alias("total_rules"), F.count_if(F.col("status") == "PASSED").alias("passed_rules"), F.count_if(F.col("status") == "FAILED").alias("failed_rules"), F.sum("failed_records").alias("total_failed_records"), F.max("total_records").alias("total_records")),
+    f"SELECT count(*) AS total_rules, count(*) FILTER (WHERE status = 'PASSED') AS passed_rules, count(*) FILTER (WHERE status = 'FAILED') AS failed_rules, sum(failed_records)::BIGINT AS total_failed_records, max(total_records) AS total_records FROM ({C.sql['rules_fused_lineitem']})",
+)
+_COLUMN_OF = {r.name: r.column for r, _ in FLAGSHIP}
+C.add(
+    "fields_rollup",
+    lambda s, d: rollup(C.queries["rules_fused_lineitem"](s, d).withColumn("table", F.lit("lineitem")).withColumn("column", F.element_at(F.create_map(*[F.lit(x) for kv in _COLUMN_OF.items() for x in kv]), F.col("rule")))),
+    f"""SELECT 'lineitem' AS "table", c AS "column", count(*) AS rules, count(*) FILTER (WHERE status = 'FAILED') AS failed_rules, sum(failed_records)::BIGINT AS failed_records
+        FROM ({C.sql['rules_fused_lineitem']}) JOIN (VALUES {', '.join(f"('{r}', '{c}')" for r, c in _COLUMN_OF.items())}) m(r, c) ON r = rule GROUP BY c""",
+)
+
+
+# Scalar helpers.
+def _scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _table(spark, sf_dir, "orders", email=_EMAIL, iso=_ISO)
+    f = scalars.DATE_FUNCTIONS
+    return df.select(
+        "o_orderkey",
+        scalars.string_length("o_orderpriority").alias("len"),
+        scalars.substring("o_orderpriority", 1, 3).alias("sub"),
+        scalars.matches(F.col("email"), "org$").alias("org"),
+        scalars.like_ignoring_case(F.col("o_orderpriority"), "%URGENT").alias("urgent"),
+        scalars.after_last(F.col("email"), "@").alias("domain"),
+        f["year"]("o_orderdate").cast("long").alias("y"),
+        f["month"]("o_orderdate").cast("long").alias("m"),
+        f["day"]("o_orderdate").cast("long").alias("d"),
+        f["datediff"](F.col("o_orderdate"), scalars.date_literal("1995-01-01")).cast("long").alias("days"),
+        scalars.parse_date(F.col("iso"), "YYYY-MM-DD").isNotNull().alias("is_date"),
+    )
+
+
+C.add(
+    "scalar_functions",
+    _scalars,
+    f"""SELECT o_orderkey, length(o_orderpriority)::INT AS len, substr(o_orderpriority, 1, 3) AS sub, regexp_matches(email, 'org$') AS org, o_orderpriority ILIKE '%URGENT' AS urgent,
+          split_part(email, '@', -1) AS domain, year(o_orderdate) AS y, month(o_orderdate) AS m, day(o_orderdate) AS d, date_diff('day', DATE '1995-01-01', o_orderdate::DATE) AS days,
+          coalesce(strftime(try_strptime(iso, '%Y-%m-%d'), '%Y-%m-%d') = iso, false) AS is_date
+        FROM (SELECT *, {_EMAIL} AS email, {_ISO} AS iso FROM orders)""",
+)
+
+
+def _sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scalars.register(spark)
+    df = _table(spark, sf_dir, "orders", number=_NUMBER_TEXT, iso=_ISO)
+    return df.select("o_orderkey", F.expr("detect_invalid_integer_digits(number, 2)").alias("bad_digits"), F.expr("detect_invalid_string_length(number, 2)").alias("too_long"), F.expr("is_valid_date(iso, 'yyyy-MM-dd')").alias("valid"))
+
+
+C.add(
+    "sql_functions",
+    _sql_functions,
+    f"""SELECT o_orderkey, number IS NOT NULL AND coalesce(try_cast(number AS DOUBLE) <> floor(try_cast(number AS DOUBLE)) OR abs(try_cast(number AS DOUBLE)) >= 100, true) AS bad_digits,
+          coalesce(length(number) > 2, false) AS too_long, NOT coalesce({_date_sql('iso', '%Y-%m-%d')}, false) AS valid
+        FROM (SELECT *, {_NUMBER_TEXT} AS number, {_ISO} AS iso FROM orders)""",
+)
+
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(C.queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(C.sql)
