@@ -7,25 +7,22 @@ import re
 #: Token and Java pattern, upper or lower case; minutes are MI, so MM and mm are months.
 TOKENS = {"yyyy": "yyyy", "mm": "MM", "dd": "dd", "hh": "HH", "mi": "mm", "ss": "ss", "mmm": "MMM"}
 #: Strftime directives.
-DIRECTIVES = {"%Y": "yyyy", "%m": "MM", "%d": "dd", "%H": "HH", "%M": "mm", "%S": "ss", "%b": "MMM", "%%": "'%'"}
-_TOKEN = re.compile(r"%[YmdHMSb%]|yyyy|mmm|mm|dd|hh|mi|ss|'[^']*'|[a-z]+|.", re.IGNORECASE | re.DOTALL)
+DIRECTIVES = {"%Y": "yyyy", "%m": "MM", "%d": "dd", "%H": "HH", "%M": "mm", "%S": "ss", "%b": "MMM", "%%": "%"}
+_TOKEN = re.compile(r"%[YmdHMSb%]|yyyy|mmm|mm|dd|hh|mi|ss|.", re.IGNORECASE | re.DOTALL)
 
 
 def java_pattern(fmt: str) -> str:
     """A format of tokens (YYYY-MM-DD) or strftime directives (%Y-%m-%d) as Spark reads it; other letters are literal."""
-    out = []
-    for part in _TOKEN.findall(fmt):
-        low = part.lower()
-        if part in DIRECTIVES:
-            out.append(DIRECTIVES[part])
-        elif low in TOKENS:
-            out.append(TOKENS[low])
-        elif part[0] == "'" and len(part) > 1:
-            out.append(part)
-        elif part[0].isalpha() or part in "'[]{}#":
-            out.append("'" + part.replace("'", "''") + "'" if part != "'" else "''")
-        else:
-            out.append(part)
+    out, literal = [], ""
+    for part in [*_TOKEN.findall(fmt), ""]:
+        known = DIRECTIVES.get(part) or TOKENS.get(part.lower())
+        if part and not known and (part.isalpha() or part in "'[]{}#"):
+            literal += part
+            continue
+        if literal:
+            out.append("'" + literal.replace("'", "''") + "'")
+            literal = ""
+        out.append(known or part)
     return "".join(out)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import os
 import re
 import sqlite3
@@ -125,12 +126,18 @@ def sniff_separator(path: str) -> str:
     return next((s for s in SEPARATORS if s in re.sub(r'"[^"]*"', "", head)), ",")
 
 
+def _header(path: str, separator: str) -> list[str]:
+    """As written: Spark numbers repeated names in its own way."""
+    with open(path, encoding="utf-8-sig", errors="replace", newline="") as f:
+        return next(csv.reader(f, delimiter=separator))
+
+
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """With a header; types are inferred, null tokens are null, rows with too few fields are filled with null."""
     local = path.removeprefix("file://")
     separator = sniff_separator(local) if os.path.isfile(local) else ("\t" if path.endswith(".tsv") else ",")
-    raw = spark.read.csv(path, header=True, sep=separator, inferSchema=False, mode="PERMISSIVE", enforceSchema=False, multiLine=False, escape='"', nullValue="")
-    names = column_names(raw.columns)
+    raw = spark.read.csv(path, header=True, sep=separator, inferSchema=False, mode="PERMISSIVE", multiLine=False, escape='"', nullValue="")
+    names = column_names(_header(local, separator) if os.path.isfile(local) else raw.columns)
     text = raw.toDF(*names)
     text = text.select(*[F.when(quoted(c).isin(*NULLS), F.lit(None)).otherwise(quoted(c)).alias(c) for c in names])
     return text.select(*[_inferred(c, kind) for c, kind in _infer(text, names).items()])
