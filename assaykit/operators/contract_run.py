@@ -57,5 +57,9 @@ def run_contract(tables: Mapping[str, DataFrame], contract: Contract, *, setting
             skipped[r.id] = "FIELD_MISSING"
     done = validate(tables, [_renamed(r, tables, ignoring[r.table]) for r in rules if r.id not in skipped], settings=settings, order_by=order_by)
     by_id = {r.rule.id: r for r in done}
-    rest = [Result.skipped(r, skipped[r.id]) if r.id in skipped else by_id[r.id] for r in rules]
+    rest = []
+    for r in rules:
+        result = Result.skipped(r, skipped[r.id]) if r.id in skipped else by_id[r.id]
+        result.rule = r  # with the field's name as the contract spells it
+        rest.append(result)
     return Report([*schemas, *rest], time.perf_counter() - began)
