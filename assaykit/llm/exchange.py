@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame
 WIRE = "route int, block long, bucket int, payload binary"
 WIRE_ARROW = pa.schema([("route", pa.int32()), ("block", pa.int64()), ("bucket", pa.int32()), ("payload", pa.binary())])
 MOST_DOCS = 60_000
+#: Rows turned into Python objects at once.
+SLICE = 512
 
 
 def pack(*arrays: np.ndarray | bytes) -> bytes:
@@ -94,7 +96,7 @@ def documents_in_blocks(batches: Iterable[pa.RecordBatch], block_bytes: int) ->
     ids: list = []
     texts: list = []
     size = 0
-    for batch in batches:
+    for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
         keys = batch.column(0).to_pylist()
         if batch.num_columns > 2:
             keys = list(zip(keys, *(c.to_pylist() for c in batch.columns[2:]), strict=True))

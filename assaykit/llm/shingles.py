@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 #: Fixed value: ASCII white space, which ends words.
@@ -18,19 +20,35 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+#: Bytes whose hashes are computed at once; cut at white space, so that only a longer word needs more.
+PIECE = 1 << 18
+
+
 class Powers:
-    """Powers of an odd number modulo 2^64 and of its inverse, as far as some text has needed."""
+    """Powers of an odd number modulo 2^64 and of its inverse, as far as some piece of text has needed."""
 
     def __init__(self):
         self.n = 0
 
     def upto(self, n: int) -> None:
         if n > self.n:
-            self.n = max(n, 1 << 16)
+            self.n = max(n, PIECE + (1 << 12))
             inverse = pow(_BASE, -1, 1 << 64)
             self.up, self.down = (np.concatenate([np.ones(1, np.uint64), np.full(self.n - 1, b, np.uint64)]).cumprod(dtype=np.uint64) for b in (_BASE, inverse))
 
 
+def _pieces(a: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(begin, end) of pieces of about PIECE bytes that end at white space."""
+    at = 0
+    while at < len(a):
+        end = min(at + PIECE, len(a))
+        while end < len(a) and not SPACE[a[end]]:
+            ahead = np.flatnonzero(SPACE[a[end : end + PIECE]])
+            end = min(len(a), end + (int(ahead[0]) if len(ahead) else PIECE))
+        yield at, end
+        at = end
+
+
 class Words:
     """The words of a block of UTF-8 texts (None: no words): hashes, places in the block's bytes, and whose they are."""
 
@@ -39,15 +57,22 @@ class Words:
         lengths = np.fromiter((len(t or b"") for t in texts), np.int64, len(texts))
         offsets = np.cumsum(lengths + 1) - lengths - 1
         a = np.frombuffer(self.raw, np.uint8)
+        parts = [self._piece(a[begin:end], begin, powers) for begin, end in _pieces(a)]
+        empty = np.empty(0, np.int64)
+        self.start, self.end = (np.concatenate([empty, *(p[i] for p in parts)]) for i in (0, 1))
+        self.hash = np.concatenate([empty.astype(np.uint64), *(p[2] for p in parts)])
+        self.first = np.append(np.searchsorted(self.start, offsets), len(self.start))
+        self.of = np.repeat(np.arange(len(texts)), np.diff(self.first))
+
+    @staticmethod
+    def _piece(a: np.ndarray, begin: int, powers: Powers) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         edges = np.flatnonzero(np.diff((~SPACE[a]).astype(np.int8), prepend=0, append=0))
-        self.start, self.end = edges[0::2], edges[1::2]
+        start, end = edges[0::2], edges[1::2]
         powers.upto(len(a) + 1)
         sums = np.zeros(len(a) + 1, np.uint64)
         # A word's value is the difference of two running sums, brought back to power 0; 1 is added so that no byte is 0.
         np.cumsum((a.astype(np.uint64) + np.uint64(1)) * powers.up[: len(a)], out=sums[1:])
-        self.hash = mix((sums[self.end] - sums[self.start]) * powers.down[self.start])
-        self.first = np.append(np.searchsorted(self.start, offsets), len(self.start))
-        self.of = np.repeat(np.arange(len(texts)), np.diff(self.first))
+        return start + begin, end + begin, mix((sums[end] - sums[start]) * powers.down[start])
 
     def runs(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(hash of the k words that start at each word, whether they are all of one text); k - 1 shorter than the words."""
