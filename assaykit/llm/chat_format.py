@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from assaykit.llm.common import text_batches
+
 START, END = "<|im_start|>", "<|im_end|>"
 WINDOWS = "conv_id long, window int, text string, n_turns int, n_repeated int, n_tokens int, over_budget boolean, loss array<struct<start:int,end:int>>"
 DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
@@ -134,7 +136,7 @@ def format_conversations(
         if out:
             yield pa.RecordBatch.from_pylist(out, schema=_WINDOWS_ARROW)
 
-    picked = turns.select(F.col(conv_id).cast("long").alias("c"), F.col(turn).alias("t"), F.col(role).alias("r"), F.col(text).alias("x"))
+    picked = text_batches(turns).select(F.col(conv_id).cast("long").alias("c"), F.col(turn).alias("t"), F.col(role).alias("r"), F.col(text).alias("x"))
     return picked.repartition("c").sortWithinPartitions("c", "t", "r", "x").select("c", "r", "x").mapInArrow(run, WINDOWS)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pickle
+import re
 import tempfile
 
 from pyspark import Broadcast, cloudpickle
@@ -25,7 +26,7 @@ def scratch_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
-        if named is None and not context.master.startswith("local["):
+        if named is None and context.master != "local" and not context.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="assaykit-checkpoint-"))
     return context.getCheckpointDir()
@@ -54,6 +55,21 @@ def received(shared: Broadcast):
     return pickle.loads(shared.value)
 
 
+#: Bytes of rows sent to a Python worker at once.
+BATCH_BYTES = 4 << 20
+
+
+def text_batches(df: DataFrame) -> DataFrame:
+    """df, whose long texts are to go to Python workers: lowers the session's bytes per Arrow batch to BATCH_BYTES.
+
+    Spark's default of 64 MB is held several times over per task, in the executor and in the worker.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(re.match(r"-?\d+", conf.get(key))[0]) <= BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+    return df
+
+
 def word_count(text: Column) -> Column:
     """Number of words; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assaykit.llm.common import received, share
+from assaykit.llm.common import received, share, text_batches
 from assaykit.llm.exchange import documents_in_blocks
 
 #: Lower-cases A-Z and turns what isn't part of a word into spaces.
@@ -169,4 +169,4 @@ def find_contamination(
                 names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items"],
             )
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, RESULT)
+    return text_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, RESULT)

@@ -23,6 +23,8 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from assaykit.llm.common import text_batches
+
 #: route: what the exchange deals by; bucket: -1 for a block's own notes.
 WIRE = "route int, block long, bucket int, payload binary"
 WIRE_ARROW = pa.schema([("route", pa.int32()), ("block", pa.int64()), ("bucket", pa.int32()), ("payload", pa.binary())])
@@ -159,6 +161,6 @@ def block_exchange(
             (_, _, notes), *replies = rows
             yield merge(notes, [p for _, _, p in replies])
 
-    asked = docs.mapInArrow(ask, WIRE).repartition("route").sortWithinPartitions("bucket")
+    asked = text_batches(docs).mapInArrow(ask, WIRE).repartition("route").sortWithinPartitions("bucket")
     answered = asked.mapInArrow(answer, WIRE).repartition("block").sortWithinPartitions("block", "bucket")
     return answered.mapInArrow(conclude, schema)

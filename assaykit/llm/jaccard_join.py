@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from assaykit.llm.common import cut, small_side
 from assaykit.llm.components import components
-from assaykit.llm.exchange import pack, unpack
+from assaykit.llm.exchange import SLICE, pack, unpack
 from assaykit.llm.recurring import recurring_items, short
 from assaykit.llm.shingles import Powers, shingle_sets
 
@@ -262,8 +262,8 @@ def jaccard_groups(
     percent: int = 80,
     doc_id: str = "doc_id",
     text: str = "text",
-    block_bytes: int = 4 << 20,
-    most: int = 4_000_000,
+    block_bytes: int = 2 << 20,
+    most: int = 2_000_000,
     pivots: int = 8,
     depths: int = 6,
     broadcast_rows: int = 200_000,
@@ -283,8 +283,8 @@ def jaccard_groups(
 
     def to_sets(batches):
         powers = Powers()
-        for batch in batches:
-            sets = shingle_sets([t for t in batch.column(2).cast(pa.binary()).to_pylist()], k, powers)
+        for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
+            sets = shingle_sets(batch.column(2).cast(pa.binary()).to_pylist(), k, powers)
             same = [i for i, (s, c) in enumerate(zip(sets, batch.column(1).to_pylist(), strict=True)) if len(s) and _class_of(s) == c]
             chosen = [sets[i] for i in same]
             ends = np.cumsum([0, *map(len, chosen)])

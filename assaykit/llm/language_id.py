@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assaykit.llm.common import cut, held_out, received, share
+from assaykit.llm.common import cut, held_out, received, share, text_batches
 from assaykit.llm.sums import sum_arrays
 
 SLOTS = 1 << 16
@@ -120,7 +120,7 @@ TEMPERATURES = [float(t) for t in np.geomspace(0.05, 10, 61)]
 
 def fit(docs: DataFrame, *, max_rows: int = 3000, passes: int = 3, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.001, l2: float = 0.001, doc_id: str = "doc_id", text: str = "text", lang: str = "lang"):
     """(languages, weights by slot times IDF, constants, temperature); rows of held-out ids are not read."""
-    rows = docs.where(~held_out(F.col(doc_id)) & F.col(lang).isNotNull()).select(F.col(text).cast("string").alias("_text"), F.col(lang).cast("string").alias("_lang"), F.col(doc_id).cast("long").alias("_id"))
+    rows = text_batches(docs).where(~held_out(F.col(doc_id)) & F.col(lang).isNotNull()).select(F.col(text).cast("string").alias("_text"), F.col(lang).cast("string").alias("_lang"), F.col(doc_id).cast("long").alias("_id"))
     frequency, n = document_frequencies(rows.select("_text"))
     idf = np.log((1 + n) / (1 + frequency)) + 1
     # As many rows of each language, at most, so that a rare one is learned as well.

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assaykit.llm.common import cut, held_out, received, share, small_side
+from assaykit.llm.common import cut, held_out, received, share, small_side, text_batches
 from assaykit.llm.sums import sum_arrays
 
 DIM = 48
@@ -152,7 +152,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_rows: int = 12_000, hidden: i
     """(index vectors of shapes, word vectors, network); labels of held-out ids are not read."""
     known = labels.where(~held_out(F.col(doc_id)) & F.col(label).isNotNull()).groupBy(F.col(doc_id).alias("_id")).agg(F.min(label).alias("_label"))
     chosen = cut(known.orderBy(F.xxhash64("_id", F.lit(seed)), "_id").limit(max_rows))
-    rows = docs.select(F.col(doc_id).alias("_doc"), F.col(text).cast("string").alias("_text")).join(small_side(chosen, max_rows), F.col("_doc") == F.col("_id")).select("_text", F.col("_label").cast("int").alias("_label"), "_id")
+    rows = text_batches(docs).select(F.col(doc_id).alias("_doc"), F.col(text).cast("string").alias("_text")).join(small_side(chosen, max_rows), F.col("_doc") == F.col("_id")).select("_text", F.col("_label").cast("int").alias("_label"), "_id")
     rows = cut(rows)
     index, shape_index = index_vectors(WORD_SLOTS, seed), index_vectors(SHAPE_SLOTS, seed + 1)
     vectors = word_vectors(rows.select("_text"), index)
@@ -183,7 +183,7 @@ def score_quality(docs: DataFrame, model, *, text: str = "text", threshold: floa
             yield _series(network.scores(x.astype(float)))
 
     score: Column = _iterator_udf(run)(F.col(text).cast("string"))
-    return docs.drop("score", "predicted").withColumn("score", score).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return text_batches(docs).drop("score", "predicted").withColumn("score", score).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def _series(values):

@@ -242,7 +242,7 @@ def remove_repeats(
     anchor: int = 5,
     doc_id: str = "doc_id",
     text: str = "text",
-    block_bytes: int = 4 << 20,
+    block_bytes: int = 2 << 20,
 ) -> DataFrame:
     """docs with n_words, n_removed and kept_text (the words that stay, joined by one space)."""
     docs = docs.drop(*ADDED)
