@@ -5,9 +5,10 @@ that is shared among the others by weight again until none is above. Of its targ
 epochs; for the rest each document draws an exponential key, divided by its quality weight, and the documents with
 the smallest keys are taken whole until the budget is used up; the last one is taken if that comes nearer to it.
 
-No source is sorted in one task. Keys are cut into ``bins`` of nearly equal numbers of documents; the sizes of a
-source's bins, summed in order, show the one bin that the budget ends in, and only that bin's documents are sorted.
-The number of bins follows the number of documents, so that such a bin holds about ``bin_rows`` rows of a source.
+No source is sorted in one task. Keys are cut into bins of equal width in their logarithm; the sizes of a source's
+bins, summed in order, show the one bin that the budget ends in, and only that bin's documents are sorted. Whatever
+the weights, an exponential key falls into a bin of width d with a probability of at most d / e, so the width that
+follows from a source's number of documents leaves about ``bin_rows`` of them in such a bin at most.
 
 Defined cases: a null text has size 0 and is taken 0 times; a null source is a source of its own, sorted last; a
 document's key depends on its id and text, so repeated rows tie and are taken one after the other; an empty table
@@ -16,6 +17,7 @@ gives an empty result; a total of 0 gives targets of 0. Other columns are not re
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -71,7 +73,7 @@ def mix_sources(
     share: float = 1.5,
     max_epochs: int = 2,
     seed: int = 42,
-    bin_rows: int = 4096,
+    bin_rows: int = 32_768,
     doc_id: str = "doc_id",
     text: str = "text",
     source: str = "source",
@@ -80,13 +82,12 @@ def mix_sources(
     exponential = -F.log(draw(F.col(doc_id), F.col(text), seed)) / quality_weight(F.col(text))
     sized = cut(docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), exponential.alias("key")))
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
-    # A key k of weight 1 is below the share 1 - exp(-k) of the draws; lower weights only spread the upper bins.
-    bins = F.greatest(F.lit(1.0), F.ceil(F.col("n") / bin_rows).cast("double"))
+    per_unit = F.greatest(F.lit(1.0), F.col("n") / (bin_rows * math.e))
     plans = totals.join(source_targets(totals.select("source", "source_size"), weights, share, max_epochs).withColumnRenamed("source", "s").withColumnRenamed("source_size", "z"), F.col("source").eqNullSafe(F.col("s"))).drop("s", "z")
     full = F.coalesce(F.floor(F.try_divide("target", "source_size")), F.lit(0))
-    plans = cut(plans.withColumn("full", full.cast("long")).withColumn("rest", F.col("target") - F.col("full") * F.col("source_size")).withColumn("bins", bins).withColumnRenamed("source", "s"))
+    plans = cut(plans.withColumn("full", full.cast("long")).withColumn("rest", F.col("target") - F.col("full") * F.col("source_size")).withColumn("per_unit", per_unit).withColumnRenamed("source", "s"))
     planned = sized.join(plans, F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    binned = planned.withColumn("bin", F.least(F.col("bins") - 1, F.floor((1 - F.exp(-F.col("key"))) * F.col("bins"))).cast("long"))
+    binned = planned.withColumn("bin", F.floor(F.log(F.greatest("key", F.lit(1e-300))) * F.col("per_unit")))
     # The bin of each source where the budget ends, and the words in the bins before it.
     running = Window.partitionBy("source").orderBy("bin")
     sums = binned.groupBy("source", "bin", "rest").agg(F.sum("size").alias("words"))

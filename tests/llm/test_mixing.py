@@ -38,7 +38,7 @@ def test_targets_follow_the_rule(spark):
 
 def test_mix_comes_near_its_targets(spark):
     table_ = table(spark, 1)
-    for bin_rows in (7, 4096):
+    for bin_rows in (1, 7, 32_768):
         rows = mix_sources(table_, bin_rows=bin_rows).collect()
         assert len(rows) == table_.count()
         size = {(r["doc_id"], r["text"]): len(words(r["text"])) for r in table_.collect()}
