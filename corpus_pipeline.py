@@ -42,8 +42,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     groups = cut(jaccard_groups(docs))
     kept = _without(docs, groups.where("doc_id <> component_id"))
     if not groups.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").isEmpty():
-        key = F.when(F.col("doc_id").isNull(), F.uuid()).otherwise(F.xxhash64("text").cast("string"))
-        kept = kept.withColumn("_key", key).dropDuplicates(["doc_id", "_key"]).drop("_key")
+        once = kept.where("doc_id IS NOT NULL").withColumn("_key", F.xxhash64("text")).dropDuplicates(["doc_id", "_key"]).drop("_key")
+        kept = once.unionByName(kept.where("doc_id IS NULL"))
     return kept
 
 
