@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assaykit.llm.common import text_batches
+from assaykit.llm.memory import lean
 
 START, END = "<|im_start|>", "<|im_end|>"
 WINDOWS = "conv_id long, window int, text string, n_turns int, n_repeated int, n_tokens int, over_budget boolean, loss array<struct<start:int,end:int>>"
@@ -137,7 +138,7 @@ def format_conversations(
             yield pa.RecordBatch.from_pylist(out, schema=_WINDOWS_ARROW)
 
     picked = text_batches(turns).select(F.col(conv_id).cast("long").alias("c"), F.col(turn).alias("t"), F.col(role).alias("r"), F.col(text).alias("x"))
-    return picked.repartition("c").sortWithinPartitions("c", "t", "r", "x").select("c", "r", "x").mapInArrow(run, WINDOWS)
+    return picked.repartition("c").sortWithinPartitions("c", "t", "r", "x").select("c", "r", "x").mapInArrow(lean(run), WINDOWS)
 
 
 def parse_window(text: str) -> list[tuple[str, str, int]]:
@@ -175,4 +176,4 @@ def read_back(windows: DataFrame) -> DataFrame:
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=[c.split()[0] for c in DIGEST.split(", ")])
 
-    return windows.mapInArrow(run, DIGEST)
+    return windows.mapInArrow(lean(run), DIGEST)

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from assaykit.llm.common import received, share, text_batches
 from assaykit.llm.exchange import documents_in_blocks
+from assaykit.llm.memory import lean
 
 #: Lower-cases A-Z and turns what isn't part of a word into spaces.
 FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
@@ -169,4 +170,4 @@ def find_contamination(
                 names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items"],
             )
 
-    return text_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, RESULT)
+    return text_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(lean(run), RESULT)

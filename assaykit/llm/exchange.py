@@ -24,6 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from assaykit.llm.common import text_batches
+from assaykit.llm.memory import lean
 
 #: route: what the exchange deals by; bucket: -1 for a block's own notes.
 WIRE = "route int, block long, bucket int, payload binary"
@@ -161,6 +162,6 @@ def block_exchange(
             (_, _, notes), *replies = rows
             yield merge(notes, [p for _, _, p in replies])
 
-    asked = text_batches(docs).mapInArrow(ask, WIRE).repartition("route").sortWithinPartitions("bucket")
-    answered = asked.mapInArrow(answer, WIRE).repartition("block").sortWithinPartitions("block", "bucket")
-    return answered.mapInArrow(conclude, schema)
+    asked = text_batches(docs).mapInArrow(lean(ask), WIRE).repartition("route").sortWithinPartitions("bucket")
+    answered = asked.mapInArrow(lean(answer), WIRE).repartition("block").sortWithinPartitions("block", "bucket")
+    return answered.mapInArrow(lean(conclude), schema)

@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from assaykit.llm.common import cut, small_side
 from assaykit.llm.components import components
 from assaykit.llm.exchange import SLICE, pack, unpack
+from assaykit.llm.memory import lean
 from assaykit.llm.recurring import recurring_items, short
 from assaykit.llm.shingles import Powers, shingle_sets
 
@@ -182,7 +183,7 @@ def _join_regions(sets: DataFrame, percent: int) -> DataFrame:
         if names:
             yield close()
 
-    return sets.repartition("region").sortWithinPartitions("region", "class").mapInArrow(run, LINKS)
+    return sets.repartition("region").sortWithinPartitions("region", "class").mapInArrow(lean(run), LINKS)
 
 
 def _cell(*parts) -> F.Column:
@@ -272,6 +273,8 @@ def jaccard_groups(
 
     percent is above 50. most bounds the shingles that a task holds of a region.
     """
+    if not 50 < percent <= 100:
+        raise ValueError("percent must be above 50 and at most 100")
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     feats = cut(features(rows, k, percent, block_bytes))
     windows = feats.select("class", F.explode("window").alias("pivot")).distinct()
@@ -291,7 +294,7 @@ def jaccard_groups(
             values = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0, np.uint64), *chosen]).view(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(same, pa.int64())), batch.column(1).take(pa.array(same, pa.int64())), values, pa.array([True] * len(same), pa.bool_())], names=["region", "class", "shingles", "active"])
 
-    sets = rows.join(members, F.col("doc_id").eqNullSafe(F.col("id"))).select("region", F.col("c").alias("class"), "text").mapInArrow(to_sets, SETS)
+    sets = rows.join(members, F.col("doc_id").eqNullSafe(F.col("id"))).select("region", F.col("c").alias("class"), "text").mapInArrow(lean(to_sets), SETS)
     groups = components(join_regions(cut(sets), percent=percent, most=most, pivots=pivots, depths=depths))
     labelled = feats.drop("window").join(groups.withColumnRenamed("node", "c"), F.col("class") == F.col("c"), "left").withColumn("group", F.coalesce("root", "class")).select("doc_id", "n_shingles", "group")
     least = labelled.where("group IS NOT NULL").groupBy("group").agg(F.min("doc_id").alias("least")).withColumnRenamed("group", "g")

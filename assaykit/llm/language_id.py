@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assaykit.llm.common import cut, held_out, received, share, text_batches
+from assaykit.llm.memory import lean
 from assaykit.llm.sums import sum_arrays
 
 SLOTS = 1 << 16
@@ -142,7 +143,7 @@ def fit(docs: DataFrame, *, max_rows: int = 3000, passes: int = 3, alpha: float
             at = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), batch.column(1).take(at), batch.column(2).take(at)], names=["x", "lang", "id"])
 
-    found = chosen.mapInArrow(read, "x binary, lang string, id long").collect()
+    found = chosen.mapInArrow(lean(read), "x binary, lang string, id long").collect()
     found.sort(key=lambda r: (xxhash.xxh64_intdigest(str(r["id"])), r["lang"], bytes(r["x"])))
     seen = sorted({r["lang"] for r in found}, key=lambda s: s.encode())
     if not seen:
@@ -189,7 +190,10 @@ def identify(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **t
                 out.append((languages[k], float(p[k])))
             yield pd.DataFrame(out, columns=["lang_pred", "score"])
 
-    predict.__annotations__ = {"texts": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
-    found = F.pandas_udf(predict, "lang_pred string, score double")(F.col(text).cast("string"))
+    def udf(texts):
+        return lean(predict)(texts)
+
+    udf.__annotations__ = {"texts": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
+    found = F.pandas_udf(udf, "lang_pred string, score double")(F.col(text).cast("string"))
     kept = docs.drop("lang_pred", "score", "held_out")
     return kept.withColumn("_out", found).select(*kept.columns, held_out(F.col(doc_id)).alias("held_out"), "_out.lang_pred", "_out.score")

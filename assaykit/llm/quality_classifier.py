@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assaykit.llm.common import cut, held_out, received, share, small_side, text_batches
+from assaykit.llm.memory import lean
 from assaykit.llm.sums import sum_arrays
 
 DIM = 48
@@ -40,7 +41,7 @@ _MARKS = re.compile(rb"[^a-z0-9\x80-\xff]+")
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 _SHAPE = bytes(0x41 if 0x41 <= b <= 0x5A else 0x61 if 0x61 <= b <= 0x7A or b >= 0x80 else 0x30 if 0x30 <= b <= 0x39 else b for b in range(256))
 _RUN = re.compile(rb"(.)\1+", re.DOTALL)
-MOST_KNOWN = 400_000
+MOST_KNOWN = 150_000
 
 
 class Slots(dict):
@@ -152,7 +153,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_rows: int = 12_000, hidden: i
     """(index vectors of shapes, word vectors, network); labels of held-out ids are not read."""
     known = labels.where(~held_out(F.col(doc_id)) & F.col(label).isNotNull()).groupBy(F.col(doc_id).alias("_id")).agg(F.min(label).alias("_label"))
     chosen = cut(known.orderBy(F.xxhash64("_id", F.lit(seed)), "_id").limit(max_rows))
-    rows = text_batches(docs).select(F.col(doc_id).alias("_doc"), F.col(text).cast("string").alias("_text")).join(small_side(chosen, max_rows), F.col("_doc") == F.col("_id")).select("_text", F.col("_label").cast("int").alias("_label"), "_id")
+    rows = text_batches(docs).select(F.col(doc_id).alias("_doc"), F.col(text).cast("string").alias("_text")).join(small_side(chosen, max_rows), F.col("_doc") == F.col("_id")).select("_text", F.col("_label").cast("int").alias("_label"), F.col("_id").cast("long").alias("_id"))
     rows = cut(rows)
     index, shape_index = index_vectors(WORD_SLOTS, seed), index_vectors(SHAPE_SLOTS, seed + 1)
     vectors = word_vectors(rows.select("_text"), index)
@@ -163,7 +164,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_rows: int = 12_000, hidden: i
             x = [pooled(*slots.read(t), vectors, shape_index).tobytes() for t in batch.column(0).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), batch.column(1), batch.column(2)], names=["x", "y", "id"])
 
-    found = rows.mapInArrow(features, "x binary, y int, id long").collect()
+    found = rows.mapInArrow(lean(features), "x binary, y int, id long").collect()
     found.sort(key=lambda r: (xxhash.xxh64_intdigest(str(r["id"])), r["id"], bytes(r["x"])))
     x = np.array([np.frombuffer(r["x"], np.float32) for r in found]).reshape(-1, FEATURES)
     network = Network(hidden, seed)
@@ -198,7 +199,7 @@ def _iterator_udf(run):
     import pandas as pd
 
     def udf(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        return run(texts)
+        return lean(run)(texts)
 
     udf.__annotations__ = {"texts": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return F.pandas_udf(udf, "double")

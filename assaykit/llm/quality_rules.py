@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assaykit.llm.common import cut, small_side, text_batches
+from assaykit.llm.memory import lean
 
 STATS = "doc_id long, stratum string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 SYMBOLS = b"#*$%&|<>"
@@ -93,7 +94,7 @@ def document_stats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
             columns = [pa.array(c, pa.int64()) for c in zip(*stats, strict=True)] if stats else [pa.array([], pa.int64())] * 5
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc_id", "stratum", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"])
 
-    return text_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(stratum).cast("string").alias("stratum"), F.col(text).cast("string").alias("text")).mapInArrow(run, STATS)
+    return text_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(stratum).cast("string").alias("stratum"), F.col(text).cast("string").alias("text")).mapInArrow(lean(run), STATS)
 
 
 def signals() -> dict[str, Column]:

@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from assaykit.llm.memory import lean
+
 #: An array is dealt out in this many equal parts.
 PARTS = 32
 
@@ -33,7 +35,7 @@ def sum_arrays(rows: DataFrame, count: Callable, size: int, dtype=np.float64) ->
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["part", "data"])
 
-    found = rows.mapInArrow(partial, "part int, data binary").repartition("part").mapInArrow(add, "part int, data binary").collect()
+    found = rows.mapInArrow(lean(partial), "part int, data binary").repartition("part").mapInArrow(lean(add), "part int, data binary").collect()
     out = np.zeros(size, dtype)
     for part, data in found:
         out[part * step : (part + 1) * step] = np.frombuffer(data, dtype)
