@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import pickle
 import re
+import shutil
 import tempfile
 
 from pyspark import Broadcast, cloudpickle
@@ -28,7 +30,10 @@ def scratch_folder(spark: SparkSession) -> str:
         named = spark.conf.get("spark.checkpoint.dir", None)
         if named is None and context.master != "local" and not context.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="assaykit-checkpoint-"))
+        if named is None:
+            named = tempfile.mkdtemp(prefix="assaykit-checkpoint-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
+        context.setCheckpointDir(named)
     return context.getCheckpointDir()
 
 
