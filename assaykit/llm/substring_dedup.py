@@ -30,7 +30,6 @@ from pyspark.sql import functions as F
 
 from assaykit.llm.common import cut
 from assaykit.llm.exchange import block_exchange, join_bytes, pack, split_bytes, unpack
-from assaykit.llm.memory import release
 from assaykit.llm.recurring import BITS, recurring_items, short
 from assaykit.llm.shingles import Powers, Words, mix
 
@@ -233,7 +232,6 @@ def _without(text: pd.Series, starts: pd.Series, lengths: pd.Series) -> pd.DataF
                 at = a + size
             kept += words[at:]
         out.append((len(words), len(words) - len(kept), b" ".join(kept).decode()))
-    release()
     return pd.DataFrame(out, columns=["n_words", "n_removed", "kept_text"])
 
 
