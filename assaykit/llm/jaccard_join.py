@@ -297,5 +297,6 @@ def jaccard_groups(
     sets = rows.join(members, F.col("doc_id").eqNullSafe(F.col("id"))).select("region", F.col("c").alias("class"), "text").mapInArrow(lean(to_sets), SETS)
     groups = components(join_regions(cut(sets), percent=percent, most=most, pivots=pivots, depths=depths))
     labelled = feats.drop("window").join(groups.withColumnRenamed("node", "c"), F.col("class") == F.col("c"), "left").withColumn("group", F.coalesce("root", "class")).select("doc_id", "n_shingles", "group")
-    least = labelled.where("group IS NOT NULL").groupBy("group").agg(F.min("doc_id").alias("least")).withColumnRenamed("group", "g")
+    # Written, so that the join deals both sides itself and may split a large group's rows.
+    least = cut(labelled.where("group IS NOT NULL").groupBy("group").agg(F.min("doc_id").alias("least")).withColumnRenamed("group", "g"))
     return labelled.join(least, F.col("group") == F.col("g"), "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
