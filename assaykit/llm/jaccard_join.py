@@ -12,7 +12,8 @@ ring, farther than e but within 2e, can link with the ball from outside, so only
 lies beyond is not compared with the ball at all. A region too large for a task is cut into Voronoi cells of several
 pivots: a cell holds the documents nearest to its pivot and, by the triangle inequality, those at most 2e farther
 from it than from their own; cells whose documents are all settled are dropped, others are cut again, and a cell
-that does not get smaller is joined in blocks.
+that does not get smaller is joined in blocks. A document that is compared in another cell is compared in this one too
+if it is in the ring of a pivot here, as the documents of that ball are then settled.
 
 Equal shingle sets are one class throughout, so thousands of exact copies count as one document. Shingles are
 64-bit hashes; the first step's are cut to 48 bits, which only adds comparisons.
@@ -212,7 +213,8 @@ def _split(sets: DataFrame, percent: int, pivots: int, depth: int) -> tuple[Data
     unsettled = F.exists("to", lambda t: t["ring"] & ~t["ball"] & ~F.array_contains(mine, t["group"]))
     home = F.array_min(F.transform("to", lambda t: F.struct(t["d"].alias("d"), t["k"].alias("k"))))
     reach = 2 * (100 - percent) / 100 + 1e-9
-    placed = cut(per_doc.withColumns({"home": home, "active": F.col("active") & ((F.size(mine) == 0) | unsettled)}))
+    # A row that came in inactive may be all that is left to compare with a row that settles here.
+    placed = cut(per_doc.withColumns({"home": home, "active": (F.col("active") & (F.size(mine) == 0)) | unsettled}))
     links = placed.select(F.col("class").alias("x"), F.explode(F.filter("to", lambda t: t["ball"])).alias("t")).select("x", F.col("t.pivot").alias("y")).where("x <> y")
     cells = placed.select("region", "class", "shingles", (F.col("active")).alias("live"), F.col("home.k").alias("own"), F.explode(F.filter("to", lambda t: t["d"] <= F.col("home.d") + reach)).alias("t"))
     cells = cells.withColumn("active", F.col("live") & (F.col("t.k") == F.col("own"))).withColumn("cell", _cell("region", F.col("t.k"), F.lit(depth)))

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from assaykit.llm.components import components
-from assaykit.llm.jaccard_join import jaccard_groups, link_region
+from assaykit.llm.jaccard_join import SETS, jaccard_groups, join_regions, link_region
 
 from .helpers import corpus, docs, prose, words
 
@@ -86,6 +86,47 @@ def test_link_region_against_all_pairs():
         assert got == want
 
 
+def chained(seed, clusters=10, size=10):
+    """Sets of 100 in close clusters, each cluster tied to the next by a single link."""
+    rng = random.Random(seed)
+    fresh = iter(range(1, 10**6))
+    centre, out = [next(fresh) for _ in range(100)], []
+    for _ in range(clusters):
+        out += [[next(fresh), *centre[1:]] for _ in range(size)]
+        after = list(centre)
+        moved = rng.sample(range(1, 100), 16)
+        for at in moved:
+            after[at] = next(fresh)
+        out.append([after[at] if at in moved[:3] else x for at, x in enumerate(centre)])
+        out.append([centre[at] if at in moved[3:6] else x for at, x in enumerate(after)])
+        centre = after
+    rng.shuffle(out)
+    return [np.array(sorted(s), np.uint64) for s in out]
+
+
+def test_regions_cut_on_several_levels_keep_every_link(spark):
+    rows, want = [], set()
+    for seed in range(12):
+        sets = chained(seed)
+        names = [f"{seed:02}/{i:03}".encode() for i in range(len(sets))]
+        roots = link_region(sets, [True] * len(sets), 80)
+        assert set(roots) == {0}
+        want |= {(n, names[0]) for n in names}
+        rows += [(names[0][:2], n, [int(x) for x in s], True) for n, s in zip(names, sets, strict=True)]
+    links = join_regions(spark.createDataFrame(rows, SETS), percent=80, most=1000, pivots=3, depths=3)
+    assert {(bytes(r["node"]), bytes(r["root"])) for r in components(links).collect()} == want
+
+
+def test_inactive_row_beside_a_settled_one_is_compared(spark):
+    """Only x and y, and y and z, are linked; z came in inactive. Any of the three may be the pivot."""
+    rows = []
+    for i in range(8):
+        for name, first, active in (("x", 0, True), ("y", 8, True), ("z", 16, False)):
+            rows.append((f"{i}".encode(), f"{i}{name}".encode(), list(range(first, first + 100)), active))
+    links = join_regions(spark.createDataFrame(rows, SETS), percent=80, most=100, pivots=1, depths=1)
+    assert {(bytes(r["node"]), bytes(r["root"])) for r in components(links).collect()} == {(f"{i}{n}".encode(), f"{i}x".encode()) for i in range(8) for n in "xyz"}
+
+
 def test_components(spark):
     rng = random.Random(13)
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 101 + i) for i in range(50)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)] + [(7, 7)]
