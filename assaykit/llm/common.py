@@ -8,6 +8,7 @@ import re
 import shutil
 import tempfile
 
+import xxhash
 from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,6 +76,12 @@ def text_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def text_hash(text: bytes | None) -> int:
+    """What Spark's xxhash64 gives for a text."""
+    h = 42 if text is None else xxhash.xxh64_intdigest(text, 42)
+    return h - (1 << 64) if h >> 63 else h
+
+
 def word_count(text: Column) -> Column:
     """Number of words; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

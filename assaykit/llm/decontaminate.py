@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assaykit.llm.common import received, share, text_batches
+from assaykit.llm.common import received, share, text_batches, text_hash
 from assaykit.llm.exchange import documents_in_blocks
 from assaykit.llm.memory import lean
 
@@ -120,8 +120,12 @@ def find_contamination(
     item_text: str = "text",
     block_bytes: int = 4 << 20,
     shard_bytes: int = 8 << 20,
+    keyed: bool = False,
 ) -> DataFrame:
-    """A row of RESULT for each document; items holds the ids of the items with occurring windows, sorted."""
+    """A row of RESULT for each document; items holds the ids of the items with occurring windows, sorted.
+
+    keyed adds text_hash, the xxhash64 of the row's text, which tells rows without an id, or with the same, apart.
+    """
     session = docs.sparkSession
     rows = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).cast("string").alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -166,8 +170,9 @@ def find_contamination(
                     pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in lists]),
                     pa.array(hits > 0),
                     pa.array(lists, pa.list_(pa.string())),
+                    *([pa.array(map(text_hash, texts), pa.int64())] if keyed else []),
                 ],
-                names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items"],
+                names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", *(["text_hash"] if keyed else [])],
             )
 
-    return text_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(lean(run), RESULT)
+    return text_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(lean(run), RESULT + ", text_hash long" * keyed)

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assaykit.llm.common import cut, small_side
+from assaykit.llm.common import cut, small_side, text_hash
 from assaykit.llm.components import components
 from assaykit.llm.exchange import SLICE, pack, unpack
 from assaykit.llm.memory import lean
@@ -51,8 +51,11 @@ def _class_of(shingles: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(shingles.tobytes())
 
 
-def features(docs: DataFrame, k: int, percent: int, block_bytes: int) -> DataFrame:
-    """Rows of FEATURES: the class is a hash of the shingle set, null without shingles; window: rarest shared shingles."""
+def features(docs: DataFrame, k: int, percent: int, block_bytes: int, keyed: bool = False) -> DataFrame:
+    """Rows of FEATURES: the class is a hash of the shingle set, null without shingles; window: rarest shared shingles.
+
+    keyed adds text_hash.
+    """
     held: dict = {}
 
     def items(ids, texts):
@@ -69,11 +72,11 @@ def features(docs: DataFrame, k: int, percent: int, block_bytes: int) -> DataFra
                 sizes.append(len(s))
             of.append(c + 1)
         known = np.array([i is not None for i in ids], np.uint8)
-        notes = pack(known, np.array([i or 0 for i in ids], np.int64), np.array(of, np.int64), np.array(sizes, np.int64), np.array([len(u) for u in units], np.int64), b"".join(classes))
+        notes = pack(known, np.array([i or 0 for i in ids], np.int64), np.array(of, np.int64), np.array(sizes, np.int64), np.array([len(u) for u in units], np.int64), b"".join(classes), np.array([text_hash(t) for t in texts] if keyed else [], np.int64))
         return units, notes
 
     def rows(notes, unit, item, count):
-        known, ids, of, sizes, distinct, names = unpack(notes)
+        known, ids, of, sizes, distinct, names, hashes = unpack(notes)
         of, sizes, distinct = of.astype(np.int64), sizes.astype(np.int64), distinct.astype(np.int64)
         shared = np.bincount(unit, minlength=len(sizes))
         length = allowed(sizes, percent) - (distinct - shared) + 1
@@ -92,11 +95,12 @@ def features(docs: DataFrame, k: int, percent: int, block_bytes: int) -> DataFra
                 pa.array([names[16 * c - 16 : 16 * c] if c else None for c in of.tolist()], pa.binary()),
                 pa.array(np.append(0, sizes)[of]),
                 pa.array(out, pa.list_(pa.int64())),
+                *([pa.array(hashes.astype(np.int64))] if keyed else []),
             ],
-            names=["doc_id", "class", "n_shingles", "window"],
+            names=["doc_id", "class", "n_shingles", "window", *(["text_hash"] if keyed else [])],
         )
 
-    return recurring_items(docs, items, rows, FEATURES, block_bytes=block_bytes)
+    return recurring_items(docs, items, rows, FEATURES + ", text_hash long" * keyed, block_bytes=block_bytes)
 
 
 class Region:
@@ -270,15 +274,17 @@ def jaccard_groups(
     pivots: int = 8,
     depths: int = 6,
     broadcast_rows: int = 200_000,
+    keyed: bool = False,
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row: documents link from percent similarity on.
 
-    percent is above 50. most bounds the shingles that a task holds of a region.
+    percent is above 50. most bounds the shingles that a task holds of a region. keyed adds text_hash, the xxhash64 of
+    the row's text, and first: whether no other id and text of the group comes before the row's, ids that are null last.
     """
     if not 50 < percent <= 100:
         raise ValueError("percent must be above 50 and at most 100")
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    feats = cut(features(rows, k, percent, block_bytes))
+    feats = cut(features(rows, k, percent, block_bytes, keyed))
     windows = feats.select("class", F.explode("window").alias("pivot")).distinct()
     hubs = windows.groupBy("pivot").agg(F.min("class").alias("hub"), F.max("class").alias("last")).where("hub <> last").select(F.col("pivot").alias("p"), "hub")
     overlapping = windows.join(hubs, F.col("pivot") == F.col("p")).where(F.col("class") != F.col("hub")).select(F.col("class").alias("x"), F.col("hub").alias("y"))
@@ -298,7 +304,10 @@ def jaccard_groups(
 
     sets = rows.join(members, F.col("doc_id").eqNullSafe(F.col("id"))).select("region", F.col("c").alias("class"), "text").mapInArrow(lean(to_sets), SETS)
     groups = components(join_regions(cut(sets), percent=percent, most=most, pivots=pivots, depths=depths))
-    labelled = feats.drop("window").join(groups.withColumnRenamed("node", "c"), F.col("class") == F.col("c"), "left").withColumn("group", F.coalesce("root", "class")).select("doc_id", "n_shingles", "group")
+    labelled = feats.drop("window").join(groups.withColumnRenamed("node", "c"), F.col("class") == F.col("c"), "left").withColumn("group", F.coalesce("root", "class")).select("doc_id", "n_shingles", "group", *["text_hash"] * keyed)
+    key = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_hash") if keyed else None
+    best = [F.min(key).alias("best")] if keyed else []
+    first = ["text_hash", (F.col("best").isNull() | key.eqNullSafe(F.col("best"))).alias("first")] if keyed else []
     # Written, so that the join deals both sides itself and may split a large group's rows.
-    least = cut(labelled.where("group IS NOT NULL").groupBy("group").agg(F.min("doc_id").alias("least")).withColumnRenamed("group", "g"))
-    return labelled.join(least, F.col("group") == F.col("g"), "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
+    least = cut(labelled.where("group IS NOT NULL").groupBy("group").agg(F.min("doc_id").alias("least"), *best).withColumnRenamed("group", "g"))
+    return labelled.join(least, F.col("group") == F.col("g"), "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"), *first)

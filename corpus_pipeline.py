@@ -3,9 +3,10 @@
 Each stage takes (spark, docs, sf_dir) and works on all that the one before kept; run() writes each stage's result as
 Parquet in the shared folder and reads it again, so a lost executor never costs more than the stage at work.
 
-Defined cases, beside those of the operators: a document without an id can't be told from others without one, so the
-second and fourth stage keep it; rows that repeat an id and a text are near duplicates, of which one stays; a
-document that the third stage leaves without words goes; stages pass empty tables on. Stages return the columns of
+Defined cases, beside those of the operators: the second and fourth stage tell rows apart by id and hash of the text, so
+they drop rows without an id as others; a group without any id keeps its first text by hash, and one row of it; rows
+that repeat an id and a text are near duplicates, of which one stays, but rows without an id and without words all
+stay, as they link with nothing; a document that the third stage leaves without words goes; stages pass empty tables on. Stages return the columns of
 documents, the last one also size, source_size, target, taken and epochs of each document that the mix takes.
 """
 
@@ -16,20 +17,21 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaykit.llm.common import cut, scratch_folder, small_side, table
+from assaykit.llm.common import cut, scratch_folder, small_side, table, word_count
 from assaykit.llm.decontaminate import find_contamination
 from assaykit.llm.jaccard_join import jaccard_groups
 from assaykit.llm.mixing import mix_sources
 from assaykit.llm.quality_classifier import classify_quality
 from assaykit.llm.substring_dedup import remove_repeats
 
-#: Ids, eight bytes each, are broadcast up to this number; beyond it the joins shuffle.
+#: Ids with text hashes, sixteen bytes each, are broadcast up to this number; beyond it the joins shuffle.
 BROADCAST_IDS = 500_000
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    gone = small_side(cut(ids.select(F.col("doc_id").alias("_gone")).where("_gone IS NOT NULL").distinct()), BROADCAST_IDS)
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+def _without(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """docs without the rows that have both id, which may be null, and text hash of a row of keys."""
+    gone = small_side(cut(keys.select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_hash")).distinct()), BROADCAST_IDS)
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")) & (F.xxhash64("text") == F.col("_hash")), "left_anti")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,12 +40,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id."""
-    groups = cut(jaccard_groups(docs))
-    kept = _without(docs, groups.where("doc_id <> component_id"))
-    if not groups.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").isEmpty():
-        once = kept.where("doc_id IS NOT NULL").withColumn("_key", F.xxhash64("text")).dropDuplicates(["doc_id", "_key"]).drop("_key")
-        kept = once.unionByName(kept.where("doc_id IS NULL"))
+    """Of each group of linked documents the one with the smallest id, or the smallest text hash if none has an id."""
+    groups = cut(jaccard_groups(docs, keyed=True))
+    kept = _without(docs, groups.where("NOT first"))
+    if not groups.where("first AND (doc_id IS NOT NULL OR n_shingles > 0)").groupBy("doc_id", "text_hash").count().where("count > 1").isEmpty():
+        alone = F.col("doc_id").isNull() & (word_count(F.col("text")) == 0)
+        once = kept.where(~alone).withColumn("_key", F.xxhash64("text")).dropDuplicates(["doc_id", "_key"]).drop("_key")
+        kept = once.unionByName(kept.where(alone))
     return kept
 
 
@@ -57,7 +60,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def benchmark_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of a benchmark item."""
-    return _without(docs, find_contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated"))
+    return _without(docs, find_contamination(docs, table(spark, sf_dir, "benchmark"), keyed=True).where("contaminated"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

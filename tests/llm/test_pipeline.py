@@ -80,6 +80,22 @@ def test_each_stage_against_brute_force(spark, tmp_path):
     assert {(r["doc_id"], r["text"]) for r in rows} <= {r[:2] for r in plain(e)}
 
 
+def test_rows_are_dropped_by_id_and_text(spark, tmp_path):
+    rng = random.Random(32)
+    a, b, c, d, e, f, item = (prose(rng, 40) for _ in range(7))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    near = docs(spark, [(1, a), (2, a), (2, b), (None, a), (None, c), (None, c), (None, c + " x"), (3, d), (3, d + " x"), (None, e), (5, ""), (5, ""), (None, ""), (None, ""), (None, None), (6, f), (6, f)])
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, near, str(tmp_path)).collect()]
+    for one, other, i in ((c, c + " x", None), (d, d + " x", 3)):
+        assert ((i, one) in got) != ((i, other) in got)
+    assert sorted(map(str, (r for r in got if r[1] not in (c, c + " x", d, d + " x")))) == sorted(map(str, [(1, a), (2, b), (None, e), (5, ""), (None, ""), (None, ""), (None, None), (6, f)]))
+    assert len(got) == 10
+
+    dirty = docs(spark, [(1, a), (1, item), (None, f"{b} {item}"), (None, c), (2, "x " + item), (None, None)])
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.benchmark_items(spark, dirty, str(tmp_path)).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, [(1, a), (None, c), (None, None)]))
+
+
 def test_run_applies_the_stages_to_documents(spark, tmp_path):
     make(spark, str(tmp_path))
     first = corpus_pipeline.run(spark, str(tmp_path))
