@@ -3,8 +3,10 @@
 A text's lower-cased letters, other characters as one blank, give its n-grams of one to three code points, hashed
 into 2^16 slots. A slot's weight in a text is its share of the text's n-grams times its inverse document frequency,
 counted over all labelled rows outside the holdout. One logistic regression over the learned languages is trained by
-follow-the-regularised-leader with elastic-net penalties, on at most ``max_rows`` rows per pass in a fixed order; a
-fifth of the rows chooses the temperature of the softmax. The share of slots with a weight of 0 grows with the l1
+follow-the-regularised-leader with elastic-net penalties, on about ``max_rows`` rows per pass, or one of each language
+if there are more languages, in a fixed order; a fifth of the rows chooses the temperature of the softmax. The sample
+is never above twice the larger of ``max_rows`` and the number of languages. Weights are dense over the languages, so
+more than ``max_languages`` of them raise an error; none is left out. The share of slots with a weight of 0 grows with the l1
 penalty. A text is read in chunks, so a very long one needs no more memory than a short one.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0; without any labelled row every text is;
@@ -119,18 +121,22 @@ def softmax(logits: np.ndarray) -> np.ndarray:
 TEMPERATURES = [float(t) for t in np.geomspace(0.05, 10, 61)]
 
 
-def fit(docs: DataFrame, *, max_rows: int = 3000, passes: int = 3, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.001, l2: float = 0.001, doc_id: str = "doc_id", text: str = "text", lang: str = "lang"):
+def fit(docs: DataFrame, *, max_rows: int = 3000, max_languages: int = 1000, passes: int = 3, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.001, l2: float = 0.001, doc_id: str = "doc_id", text: str = "text", lang: str = "lang"):
     """(languages, weights by slot times IDF, constants, temperature); rows of held-out ids are not read."""
     rows = text_batches(docs).where(~held_out(F.col(doc_id)) & F.col(lang).isNotNull()).select(F.col(text).cast("string").alias("_text"), F.col(lang).cast("string").alias("_lang"), F.col(doc_id).cast("long").alias("_id"))
     frequency, n = document_frequencies(rows.select("_text"))
     idf = np.log((1 + n) / (1 + frequency)) + 1
     # As many rows of each language, at most, so that a rare one is learned as well.
-    counts = rows.groupBy("_lang").count()
-    languages = [r["_lang"] for r in counts.orderBy("_lang").limit(1000).collect()]
-    share = max(1, max_rows // max(1, len(languages)))
-    dealt = rows.join(F.broadcast(counts.orderBy("_lang").limit(1000)).withColumnRenamed("_lang", "_l"), F.col("_lang") == F.col("_l"))
     draw = F.pmod(F.xxhash64("_id", F.lit("draw")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    chosen = cut(dealt.where(draw * F.col("count") <= 1.2 * share).select("_text", "_lang", "_id").orderBy(F.xxhash64("_id", F.lit("order")), "_id").limit(2 * max_rows))
+    counts = cut(rows.groupBy("_lang").agg(F.count("*").alias("count"), F.min(F.when(F.col("_text").rlike(r"\p{L}"), draw)).alias("least")))
+    n_languages = counts.limit(max_languages + 1).count()
+    if n_languages > max_languages:
+        raise ValueError(f"more than {max_languages} languages are labelled; raise max_languages or merge labels")
+    share = max(1, max_rows // max(1, n_languages))
+    dealt = rows.join(F.broadcast(counts).withColumnRenamed("_lang", "_l"), F.col("_lang") == F.col("_l"))
+    # The row with a language's least draw is taken in any case, so that chance leaves no language out.
+    dealt = dealt.withColumn("_first", F.coalesce(draw == F.col("least"), F.lit(False))).where((draw * F.col("count") <= 1.2 * share) | F.col("_first"))
+    chosen = cut(dealt.select("_text", "_lang", "_id", "_first").orderBy(F.desc("_first"), F.xxhash64("_id", F.lit("order")), "_id").limit(2 * max(max_rows, n_languages)).drop("_first"))
 
     def read(batches):
         for batch in batches:
@@ -154,6 +160,8 @@ def fit(docs: DataFrame, *, max_rows: int = 3000, passes: int = 3, alpha: float
         examples.append((x[: len(x) // 2].astype(np.int64), x[len(x) // 2 :].astype(np.float64), seen.index(r["lang"])))
     apart = examples[::5] if len(examples) >= 20 else []
     own = [e for i, e in enumerate(examples) if i % 5] if apart else examples
+    learned = {label for *_, label in own}
+    own = own + [e for e in apart if e[2] not in learned]  # a language with a single row is learned from it
     model = Ftrl(len(seen), alpha, beta, l1, l2)
     for _ in range(passes):
         for slots, values, label in own:

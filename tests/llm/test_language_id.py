@@ -2,10 +2,11 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from assaykit.llm import language_id
-from assaykit.llm.language_id import Ftrl, grams, has_letter, identify
+from assaykit.llm.language_id import Ftrl, fit, grams, has_letter, identify
 
 from .helpers import docs
 
@@ -36,6 +37,20 @@ def test_held_out_languages_teach_nothing(spark):
     assert {r["lang_pred"] for r in identify(docs(spark, other)).collect()} == {"xx"}
 
 
+def test_no_language_is_left_out(spark):
+    rng = random.Random(5)
+    frame = docs(spark, [(i, text(rng, "xx", 3) if i % 3 else "12", f"l{i % 40:02}", "s") for i in range(1200)])
+    assert fit(frame, max_rows=40, max_languages=40, passes=1)[0] == [f"l{i:02}" for i in range(40)]
+    with pytest.raises(ValueError, match="more than 39 languages"):
+        identify(frame, max_languages=39)
+
+
+def test_too_many_languages_raise(spark):
+    frame = docs(spark, [(i, "abc", f"l{i}", "s") for i in range(1600)])
+    with pytest.raises(ValueError, match="more than 1000 languages"):
+        identify(frame)
+
+
 def test_nothing_to_learn(spark):
     got = identify(docs(spark, [(1, "abc", None, "s"), (2, "def", None, "s")])).collect()
     assert {(r["lang_pred"], r["score"]) for r in got} == {("und", 0.0)}
