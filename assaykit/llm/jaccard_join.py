@@ -1,29 +1,39 @@
 """N-gram Jaccard join as an exact metric-space join, with the groups of linked documents.
 
 Jaccard distance is a metric, so documents within e of each other lie within e of each other's distance to any
-pivot. On word shingles nearly all pairs are at distance 1, and document pivots chosen from the whole corpus tell
-nothing apart. The first regions therefore have single shingles as pivots: a document is nearer than 1 to just the
-pivots it contains, and of its n shingles in any common order the first n - ceil(t n) + 1 are a window that no
-linked document can miss. The order is rarest first; shingles that no other document has cannot be shared, so a
-document with more of those than it may differ in has an empty window and is done. Regions that overlap are one.
-
-Within a region documents are pivots. A pivot's linked documents, its ball, are one group; only documents in the
-ring, farther than e but within 2e, can link with the ball from outside, so only those become pivots again; and what
-lies beyond is not compared with the ball at all. A region too large for a task is cut into Voronoi cells of several
-pivots: a cell holds the documents nearest to its pivot and, by the triangle inequality, those at most 2e farther
-from it than from their own; cells whose documents are all settled are dropped, others are cut again, and a cell
-that does not get smaller is joined in blocks. A document that is compared in another cell is compared in this one too
-if it is in the ring of a pivot here, as the documents of that ball are then settled.
-
-Equal shingle sets are one class throughout, so thousands of exact copies count as one document. Shingles are
-64-bit hashes; the first step's are cut to 48 bits, which only adds comparisons.
+pivot. On word shingles nearly all pairs are at distance 1, so pivots drawn from the whole corpus would tell nothing
+apart: each one must be near the documents that it is to divide. Of its n shingles in any common order the first
+n - ceil(t n) + 1 are a window that no linked document can miss; the order is rarest first, and as shingles that no
+other document has cannot be shared, a document with more of those than it may differ in has an empty window and is
+done. The documents with a shingle in their windows are a region, and the smallest of them (by the hash of its set)
+is its pivot. A pivot that is in the region of a smaller one hands its own regions over to that, twice; whatever it
+hands to whom, two documents with a window's shingle in common stay in one region. So a region is named by its
+pivot, holds what is near it, and a document is in one or two of them.
+
+A region is then joined recursively. Several of its documents become pivots. A pivot's linked documents, its ball,
+are one group; only documents in its ring, farther than e but within 2e, can link with the ball from outside, so only
+those are compared again; what lies beyond is not compared with the ball at all. What is unsettled is cut into the
+pivots' Voronoi cells: a cell holds the documents nearest to its pivot and, by the triangle inequality, those at most
+2e farther from it than from their own. Cells whose documents are all settled are dropped, the others are cut again,
+until few documents are left to compare or a cell no longer gets smaller. Regions within a task's memory are cut in
+the task, larger ones first by the same steps as DataFrame operations; a cell that doesn't get smaller there is
+joined in blocks. A document that is compared in another cell is compared in this one too if it is in the ring of a
+pivot here, as the documents of that ball are then settled.
+
+Equal shingle sets are one class throughout, settled inside each block of documents before anything is exchanged, so
+thousands of exact copies count as one document and as one row a block. Shingles are 64-bit hashes; the first step's
+are cut to 48 bits, which only adds comparisons.
 
 Defined cases: a text without words, or null, has 0 shingles and links with nothing; a text of fewer words than a
-shingle has one; a null id is reached but never the smallest; repeated rows are linked; an empty table gives none.
+shingle has one; a null id is reached but never the smallest; repeated rows are linked, with equal or without ids; a
+text above a block's size is a block of its own, read whole; an empty table gives none; other columns are not read,
+so their names can't clash.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -37,9 +47,13 @@ from assaykit.llm.memory import lean
 from assaykit.llm.recurring import recurring_items, short
 from assaykit.llm.shingles import Powers, shingle_sets
 
-FEATURES = "doc_id long, class binary, n_shingles long, window array<long>"
+MEMBERS = "array<struct<doc_id:long,text_hash:long>>"
+FEATURES = f"class binary, n_shingles long, window array<long>, members {MEMBERS}"
 SETS = "region binary, class binary, shingles array<long>, active boolean"
 LINKS = "x binary, y binary"
+#: So few documents are compared one by one; more are cut into cells.
+LEAF = 4
+MOST_PIVOTS = 16
 
 
 def allowed(n: np.ndarray | int, percent: int):
@@ -51,10 +65,10 @@ def _class_of(shingles: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(shingles.tobytes())
 
 
-def features(docs: DataFrame, k: int, percent: int, block_bytes: int, keyed: bool = False) -> DataFrame:
-    """Rows of FEATURES: the class is a hash of the shingle set, null without shingles; window: rarest shared shingles.
+def features(docs: DataFrame, k: int, percent: int, block_bytes: int) -> DataFrame:
+    """Rows of FEATURES, one for each class in a block: a class is a hash of a shingle set, null without shingles.
 
-    keyed adds text_hash.
+    window: its rarest shared shingles; members: the ids and text hashes of the block's documents with that set.
     """
     held: dict = {}
 
@@ -72,35 +86,30 @@ def features(docs: DataFrame, k: int, percent: int, block_bytes: int, keyed: boo
                 sizes.append(len(s))
             of.append(c + 1)
         known = np.array([i is not None for i in ids], np.uint8)
-        notes = pack(known, np.array([i or 0 for i in ids], np.int64), np.array(of, np.int64), np.array(sizes, np.int64), np.array([len(u) for u in units], np.int64), b"".join(classes), np.array([text_hash(t) for t in texts] if keyed else [], np.int64))
+        hashes = np.array([text_hash(t) for t in texts], np.int64).view(np.uint64)
+        notes = pack(known, np.array([i or 0 for i in ids], np.int64), hashes, np.array(of, np.int64), np.array(sizes, np.int64), np.array([len(u) for u in units], np.int64), b"".join(classes))
         return units, notes
 
     def rows(notes, unit, item, count):
-        known, ids, of, sizes, distinct, names, hashes = unpack(notes)
+        known, ids, hashes, of, sizes, distinct, names = unpack(notes)
         of, sizes, distinct = of.astype(np.int64), sizes.astype(np.int64), distinct.astype(np.int64)
         shared = np.bincount(unit, minlength=len(sizes))
         length = allowed(sizes, percent) - (distinct - shared) + 1
         order = np.lexsort((item, count, unit))
         place = np.arange(len(order)) - np.searchsorted(unit[order], unit[order])
         chosen = order[place < length[unit[order]]]
-        windows = np.split(item[chosen].astype(np.int64), np.searchsorted(unit[chosen], np.arange(1, len(sizes)))) if len(sizes) else []
-        first = np.zeros(len(sizes) + 1, bool)
-        out: list = []
-        for c in of.tolist():
-            out.append([] if not c or first[c] else windows[c - 1])
-            first[c] = True
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(ids.astype(np.int64), mask=known == 0),
-                pa.array([names[16 * c - 16 : 16 * c] if c else None for c in of.tolist()], pa.binary()),
-                pa.array(np.append(0, sizes)[of]),
-                pa.array(out, pa.list_(pa.int64())),
-                *([pa.array(hashes.astype(np.int64))] if keyed else []),
-            ],
-            names=["doc_id", "class", "n_shingles", "window", *(["text_hash"] if keyed else [])],
-        )
-
-    return recurring_items(docs, items, rows, FEATURES + ", text_hash long" * keyed, block_bytes=block_bytes)
+        # Row 0 is for documents without shingles, row c for class c - 1.
+        n_window = np.bincount(unit[chosen] + 1, minlength=len(sizes) + 1)
+        window = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n_window)), pa.int32()), pa.array(item[chosen].astype(np.int64)))
+        by_class = np.argsort(of, kind="stable")
+        n_members = np.bincount(of, minlength=len(sizes) + 1)
+        member = pa.StructArray.from_arrays([pa.array(ids.astype(np.int64)[by_class], mask=known[by_class] == 0), pa.array(hashes.view(np.int64)[by_class])], ["doc_id", "text_hash"])
+        members = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n_members)), pa.int32()), member)
+        name = pa.array([None, *(names[i : i + 16] for i in range(0, len(names), 16))], pa.binary())
+        out = pa.RecordBatch.from_arrays([name, pa.array(np.append(0, sizes)), window, members], names=["class", "n_shingles", "window", "members"])
+        return out if n_members[0] else out.slice(1)
+
+    return recurring_items(docs, items, rows, FEATURES, block_bytes=block_bytes)
 
 
 class Region:
@@ -116,63 +125,110 @@ class Region:
         self.counts = counts
         self.tokens = np.split(token, np.cumsum(self.sizes)[:-1])
 
-    def overlaps(self, p: int) -> np.ndarray:
-        """Of document p with every document."""
+    def overlaps(self, p: int) -> tuple[np.ndarray, np.ndarray]:
+        """(documents that share a shingle with document p, how many they share)."""
         t = self.tokens[p]
         n = self.counts[t]
-        places = np.repeat(self.begin[t] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        return np.bincount(self.docs[places], minlength=len(self.sizes))
+        near = self.docs[np.repeat(self.begin[t] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        if len(near) < len(self.sizes):
+            return np.unique(near, return_counts=True)
+        both = np.bincount(near, minlength=len(self.sizes))
+        who = np.flatnonzero(both)
+        return who, both[who]
 
 
-def link_region(sets: list[np.ndarray], active: list[bool], percent: int) -> list[int]:
-    """For each document the first one of its group, as far as links of active documents reach."""
-    region = Region(sets)
-    root = list(range(len(sets)))
+class Groups:
+    """Documents found to be linked."""
 
-    def find(i):
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
+    def __init__(self, n: int):
+        self.root = list(range(n))
+
+    def find(self, i: int) -> int:
+        while self.root[i] != i:
+            self.root[i] = self.root[self.root[i]]
+            i = self.root[i]
         return i
 
-    settled = ~np.array(active)
-    must = np.zeros(len(sets), bool)
-    stack = list(range(len(sets) - 1, -1, -1))
-    done = np.zeros(len(sets), bool)
+    def link(self, i: int, j: int) -> None:
+        a, b = self.find(i), self.find(j)
+        if a != b:
+            self.root[max(a, b)] = min(a, b)
+
+
+def _compare(region: Region, members: list[int], active: np.ndarray, percent: int, groups: Groups) -> None:
+    """Links of active documents of a region, one after the other, with all of it; members are their numbers in groups."""
+    settled = ~active
+    must, done = np.zeros(len(members), bool), np.zeros(len(members), bool)
+    stack = np.flatnonzero(active)[::-1].tolist()
     while stack:
         p = stack.pop()
         if done[p] or (settled[p] and not must[p]):
             continue
         done[p] = True
-        both = region.overlaps(p)
-        union = region.sizes + region.sizes[p] - both
+        who, both = region.overlaps(p)
+        union = region.sizes[who] + region.sizes[p] - both
         ball = 100 * both >= percent * union
-        for i in np.flatnonzero(ball).tolist():
-            a, b = find(p), find(i)
-            if a != b:
-                root[max(a, b)] = min(a, b)
-        settled |= ball
+        for i in who[ball].tolist():
+            groups.link(members[p], members[i])
+        settled[who[ball]] = True
         # Within 2e of the pivot, but not in its group: may link with a settled document of the ball.
-        for z in np.flatnonzero((100 * both >= (2 * percent - 100) * union) & ~ball & ~done & ~must).tolist():
-            if find(z) != find(p):
+        again = who[(100 * both >= (2 * percent - 100) * union) & ~ball]
+        for z in again[~done[again] & ~must[again]].tolist():
+            if groups.find(members[z]) != groups.find(members[p]):
                 must[z] = True
                 stack.append(z)
-    return [find(i) for i in range(len(sets))]
 
 
-def _join_regions(sets: DataFrame, percent: int) -> DataFrame:
+def _cells(region: Region, members: list[int], active: np.ndarray, percent: int, groups: Groups) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(documents, whether each is active) of the Voronoi cells of a region that have something left to compare."""
+    live = np.flatnonzero(active)
+    pivots = live[np.unique(np.linspace(0, len(live) - 1, min(MOST_PIVOTS, max(2, math.isqrt(len(live))))).astype(int))]
+    both = np.zeros((len(pivots), len(members)), np.int64)
+    for k, p in enumerate(pivots.tolist()):
+        who, n = region.overlaps(p)
+        both[k, who] = n
+    union = region.sizes + region.sizes[pivots][:, None] - both
+    ball = 100 * both >= percent * union
+    for k, i in zip(*(x.tolist() for x in np.nonzero(ball)), strict=True):
+        groups.link(members[pivots[k]], members[i])
+    root = np.array([groups.find(m) for m in members])
+    ring = (100 * both >= (2 * percent - 100) * union) & ~ball & (root != root[pivots][:, None])
+    # A document that came in inactive may be all that is left to compare with one that settles here.
+    active = (active & ~ball.any(0)) | ring.any(0)
+    far = 1 - both / union
+    home = far.argmin(0)
+    within = far <= far.min(0) + 2 * (100 - percent) / 100 + 1e-9
+    cells = ((np.flatnonzero(w), active[w] & (home[w] == k)) for k, w in enumerate(within))
+    return [(docs, own) for docs, own in cells if own.any()]
+
+
+def link_region(sets: list[np.ndarray], active: list[bool], percent: int) -> tuple[list[int], int]:
+    """(for each document the first one of its group, as far as links of active documents reach; Voronoi cells made)."""
+    groups, made = Groups(len(sets)), 0
+    stack = [(list(range(len(sets))), np.array(active, bool), False)]
+    while stack:
+        members, live, stuck = stack.pop()
+        region = Region([sets[i] for i in members])
+        if stuck or live.sum() <= LEAF:
+            _compare(region, members, live, percent, groups)
+            continue
+        for docs, own in _cells(region, members, live, percent, groups):
+            made += 1
+            stack.append(([members[i] for i in docs.tolist()], own, len(docs) > 0.9 * len(members)))
+    return [groups.find(i) for i in range(len(sets))], made
+
+
+def _join_regions(sets: DataFrame, percent: int, counter) -> DataFrame:
     """LINKS of each region's documents with the first one of their group."""
 
     def run(batches):
         region, names, shingles, active = None, [], [], []
 
         def close():
-            first: dict[bytes, int] = {}
-            for i, name in enumerate(names):  # a class may come more than once
-                first.setdefault(name, i)
-            keep = sorted(first.values())
-            roots = link_region([shingles[i] for i in keep], [any(active[j] for j in range(len(names)) if names[j] == names[i]) if len(keep) < len(names) else active[i] for i in keep], percent)
-            pairs = [(names[keep[i]], names[keep[r]]) for i, r in enumerate(roots) if i != r]
+            roots, made = link_region(shingles, active, percent)
+            if counter is not None:
+                counter.add(made)
+            pairs = [(names[i], names[r]) for i, r in enumerate(roots) if i != r]
             return pa.RecordBatch.from_arrays([pa.array([p[j] for p in pairs], pa.binary()) for j in (0, 1)], names=["x", "y"])
 
         for batch in batches:
@@ -182,6 +238,9 @@ def _join_regions(sets: DataFrame, percent: int) -> DataFrame:
                     yield close()
                     names, shingles, active = [], [], []
                 region = r
+                if names and names[-1] == name:  # rows come in order of their class
+                    active[-1] |= a
+                    continue
                 names.append(name)
                 shingles.append(values[ends[i] : ends[i + 1]].copy())
                 active.append(a)
@@ -198,27 +257,25 @@ def _cell(*parts) -> F.Column:
 def _split(sets: DataFrame, percent: int, pivots: int, depth: int) -> tuple[DataFrame, DataFrame]:
     """(links with pivots, the Voronoi cells that still have unsettled documents), of large regions."""
     chosen = [F.min_by(F.struct("class", "shingles"), F.xxhash64("class", F.lit(depth), F.lit(i))).alias(f"p{i}") for i in range(pivots)]
-    some = cut(sets.groupBy("region").agg(*chosen).select(F.col("region").alias("r"), F.posexplode(F.array(*[f"p{i}" for i in range(pivots)])).alias("k", "pivot")).withColumn("name", F.col("pivot.class")).dropDuplicates(["r", "name"]))
+    some = sets.groupBy("region").agg(*chosen).select(F.col("region").alias("r"), F.posexplode(F.array(*[f"p{i}" for i in range(pivots)])).alias("k", "pivot"))
+    some = cut(some.withColumn("name", F.col("pivot.class")).dropDuplicates(["r", "name"]))
     near = some.alias("a").join(some.alias("b"), "r").where(_overlap_at_least(F.col("a.pivot.shingles"), F.col("b.pivot.shingles"), percent))
-    some = cut(some.join(near.groupBy("r", F.col("a.k").alias("k")).agg(F.min("b.k").alias("group")), ["r", "k"]))
-    measured = sets.join(small_side(some, 64), F.col("region") == F.col("r")).withColumn("both", F.size(F.array_intersect("shingles", "pivot.shingles")))
-    union = F.size("shingles") + F.size("pivot.shingles") - F.col("both")
-    measured = measured.withColumns({
-        "d": 1 - F.col("both") / union,
-        "ball": 100 * F.col("both") >= percent * union,
-        "ring": 100 * F.col("both") >= (2 * percent - 100) * union,
-    })
-    per_doc = measured.groupBy("region", "class").agg(
-        F.collect_list(F.struct("k", "d", "ball", "ring", "group", F.col("pivot.class").alias("pivot"))).alias("to"),  # one for each pivot
-        F.any_value("shingles").alias("shingles"),
-        F.bool_or("active").alias("active"),
-    )
+    some = some.join(near.groupBy("r", F.col("a.k").alias("k")).agg(F.min("b.k").alias("group")), ["r", "k"])
+    # A row for each region, with its few pivots.
+    some = cut(some.groupBy("r").agg(F.collect_list(F.struct("k", "name", "group", F.col("pivot.shingles").alias("shingles"))).alias("pivots")))
+
+    def measure(p):
+        both = F.size(F.array_intersect("shingles", p["shingles"]))
+        union = F.size("shingles") + F.size(p["shingles"]) - both
+        return F.struct(p["k"].alias("k"), p["name"].alias("pivot"), p["group"].alias("group"), (1 - both / union).alias("d"), (100 * both >= percent * union).alias("ball"), (100 * both >= (2 * percent - 100) * union).alias("ring"))
+
+    measured = sets.join(small_side(some, 16), F.col("region") == F.col("r")).withColumn("to", F.transform("pivots", measure)).drop("pivots", "r")
     mine = F.transform(F.filter("to", lambda t: t["ball"]), lambda t: t["group"])
     unsettled = F.exists("to", lambda t: t["ring"] & ~t["ball"] & ~F.array_contains(mine, t["group"]))
     home = F.array_min(F.transform("to", lambda t: F.struct(t["d"].alias("d"), t["k"].alias("k"))))
     reach = 2 * (100 - percent) / 100 + 1e-9
     # A row that came in inactive may be all that is left to compare with a row that settles here.
-    placed = cut(per_doc.withColumns({"home": home, "active": (F.col("active") & (F.size(mine) == 0)) | unsettled}))
+    placed = cut(measured.withColumns({"home": home, "active": (F.col("active") & (F.size(mine) == 0)) | unsettled}))
     links = placed.select(F.col("class").alias("x"), F.explode(F.filter("to", lambda t: t["ball"])).alias("t")).select("x", F.col("t.pivot").alias("y")).where("x <> y")
     cells = placed.select("region", "class", "shingles", (F.col("active")).alias("live"), F.col("home.k").alias("own"), F.explode(F.filter("to", lambda t: t["d"] <= F.col("home.d") + reach)).alias("t"))
     cells = cells.withColumn("active", F.col("live") & (F.col("t.k") == F.col("own"))).withColumn("cell", _cell("region", F.col("t.k"), F.lit(depth)))
@@ -240,19 +297,19 @@ def _blocks(sets: DataFrame, sizes: DataFrame, most: int) -> DataFrame:
     return dealt.select(_cell("region", F.least("own", "other"), F.greatest("own", "other")).alias("region"), "class", "shingles", "active")
 
 
-def join_regions(sets: DataFrame, *, percent: int, most: int, pivots: int = 8, depths: int = 6) -> DataFrame:
-    """LINKS that connect exactly the groups; regions of more than most shingles are cut first."""
+def join_regions(sets: DataFrame, *, percent: int, most: int, pivots: int = 8, depths: int = 6, counter=None) -> DataFrame:
+    """LINKS that connect exactly the groups; regions of more than most shingles are cut before they are dealt to tasks."""
     found, rest = [], sets
     for depth in range(depths + 1):
         sizes = cut(rest.groupBy("region").agg(F.sum(F.size("shingles")).alias("total")))
         large = sizes.where(F.col("total") > most)
         if large.isEmpty():
-            found.append(_join_regions(rest, percent))
+            found.append(_join_regions(rest, percent, counter))
             break
-        found.append(_join_regions(rest.join(large, "region", "left_anti"), percent))
+        found.append(_join_regions(rest.join(large, "region", "left_anti"), percent, counter))
         rest = rest.join(large, "region", "left_semi").select(*[c.split()[0] for c in SETS.split(", ")])
         if depth == depths:
-            found.append(_join_regions(_blocks(rest, large, most), percent))
+            found.append(_join_regions(_blocks(rest, large, most), percent, counter))
             break
         links, rest = _split(rest, percent, pivots, depth)
         found.append(links)
@@ -262,6 +319,18 @@ def join_regions(sets: DataFrame, *, percent: int, most: int, pivots: int = 8, d
     return out
 
 
+def regions(windows: DataFrame, rounds: int) -> DataFrame:
+    """(class, regions array<binary>) of the classes whose windows (class, window) share a shingle with another's."""
+    shingles = windows.select("class", F.explode("window").alias("shingle"))
+    pivots = shingles.groupBy("shingle").agg(F.min("class").alias("region"), F.max("class").alias("last")).where("region <> last").select(F.col("shingle").alias("s"), "region")
+    placed = cut(shingles.join(pivots, F.col("shingle") == F.col("s")).select("class", "region").distinct())
+    # A pivot is in its own region, so each has a smallest one that it is in.
+    smallest = cut(placed.groupBy("class").agg(F.min("region").alias("to")).select(F.col("class").alias("pivot"), "to"))
+    for _ in range(rounds):
+        placed = placed.join(smallest, F.col("region") == F.col("pivot")).select("class", F.col("to").alias("region")).distinct()
+    return placed.groupBy("class").agg(F.collect_set("region").alias("regions"))
+
+
 def jaccard_groups(
     docs: DataFrame,
     *,
@@ -273,41 +342,52 @@ def jaccard_groups(
     most: int = 2_000_000,
     pivots: int = 8,
     depths: int = 6,
+    rounds: int = 2,
     broadcast_rows: int = 200_000,
     keyed: bool = False,
+    counter=None,
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row: documents link from percent similarity on.
 
-    percent is above 50. most bounds the shingles that a task holds of a region. keyed adds text_hash, the xxhash64 of
-    the row's text, and first: whether no other id and text of the group comes before the row's, ids that are null last.
+    percent is above 50. most bounds the shingles that a task holds of a region; pivots and depths say how larger ones
+    are cut. rounds: how often pivots hand over their regions. keyed adds text_hash, the xxhash64 of the row's text, and
+    first: whether no other id and text of the group comes before the row's, ids that are null last. counter: a Spark
+    accumulator that the tasks add the number of their Voronoi cells to.
     """
     if not 50 < percent <= 100:
         raise ValueError("percent must be above 50 and at most 100")
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    feats = cut(features(rows, k, percent, block_bytes, keyed))
-    windows = feats.select("class", F.explode("window").alias("pivot")).distinct()
-    hubs = windows.groupBy("pivot").agg(F.min("class").alias("hub"), F.max("class").alias("last")).where("hub <> last").select(F.col("pivot").alias("p"), "hub")
-    overlapping = windows.join(hubs, F.col("pivot") == F.col("p")).where(F.col("class") != F.col("hub")).select(F.col("class").alias("x"), F.col("hub").alias("y"))
-    regions = components(overlapping)
-    members = feats.join(regions, F.col("class") == F.col("node")).groupBy("class").agg(F.min("doc_id").alias("id"), F.first("root").alias("region"))
-    members = small_side(cut(members).withColumnRenamed("class", "c"), broadcast_rows)
+    feats = cut(features(rows, k, percent, block_bytes))
+    # Blocks that have a class give it the same window, as the shingles' counts are those of the corpus.
+    windows = cut(feats.where(F.size("window") > 0).groupBy("class").agg(F.any_value("window").alias("window"), F.min(F.array_min("members")).alias("one")))
+    placed = cut(regions(windows, rounds).join(windows.select(F.col("class").alias("c"), "one"), F.col("class") == F.col("c")).select("regions", "class", F.col("one.doc_id").alias("id"), F.col("one.text_hash").alias("hash")))
 
     def to_sets(batches):
-        powers = Powers()
+        powers, known = Powers(), set()
         for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
             sets = shingle_sets(batch.column(2).cast(pa.binary()).to_pylist(), k, powers)
-            same = [i for i, (s, c) in enumerate(zip(sets, batch.column(1).to_pylist(), strict=True)) if len(s) and _class_of(s) == c]
+            same = []
+            for i, (s, c) in enumerate(zip(sets, batch.column(1).to_pylist(), strict=True)):
+                if c not in known and len(s) and _class_of(s) == c:  # repeated rows give their set once a task
+                    known.add(c)
+                    same.append(i)
             chosen = [sets[i] for i in same]
             ends = np.cumsum([0, *map(len, chosen)])
             values = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0, np.uint64), *chosen]).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(same, pa.int64())), batch.column(1).take(pa.array(same, pa.int64())), values, pa.array([True] * len(same), pa.bool_())], names=["region", "class", "shingles", "active"])
-
-    sets = rows.join(members, F.col("doc_id").eqNullSafe(F.col("id"))).select("region", F.col("c").alias("class"), "text").mapInArrow(lean(to_sets), SETS)
-    groups = components(join_regions(cut(sets), percent=percent, most=most, pivots=pivots, depths=depths))
-    labelled = feats.drop("window").join(groups.withColumnRenamed("node", "c"), F.col("class") == F.col("c"), "left").withColumn("group", F.coalesce("root", "class")).select("doc_id", "n_shingles", "group", *["text_hash"] * keyed)
-    key = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_hash") if keyed else None
-    best = [F.min(key).alias("best")] if keyed else []
-    first = ["text_hash", (F.col("best").isNull() | key.eqNullSafe(F.col("best"))).alias("first")] if keyed else []
+            at = pa.array(same, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), values], names=["regions", "class", "shingles"])
+
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.xxhash64("text") == F.col("hash"))
+    sets = rows.join(small_side(placed, broadcast_rows), same).select("regions", "class", "text").mapInArrow(lean(to_sets), "regions array<binary>, class binary, shingles array<long>")
+    sets = cut(sets.select(F.explode("regions").alias("region"), "class", "shingles", F.lit(True).alias("active")))
+    groups = components(join_regions(sets, percent=percent, most=most, pivots=pivots, depths=depths, counter=counter))
+    labelled = feats.drop("window").join(groups.withColumnRenamed("node", "c"), F.col("class") == F.col("c"), "left").withColumn("group", F.coalesce("root", "class")).select("n_shingles", "group", "members")
+    first = F.array_min(F.transform("members", lambda m: F.struct(m["doc_id"].isNull().alias("unknown"), m["doc_id"].alias("doc_id"), m["text_hash"].alias("text_hash"))))
     # Written, so that the join deals both sides itself and may split a large group's rows.
-    least = cut(labelled.where("group IS NOT NULL").groupBy("group").agg(F.min("doc_id").alias("least"), *best).withColumnRenamed("group", "g"))
-    return labelled.join(least, F.col("group") == F.col("g"), "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"), *first)
+    least = cut(labelled.where("group IS NOT NULL").groupBy(F.col("group").alias("g")).agg(F.min(first).alias("best")))
+    each = labelled.join(least, F.col("group") == F.col("g"), "left").select(F.explode("members").alias("m"), "n_shingles", "best")
+    out = each.select("m.doc_id", "n_shingles", F.coalesce("best.doc_id", "m.doc_id").alias("component_id"), "m.text_hash", "best")
+    if not keyed:
+        return out.drop("text_hash", "best")
+    leads = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_hash") == F.col("best.text_hash"))
+    return out.select("doc_id", "n_shingles", "component_id", "text_hash", (F.col("best").isNull() | leads).alias("first"))

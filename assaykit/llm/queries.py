@@ -38,8 +38,8 @@ FROM doc_words LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc
 """
 
 
-def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.jaccard_groups(table(spark, sf_dir, "documents"))
+def op2_jaccard_join(spark: SparkSession, sf_dir: str, **more) -> DataFrame:
+    return jaccard_join.jaccard_groups(table(spark, sf_dir, "documents"), **more)
 
 
 OP2_SQL = r"""

@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 
 from assaykit.llm.components import components
-from assaykit.llm.jaccard_join import SETS, jaccard_groups, join_regions, link_region
+from assaykit.llm.jaccard_join import SETS, jaccard_groups, join_regions, link_region, regions
+from assaykit.llm.queries import op2_jaccard_join
 
 from .helpers import corpus, docs, prose, words
 
@@ -76,7 +77,7 @@ def test_link_region_against_all_pairs():
         for _ in range(60):
             base = base ^ set(rng.sample(range(1000), rng.randint(0, 3)))
             sets.append(base ^ set(rng.sample(range(1000), rng.randint(0, 9))))
-        got = link_region([np.array(sorted(s), np.uint64) for s in sets], [True] * 60, 80)
+        got, _ = link_region([np.array(sorted(s), np.uint64) for s in sets], [True] * 60, 80)
         want = list(range(60))
         for i in range(60):
             for j in range(i):
@@ -109,8 +110,8 @@ def test_regions_cut_on_several_levels_keep_every_link(spark):
     for seed in range(12):
         sets = chained(seed)
         names = [f"{seed:02}/{i:03}".encode() for i in range(len(sets))]
-        roots = link_region(sets, [True] * len(sets), 80)
-        assert set(roots) == {0}
+        roots, cells = link_region(sets, [True] * len(sets), 80)
+        assert set(roots) == {0} and cells > 0
         want |= {(n, names[0]) for n in names}
         rows += [(names[0][:2], n, [int(x) for x in s], True) for n, s in zip(names, sets, strict=True)]
     links = join_regions(spark.createDataFrame(rows, SETS), percent=80, most=1000, pivots=3, depths=3)
@@ -127,6 +128,39 @@ def test_inactive_row_beside_a_settled_one_is_compared(spark):
     assert {(bytes(r["node"]), bytes(r["root"])) for r in components(links).collect()} == {(f"{i}{n}".encode(), f"{i}x".encode()) for i in range(8) for n in "xyz"}
 
 
+def test_regions_come_from_pivots(spark):
+    """Documents that share a shingle of their windows share a region; pivots hand over until few are left."""
+    rng, rows = random.Random(14), []
+    for c in range(200):
+        rows.append((f"{c:03}".encode(), sorted(rng.sample(range(c // 20 * 50, c // 20 * 50 + 60), 12))))
+    table = spark.createDataFrame(rows, "class binary, window array<long>")
+    most = []
+    for rounds in (0, 1, 2):
+        found = {bytes(r["class"]): set(map(bytes, r["regions"])) for r in regions(table, rounds).collect()}
+        for a, x in rows:
+            for b, y in rows:
+                assert a == b or not set(x) & set(y) or found[a] & found[b]
+        most.append(sum(map(len, found.values())))
+    assert most[0] > 1.3 * most[1] > 1.3 * most[2]
+
+
+def test_null_and_repeated_ids_take_linear_work(spark):
+    """The stage that reads shingle sets sees each text about once, whatever the ids."""
+    rng = random.Random(15)
+    base = [prose(rng, 40) for _ in range(300)]
+    rows = [(None if i % 2 else 7, base[i % 300] + (" end" if i % 600 < 300 else " fin")) for i in range(1200)]
+    got = jaccard_groups(docs(spark, rows))
+    assert sorted(str(tuple(r)) for r in got.collect()) == brute(rows)
+
+
+def test_the_query_makes_voronoi_cells(spark, tmp_path):
+    rows = [(i, t, "en", "s") for i, t in cluster_rows(16)]
+    docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    made = spark.sparkContext.accumulator(0)
+    got = op2_jaccard_join(spark, str(tmp_path), counter=made)
+    assert sorted(str(tuple(r)) for r in got.collect()) == brute(rows) and made.value > 0
+
+
 def test_components(spark):
     rng = random.Random(13)
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 101 + i) for i in range(50)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)] + [(7, 7)]
