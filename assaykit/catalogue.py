@@ -5,19 +5,31 @@ The tables hold no nulls, so each query derives its violations from whole tables
 
 from __future__ import annotations
 
+import atexit
+import json
+import os
+import shutil
+import sqlite3
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assaykit.functions import scalars
-from assaykit.model import Rule, RuleType, Target
-from assaykit.operators.engine import quarantine
-from assaykit.operators.report import rollup
+from assaykit.functions.predicates import integers_within_digits, quoted
+from assaykit.model import Report, Rule, RuleType, Target
+from assaykit.operators.contract_run import run_contract
+from assaykit.operators.engine import prevalidate, quarantine, validate
+from assaykit.operators.report import contract_exit_code, fields, rollup, summary
 from assaykit.operators.schema_check import check_fields
 from assaykit.plans.compat import desired_rule, matrix_rows
+from assaykit.plans.contract import decompose, parse_contract, skip_map
 from assaykit.plans.fusion import duplicates, rule_counts, samples, violations
+from assaykit.plans.parse import parse_rules, rule_from_dict
 from assaykit.plans.types import TypeInfo
+from assaykit.sources import readers
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -247,6 +259,7 @@ _desired_counts("desired_float_precision_equals_scale", "v", TypeInfo("FLOAT"),
 _desired_counts("desired_string_length", "c_mktsegment", TypeInfo("STRING"), "string(8)", "length(c_mktsegment) > 8", table="customer")
 _desired_counts("desired_int_to_string", "o_custkey", TypeInfo("INTEGER"), "string(3)", "length(o_custkey::VARCHAR) > 3")
 _desired_counts("desired_str_to_int", "v", TypeInfo("STRING"), "integer", "NOT regexp_matches(v, '^-?[0-9]+$')", v=_NUMBER_TEXT)
+_desired_counts("desired_str_to_int_digits", "v", TypeInfo("STRING"), "integer(2)", "NOT regexp_matches(v, '^-?0*[0-9]{1,2}$')", v=_NUMBER_TEXT)
 _desired_counts("desired_str_to_float", "v", TypeInfo("STRING"), "float", r"NOT regexp_matches(v, '^-?[0-9]+(\.[0-9]+)?$')", v=_NUMBER_TEXT)
 _desired_counts("desired_str_to_date", "d", TypeInfo("STRING"), "date('YYYY-MM-DD')", _date_sql("d", "%Y-%m-%d"), d=_ISO)
 _desired_counts("desired_int_to_date", "d", TypeInfo("INTEGER"), "date", _date_sql("d", "%Y%m%d"), d=_INT_DATE)
@@ -316,9 +329,11 @@ C.add(
 )
 C.add(
     "report_summary",
-    lambda s, d: C.queries["rules_fused_lineitem"](s, d).agg(F.count(F.lit(1)).alias("total_rules"), F.count_if(F.col("status") == "PASSED").alias("passed_rules"), F.count_if(F.col("status") == "FAILED").alias("failed_rules"), F.sum("failed_records").alias("total_failed_records"), F.max("total_records").alias("total_records")),
-    f"SELECT count(*) AS total_rules, count(*) FILTER (WHERE status = 'PASSED') AS passed_rules, count(*) FILTER (WHERE status = 'FAILED') AS failed_rules, sum(failed_records)::BIGINT AS total_failed_records, max(total_records) AS total_records FROM ({C.sql['rules_fused_lineitem']})",
+    lambda s, d: s.createDataFrame([tuple(v for k, v in summary(validate(_table(s, d, "lineitem", **_LINE), [r for r, _ in FLAGSHIP])).items() if k in _SUMMARY)], ", ".join(f"{k} {t}" for k, t in _SUMMARY.items())),
+    f"""SELECT count(*) AS total_rules, count(*) FILTER (WHERE status = 'PASSED') AS passed_rules, count(*) FILTER (WHERE status = 'FAILED') AS failed_rules, 0::BIGINT AS skipped_rules, 0::BIGINT AS error_rules,
+          sum(failed_records)::BIGINT AS total_failed_records, max(total_records) AS total_records FROM ({C.sql['rules_fused_lineitem']})""",
 )
+_SUMMARY = {"total_rules": "long", "passed_rules": "long", "failed_rules": "long", "skipped_rules": "long", "error_rules": "long", "total_failed_records": "long", "total_records": "long"}
 _COLUMN_OF = {r.name: r.column for r, _ in FLAGSHIP}
 C.add(
     "fields_rollup",
@@ -360,18 +375,319 @@ C.add(
 def _sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     scalars.register(spark)
     df = _table(spark, sf_dir, "orders", number=_NUMBER_TEXT, iso=_ISO)
-    return df.select("o_orderkey", F.expr("detect_invalid_integer_digits(number, 2)").alias("bad_digits"), F.expr("detect_invalid_string_length(number, 2)").alias("too_long"), F.expr("is_valid_date(iso, 'yyyy-MM-dd')").alias("valid"))
+    return df.select("o_orderkey", F.expr("detect_invalid_integer_digits(number, 2)").alias("bad_digits"), F.expr("detect_invalid_string_length(number, 2)").alias("too_long"), F.expr("is_valid_date(iso, 'yyyy-MM-dd')").alias("valid"), F.expr("detect_invalid_float_precision(number, 4, 1)").alias("imprecise"))
 
 
 C.add(
     "sql_functions",
     _sql_functions,
     f"""SELECT o_orderkey, number IS NOT NULL AND coalesce(try_cast(number AS DOUBLE) <> floor(try_cast(number AS DOUBLE)) OR abs(try_cast(number AS DOUBLE)) >= 100, true) AS bad_digits,
-          coalesce(length(number) > 2, false) AS too_long, NOT coalesce({_date_sql('iso', '%Y-%m-%d')}, false) AS valid
+          coalesce(length(number) > 2, false) AS too_long, NOT coalesce({_date_sql('iso', '%Y-%m-%d')}, false) AS valid,
+          number IS NOT NULL AND coalesce(abs(try_cast(number AS DOUBLE)) >= 1000 OR round(try_cast(number AS DOUBLE), 1) <> try_cast(number AS DOUBLE), true) AS imprecise
         FROM (SELECT *, {_NUMBER_TEXT} AS number, {_ISO} AS iso FROM orders)""",
 )
 
 
+def _date_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = scalars.DATE_FUNCTIONS
+    return _table(spark, sf_dir, "events").select(
+        "event_id",
+        f["hour"]("ts").cast("long").alias("h"),
+        f["minute"]("ts").cast("long").alias("m"),
+        f["second"]("ts").cast("long").alias("s"),
+        f["date_add"]("ts", 40).cast("string").alias("later"),
+        f["date_sub"]("ts", 40).cast("string").alias("earlier"),
+        (f["today"]() > F.to_date("ts")).alias("past"),
+        (f["now"]() > F.col("ts")).alias("before_now"),
+        scalars.not_matches(F.col("event_type"), "^c").alias("no_c"),
+    )
+
+
+C.add(
+    "date_functions",
+    _date_functions,
+    """SELECT event_id, hour(ts) AS h, minute(ts) AS m, floor(second(ts))::BIGINT AS s, (ts::DATE + 40)::DATE::VARCHAR AS later, (ts::DATE - 40)::DATE::VARCHAR AS earlier,
+         ts::DATE < DATE '2026-01-01' AS past, ts < TIMESTAMP '2026-01-01' AS before_now, NOT regexp_matches(event_type, '^c') AS no_c FROM events""",
+)
+C.add(
+    "integers_within_digits",
+    lambda s, d: _table(s, d, "orders").select("o_orderkey", *[integers_within_digits(quoted(c), 3).alias(f"{c}_fits") for c in ("o_orderkey", "o_custkey")]),
+    "SELECT o_orderkey, abs(o_orderkey) <= 999 AS o_orderkey_fits, abs(o_custkey) <= 999 AS o_custkey_fits FROM orders",
+)
+C.add(
+    "samples_date_format",
+    lambda s, d: samples(_table(s, d, "orders", d=_ISO).select("o_orderkey", "d"), _rule("DATE_FORMAT", "d", "iso", format_pattern="YYYY-MM-DD"), 5, ["o_orderkey"]),
+    f"""WITH t AS (SELECT o_orderkey, {_ISO} AS d FROM orders), bad AS (SELECT *, regexp_matches(d, '^\\d{{4}}-\\d{{2}}-\\d{{2}}$') AS shaped FROM t WHERE {_date_sql('d', '%Y-%m-%d')}),
+        placed AS (SELECT *, row_number() OVER (PARTITION BY shaped ORDER BY o_orderkey) AS k FROM bad)
+        SELECT o_orderkey, d FROM placed ORDER BY k, shaped LIMIT 5""",
+)
+
+
+# The engine, from rules in each of their forms to results; what is returned are the results' rows.
+def _results(spark: SparkSession, report: Report) -> DataFrame:
+    return report.to_df(spark).select(F.col("rule_type").alias("kind"), F.col("column").alias("field"), "status", "total_records", "failed_records", "skip_reason")
+
+
+def _results_sql(parts: list[tuple[str, str, str, str]]) -> str:
+    """SQL for _results(): (kind, column, table, violation) of rules that are counted; of UNIQUE rules a column's copies."""
+    rows = []
+    for kind, column, table, bad in parts:
+        failed = f"count({column}) - count(DISTINCT {column})" if kind == "UNIQUE" else f"count(*) FILTER (WHERE {bad})"
+        rows.append(f"SELECT '{kind}' AS kind, '{column}' AS field, count(*) AS total_records, {failed} AS failed_records FROM {table}")
+    return f"SELECT kind, field, CASE WHEN failed_records = 0 THEN 'PASSED' ELSE 'FAILED' END AS status, total_records, failed_records, NULL::VARCHAR AS skip_reason FROM ({' UNION ALL '.join(rows)})"
+
+
+_INLINE = ["not_null(o_orderkey)", "length(o_orderpriority,5,8)", "range(o_totalprice,1000,200000)", "range(o_custkey,,500)", "enum(o_orderstatus,F,O)", "regex(o_orderpriority,^[1-3]-)", "unique(o_custkey)", "unique(o_orderkey)"]
+_INLINE_SQL = [
+    ("NOT_NULL", "o_orderkey", "orders", "o_orderkey IS NULL"),
+    ("LENGTH", "o_orderpriority", "orders", "length(o_orderpriority) NOT BETWEEN 5 AND 8"),
+    ("RANGE", "o_totalprice", "orders", "o_totalprice NOT BETWEEN 1000 AND 200000"),
+    ("RANGE", "o_custkey", "orders", "o_custkey > 500"),
+    ("ENUM", "o_orderstatus", "orders", "o_orderstatus NOT IN ('F', 'O')"),
+    ("REGEX", "o_orderpriority", "orders", "NOT regexp_matches(o_orderpriority, '^[1-3]-')"),
+    ("UNIQUE", "o_custkey", "orders", ""),
+    ("UNIQUE", "o_orderkey", "orders", ""),
+]
+C.add("parse_inline_rules", lambda s, d: _results(s, validate(_table(s, d, "orders"), parse_rules("orders", _INLINE))), _results_sql(_INLINE_SQL))
+
+_DICTS = [
+    {"type": "not_null", "column": "c_name"},
+    {"type": "LENGTH", "target": {"entities": [{"database": "main", "table": "customer", "column": "c_mktsegment"}]}, "parameters": {"exact_length": 8}},
+    {"rule_type": "range", "column_name": "c_acctbal", "params": {"min_value": 0, "max_value": 1}, "max_value": 5000},
+    {"type": "enum", "target": "customer.c_mktsegment", "values": ["BUILDING"]},
+    {"type": "regex", "column": "c_name", "regex_pattern": "7$", "severity": "high", "is_active": True},
+    {"type": "unique", "column": "c_nationkey"},
+    {"type": "regex", "column": "c_name", "pattern": "x", "is_active": False},
+]
+_DICTS_SQL = [
+    ("NOT_NULL", "c_name", "customer", "c_name IS NULL"),
+    ("LENGTH", "c_mktsegment", "customer", "length(c_mktsegment) <> 8"),
+    ("RANGE", "c_acctbal", "customer", "c_acctbal NOT BETWEEN 0 AND 5000"),
+    ("ENUM", "c_mktsegment", "customer", "c_mktsegment NOT IN ('BUILDING')"),
+    ("REGEX", "c_name", "customer", "NOT regexp_matches(c_name, '7$')"),
+    ("UNIQUE", "c_nationkey", "customer", ""),
+]
+C.add("rules_from_dicts", lambda s, d: _results(s, validate(_table(s, d, "customer"), [rule_from_dict(r, "customer") for r in _DICTS])), _results_sql(_DICTS_SQL))
+
+
+def _rules_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with tempfile.TemporaryDirectory() as folder:  # the driver alone writes and reads it
+        path = os.path.join(folder, "rules.json")
+        with open(path, "w", encoding="utf-8") as f:
+            json.dump({"rules": _DICTS}, f)
+        rules = parse_rules("customer", file=path)
+    return _results(spark, validate(_table(spark, sf_dir, "customer"), rules))
+
+
+C.add("rules_file", _rules_file, C.sql["rules_from_dicts"])
+
+_BROKEN = [("customer", "c_phone"), ("customer", "C_NAME"), ("ghost", "x"), ("customer", "c_name")]
+C.add(
+    "prevalidation",
+    lambda s, d: s.createDataFrame(
+        [(t, c, "skip" if r.id in found else "run") for found, rules in [_prevalidated(s, d)] for (t, c), r in zip(_BROKEN, rules, strict=True)], "`table` string, `column` string, verdict string"
+    ),
+    f"""SELECT t AS "table", c AS "column", CASE WHEN column_name IS NULL THEN 'skip' ELSE 'run' END AS verdict
+        FROM (VALUES {', '.join(map(str, _BROKEN))}) v(t, c) LEFT JOIN information_schema.columns ON table_name = t AND column_name = c""",
+)
+
+
+def _prevalidated(spark: SparkSession, sf_dir: str) -> tuple[dict[str, str], list[Rule]]:
+    rules = [Rule(RuleType.NOT_NULL, Target(t, c)) for t, c in _BROKEN]
+    return prevalidate({"customer": _table(spark, sf_dir, "customer")}, rules), rules
+
+
+def _engine_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules that can't be carried out are ERROR results of their own, the others are counted."""
+    rules = [
+        _rule("RANGE", "o_custkey", "fine", max=500),
+        _rule("RANGE", "o_custkey", "bad_filter", max=500, filter_condition="no_such_column = 1"),
+        _rule("RANGE", "o_orderdate", "not_a_number", min=1),
+        _rule("NOT_NULL", "nothing", "no_column"),
+        _rule("UNIQUE", "o_custkey", "copies"),
+        _rule("UNIQUE", "o_custkey", "bad_copies", filter_condition="no_such_column = 1"),
+    ]
+    return validate(_table(spark, sf_dir, "orders"), rules).to_df(spark).select("rule_name", "status", "total_records", "failed_records")
+
+
+C.add(
+    "engine_errors",
+    _engine_errors,
+    """SELECT 'fine' AS rule_name, 'FAILED' AS status, count(*) AS total_records, count(*) FILTER (WHERE o_custkey > 500) AS failed_records FROM orders
+       UNION ALL SELECT 'copies', 'FAILED', count(*), count(o_custkey) - count(DISTINCT o_custkey) FROM orders
+       UNION ALL SELECT name, 'ERROR', 0, 0 FROM (VALUES ('bad_filter'), ('not_a_number'), ('no_column'), ('bad_copies')) v(name)""",
+)
+
+# Contracts.
+_CONTRACT = {
+    "orders": {
+        "rules": [
+            {"field": "o_orderkey", "type": "integer", "required": True, "desired_type": "string(4)"},
+            {"field": "o_totalprice", "type": "float", "min": 0, "max": 200000, "desired_type": "integer(5)"},
+            {"field": "o_orderstatus", "type": "string", "enum": ["F", "O"]},
+            {"field": "o_clerk", "type": "string", "required": True, "enum": ["a"]},
+            {"field": "o_custkey", "type": "string", "max": 500},
+        ]
+    },
+    "customer": {"rules": [{"field": "C_MKTSEGMENT", "type": "string", "required": True, "desired_type": "string(8)"}, {"field": "c_acctbal", "min": 0}], "case_insensitive": True},
+    "ghost": {"rules": [{"field": "x", "type": "integer", "required": True}]},
+}
+
+
+def _contract_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    return {t: _table(spark, sf_dir, t) for t in ("orders", "customer")}
+
+
+def _contract_report(spark: SparkSession, sf_dir: str) -> Report:
+    return run_contract(_contract_tables(spark, sf_dir), parse_contract(_CONTRACT))
+
+
+_DONE_SQL = _results_sql(
+    [
+        ("NOT_NULL", "o_orderkey", "orders", "o_orderkey IS NULL"),
+        ("RANGE", "o_totalprice", "orders", "o_totalprice NOT BETWEEN 0 AND 200000"),
+        ("ENUM", "o_orderstatus", "orders", "o_orderstatus NOT IN ('F', 'O')"),
+        ("RANGE", "o_custkey", "orders", "o_custkey > 500"),
+        ("NOT_NULL", "C_MKTSEGMENT", "customer", "C_MKTSEGMENT IS NULL"),
+        ("RANGE", "c_acctbal", "customer", "c_acctbal < 0"),
+        ("REGEX", "o_orderkey", "orders", "length(o_orderkey::VARCHAR) > 4"),
+        ("REGEX", "o_totalprice", "orders", "o_totalprice <> floor(o_totalprice) OR abs(o_totalprice) >= 100000"),
+        ("REGEX", "C_MKTSEGMENT", "customer", "length(C_MKTSEGMENT) > 8"),
+    ]
+)
+_SKIPPED_SQL = "SELECT * FROM (VALUES ('NOT_NULL', 'o_clerk', 'FIELD_MISSING'), ('ENUM', 'o_clerk', 'FIELD_MISSING'), ('NOT_NULL', 'x', 'TABLE_NOT_EXISTS')) v(kind, field, reason)"
+C.add(
+    "contract_run",
+    lambda s, d: _results(s, _contract_report(s, d)).where("kind <> 'SCHEMA'"),
+    f"SELECT * FROM ({_DONE_SQL}) UNION ALL SELECT kind, field, 'SKIPPED', 0, 0, reason FROM ({_SKIPPED_SQL})",
+)
+C.add(
+    "contract_summary",
+    lambda s, d: s.createDataFrame([(contract_exit_code(r), *(summary(r)[k] for k in ("total_rules", "skipped_rules", "error_rules", "total_records"))) for r in [_contract_report(s, d)]], "exit_code int, total_rules long, skipped_rules long, error_rules long, total_records long"),
+    "SELECT 1 AS exit_code, 15::BIGINT AS total_rules, 3::BIGINT AS skipped_rules, 0::BIGINT AS error_rules, greatest((SELECT count(*) FROM orders), (SELECT count(*) FROM customer)) AS total_records",
+)
+
+
+def _decomposed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schemas, rules, desired = decompose(parse_contract(_CONTRACT))
+    rows = [(str(r.type), r.table, r.column) for r in schemas + rules] + [("DESIRED", t, f) for t, f in desired]
+    return spark.createDataFrame(rows, "kind string, `table` string, field string")
+
+
+C.add(
+    "contract_decomposition",
+    _decomposed,
+    """SELECT * FROM (VALUES ('SCHEMA', 'orders', NULL), ('SCHEMA', 'customer', NULL), ('SCHEMA', 'ghost', NULL), ('NOT_NULL', 'orders', 'o_orderkey'), ('RANGE', 'orders', 'o_totalprice'),
+         ('ENUM', 'orders', 'o_orderstatus'), ('NOT_NULL', 'orders', 'o_clerk'), ('ENUM', 'orders', 'o_clerk'), ('RANGE', 'orders', 'o_custkey'), ('NOT_NULL', 'customer', 'C_MKTSEGMENT'), ('RANGE', 'customer', 'c_acctbal'),
+         ('NOT_NULL', 'ghost', 'x'), ('DESIRED', 'orders', 'o_orderkey'), ('DESIRED', 'orders', 'o_totalprice'), ('DESIRED', 'customer', 'C_MKTSEGMENT')) v(kind, "table", field)""",
+)
+
+
+def _skips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schemas, rules, _ = decompose(parse_contract(_CONTRACT))
+    reasons = skip_map(validate(_contract_tables(spark, sf_dir), schemas), rules)
+    return spark.createDataFrame([(str(r.type), r.column, reasons[r.id]) for r in rules if r.id in reasons], "kind string, field string, reason string")
+
+
+C.add(
+    "skip_map",
+    _skips,
+    """SELECT kind, c AS field, CASE WHEN NOT EXISTS (SELECT 1 FROM information_schema.tables WHERE table_name = t) THEN 'TABLE_NOT_EXISTS' ELSE 'FIELD_MISSING' END AS reason
+       FROM (VALUES ('NOT_NULL', 'orders', 'o_orderkey'), ('NOT_NULL', 'orders', 'o_clerk'), ('ENUM', 'orders', 'o_clerk'), ('RANGE', 'orders', 'o_custkey'), ('NOT_NULL', 'ghost', 'x')) v(kind, t, c)
+       WHERE NOT EXISTS (SELECT 1 FROM information_schema.columns WHERE table_name = t AND column_name = c)""",
+)
+C.add(
+    "contract_fields",
+    lambda s, d: s.createDataFrame([(f["table"], f["column"], k, c["status"]) for f in fields(_contract_report(s, d)) for k, c in f["checks"].items() if k in ("existence", "type")], "`table` string, `column` string, what string, status string"),
+    """WITH wanted(t, c, kinds) AS (VALUES ('orders', 'o_orderkey', 'INT'), ('orders', 'o_totalprice', 'DOUBLE'), ('orders', 'o_orderstatus', 'VARCHAR'), ('orders', 'o_clerk', 'VARCHAR'), ('orders', 'o_custkey', 'VARCHAR'),
+         ('customer', 'C_MKTSEGMENT', 'VARCHAR'), ('ghost', 'x', 'INT')),
+       found AS (SELECT t, c, kinds, data_type FROM wanted LEFT JOIN information_schema.columns ON table_name = t AND (column_name = c OR (t = 'customer' AND lower(column_name) = lower(c))))
+       SELECT t AS "table", c AS "column", 'existence' AS what, CASE WHEN data_type IS NULL THEN 'FAILED' ELSE 'PASSED' END AS status FROM found
+       UNION ALL SELECT t, c, 'type', CASE WHEN data_type IS NULL THEN 'SKIPPED' WHEN contains(data_type, kinds) THEN 'PASSED' ELSE 'FAILED' END FROM found""",
+)
+
+
+# Sources and sinks: tables are written to the shared folder and come back through read().
+def _shared_folder(spark: SparkSession) -> str:
+    """A folder under spark.checkpoint.dir; only where that is unset, as on one machine, a temporary one."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named is None:
+        named = tempfile.mkdtemp(prefix="assaykit-sources-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
+    return f"{named.rstrip('/')}/sources-{uuid.uuid4()}"
+
+
+_NOTE = "concat(s_name, ', \"', s_suppkey, '\"', chr(10), 'second line')"
+
+
+def _source_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields with separators, quotes and line breaks, from a folder of files."""
+    path = f"{_shared_folder(spark)}/suppliers.csv"
+    _table(spark, sf_dir, "supplier", note=_NOTE).write.csv(path, header=True, escape='"')
+    return readers.read(spark, _source(path), "suppliers")["suppliers"]
+
+
+def _source(path: str) -> readers.Source:
+    """A folder in whatever store: only local paths are looked up by parse_source()."""
+    suffix = path[path.rindex(".") :]
+    return readers.Source(readers.EXTENSIONS[suffix], path, "suppliers")
+
+
+C.add("source_csv", _source_csv, f"SELECT *, {_NOTE} AS note FROM supplier")
+
+
+def _source_written(form: str, suffix: str) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = f"{_shared_folder(spark)}/suppliers{suffix}"
+        readers.write_results(_table(spark, sf_dir, "supplier", note=_NOTE), path, form)
+        return readers.read(spark, _source(path))["suppliers"].select("s_suppkey", "s_name", F.col("s_nationkey").cast("long").alias("s_nationkey"), "s_acctbal", "note")
+
+    return query
+
+
+for _name, _form, _suffix in (("source_jsonl", "json", ".jsonl"), ("source_parquet", "parquet", ".parquet")):
+    C.add(_name, _source_written(_form, _suffix), f"SELECT s_suppkey, s_name, s_nationkey::BIGINT AS s_nationkey, s_acctbal, {_NOTE} AS note FROM supplier")
+
+
+def _source_sqlite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [tuple(r) for r in _table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey").collect()]
+    with tempfile.TemporaryDirectory() as folder:  # the driver alone writes and reads it
+        path = os.path.join(folder, "nations.db")
+        with sqlite3.connect(path) as db:
+            db.execute("CREATE TABLE nations (n_nationkey INTEGER, n_name VARCHAR(25), n_regionkey INTEGER)")
+            db.executemany("INSERT INTO nations VALUES (?, ?, ?)", rows)
+        db.close()
+        return readers.read(spark, f"sqlite:///{path}", "nations")["nations"].select("n_nationkey", F.col("n_name").cast("string").alias("n_name"), "n_regionkey")
+
+
+C.add("source_sqlite", _source_sqlite, "SELECT n_nationkey::BIGINT AS n_nationkey, n_name, n_regionkey::BIGINT AS n_regionkey FROM nation")
+
+
+def _sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{_shared_folder(spark)}/results.parquet"
+    report = validate(_table(spark, sf_dir, "lineitem", **_LINE), [r for r, _ in FLAGSHIP])
+    readers.write_results(report.to_df(spark), path)
+    return spark.read.parquet(path).select(F.col("rule_name").alias("rule"), "total_records", "failed_records", "status")
+
+
+C.add("results_sink", _sink, C.sql["rules_fused_lineitem"])
+C.add(
+    "execute_query",
+    lambda s, d: s.createDataFrame(readers.execute_query(s, "SELECT o_orderstatus, count(*) AS n, sum(o_custkey) AS keys FROM orders_of_query GROUP BY o_orderstatus", orders_of_query=_table(s, d, "orders")), "o_orderstatus string, n long, keys long"),
+    "SELECT o_orderstatus, count(*) AS n, sum(o_custkey)::BIGINT AS keys FROM orders GROUP BY o_orderstatus",
+)
+C.add(
+    "count_and_page",
+    lambda s, d: readers.page(_table(s, d, "nation").orderBy("n_nationkey"), 5, 10).select("n_nationkey", "n_name", F.lit(readers.count_rows(_table(s, d, "nation"), "n_regionkey = 1")).cast("long").alias("in_region")),
+    "SELECT n_nationkey, n_name, (SELECT count(*) FROM nation WHERE n_regionkey = 1) AS in_region FROM nation ORDER BY n_nationkey LIMIT 5 OFFSET 10",
+)
+C.add(
+    "list_columns",
+    lambda s, d: s.createDataFrame([(t, c["name"], readers.column_exists(_table(s, d, t), c["name"].upper())) for t in ("orders", "events") for c in readers.list_columns(_table(s, d, t))], "`table` string, name string, found boolean"),
+    """SELECT table_name AS "table", column_name AS name, true AS found FROM information_schema.columns WHERE table_name IN ('orders', 'events')""",
+)
+
+
 def queries() -> dict[str, Query]:
     return dict(C.queries)
 

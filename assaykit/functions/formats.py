@@ -26,6 +26,17 @@ def java_pattern(fmt: str) -> str:
     return "".join(out)
 
 
+def date_shape(fmt: str) -> str:
+    """A regular expression of texts that have digits and separators where the format has them."""
+    out = ""
+    for part in re.findall(r"'(?:[^']|'')*'|MMM|[yMdHms]|.", java_pattern(fmt), re.DOTALL):
+        if part.startswith("'"):
+            out += re.escape(part[1:-1].replace("''", "'"))
+        else:
+            out += r"\p{L}+" if part == "MMM" else r"\d" if part in "yMdHms" else re.escape(part)
+    return f"^{out}$"
+
+
 def strftime_pattern(fmt: str) -> str:
     """The same format in strftime's directives."""
     back = {v: k for k, v in DIRECTIVES.items()}

@@ -113,17 +113,27 @@ def violates_regex(c: Column, kind: T.DataType, pattern: str) -> Column:
 def violates_date_format(c: Column, fmt: str) -> Column:
     """Not a date or time in just that format; null and blank pass. Partial formats resolve in 1970."""
     text = c.cast("string")
-    return text.isNotNull() & (F.trim(text) != "") & F.try_to_timestamp(text, F.lit(java_pattern(fmt))).isNull()
+    return text.isNotNull() & ~text.rlike(r"^\s*$") & F.try_to_timestamp(text, F.lit(java_pattern(fmt))).isNull()
+
+
+def integers_within_digits(c: Column, digits: int) -> Column:
+    """Whether the whole part of a number is within so many digits; null if it is null or no number."""
+    return F.abs(c.try_cast("decimal(38,0)")) <= F.lit(10**digits - 1).cast("decimal(38,0)")
 
 
 def violates_integer_digits(c: Column, kind: T.DataType, digits: int) -> Column:
     """Not a whole number of at most so many digits; null passes."""
     if isinstance(kind, T.IntegralType):
-        return F.abs(c.cast("decimal(20,0)")) >= F.lit(10**digits).cast("decimal(38,0)") if digits < 20 else F.lit(False)
+        return ~integers_within_digits(c, digits) if digits < 20 else F.lit(False)
     d = c.cast("string").try_cast("double") if not is_number(kind) else c.cast("double")
     return c.isNotNull() & F.coalesce(F.isnan(d) | (d != F.floor(d)) | (F.abs(d) >= F.lit(float(10**digits))), F.lit(True))
 
 
+def violates_integer_text(c: Column, digits: int) -> Column:
+    """A text that isn't written as a whole number, or has more digits, zeros at the front apart; null passes."""
+    return ~c.cast("string").rlike(rf"^-?0*[0-9]{{1,{digits}}}$")
+
+
 def violates_whole(c: Column, kind: T.DataType) -> Column:
     """Not a whole number, whatever its size; null passes."""
     d = c.cast("string").try_cast("double") if not is_number(kind) else c.cast("double")
@@ -153,6 +163,8 @@ def _desired(c: Column, kind: T.DataType, p: dict[str, Any]) -> Column:
     what = p["validation_type"]
     if what == "integer_digits":
         return violates_integer_digits(c, kind, p["max_digits"])
+    if what == "integer_text":
+        return violates_integer_text(c, p["max_digits"])
     if what == "integer_like_float":
         return violates_whole(c, kind)
     if what == "string_length":

@@ -11,7 +11,6 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from assaykit.functions.formats import java_pattern
-from assaykit.functions.predicates import quoted
 
 string_length = F.length
 substring = F.substring
@@ -92,8 +91,3 @@ def register(spark: SparkSession) -> list[str]:
     for name, (parameters, body) in _SQL_FUNCTIONS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({parameters}) RETURNS BOOLEAN RETURN {body}")
     return list(_SQL_FUNCTIONS)
-
-
-def integers_within_digits(column: str, digits: int) -> Column:
-    """Whether the whole part of a number is within so many digits; null if it is null."""
-    return F.abs(quoted(column).try_cast("decimal(38,0)")) <= F.lit(10**digits - 1).cast("decimal(38,0)")

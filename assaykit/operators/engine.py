@@ -5,14 +5,14 @@ from __future__ import annotations
 import time
 from collections.abc import Mapping
 
-from pyspark.errors import AnalysisException, PySparkException
+from pyspark.errors import AnalysisException, ArithmeticException, ArrayIndexOutOfBoundsException, DateTimeException, IllegalArgumentException, NumberFormatException, PySparkException, SparkRuntimeException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assaykit.errors import AssayError, EngineError
 from assaykit.model import Report, Result, Rule, RuleType, Settings, Status
 from assaykit.operators.schema_check import run_schema_rule
-from assaykit.plans.fusion import fused_row, samples, unique_row
+from assaykit.plans.fusion import fused_row, samples, unique_rows
 from assaykit.plans.registry import REGISTRY, RuleRegistry
 
 Tables = DataFrame | Mapping[str, DataFrame]
@@ -37,12 +37,23 @@ def prevalidate(tables: Tables, rules: list[Rule]) -> dict[str, str]:
     return found
 
 
+#: What a rule may be the cause of: a query that can't be analysed, a value that an expression can't take.
+FAULTS = (AnalysisException, ArithmeticException, ArrayIndexOutOfBoundsException, DateTimeException, IllegalArgumentException, NumberFormatException, SparkRuntimeException)
+
+
+def _is_fault(e: Exception) -> bool:
+    """Whether a rule is to blame, not the cluster: then the other rules can do without it."""
+    return isinstance(e, (*FAULTS, AssayError))
+
+
 def _count(df: DataFrame, rules: list[Rule], registry: RuleRegistry) -> list[Result]:
-    """Counts of row rules in one scan; if it can't be analysed or fails, halves of the rules are tried, down to single ones."""
+    """Counts of row rules in one scan; if a rule can't be carried out, halves of them are tried, down to single ones."""
     began = time.perf_counter()
     try:
         row = fused_row(df, rules, registry).first()
-    except (AnalysisException, PySparkException, AssayError) as e:
+    except (PySparkException, AssayError) as e:
+        if not _is_fault(e):
+            raise
         if len(rules) == 1:
             return [Result.error(rules[0], str(e).splitlines()[0])]
         half = len(rules) // 2
@@ -51,13 +62,22 @@ def _count(df: DataFrame, rules: list[Rule], registry: RuleRegistry) -> list[Res
     return [Result.counted(r, row[f"total_{i}"], row[f"failed_{i}"], execution_time=took, details={"fused_rules": len(rules)}) for i, r in enumerate(rules)]
 
 
-def _count_unique(df: DataFrame, rule: Rule) -> Result:
+def _count_unique(df: DataFrame, rules: list[Rule]) -> list[Result]:
+    """Counts of UNIQUE rules in one job; halves of them are tried if one can't be carried out."""
+    if not rules:
+        return []
     began = time.perf_counter()
     try:
-        row = unique_row(df, rule).first()
-    except (AnalysisException, PySparkException) as e:
-        return Result.error(rule, str(e).splitlines()[0])
-    return Result.counted(rule, row["total_0"], row["failed_0"], execution_time=time.perf_counter() - began, details={"duplicate_values": row["groups_0"]})
+        rows = {row["k"]: row for row in unique_rows(df, rules).collect()}
+    except PySparkException as e:
+        if not _is_fault(e):
+            raise
+        if len(rules) == 1:
+            return [Result.error(rules[0], str(e).splitlines()[0])]
+        half = len(rules) // 2
+        return _count_unique(df, rules[:half]) + _count_unique(df, rules[half:])
+    took = time.perf_counter() - began
+    return [Result.counted(r, rows[k]["total_0"], rows[k]["failed_0"], execution_time=took, details={"duplicate_values": rows[k]["groups_0"]}) for k, r in enumerate(rules)]
 
 
 def _sample(df: DataFrame, failed: list[Result], settings: Settings, order_by: list[str] | None, registry: RuleRegistry) -> None:
@@ -109,7 +129,7 @@ def validate(
         merged = [r for r in own if r.type.merges]
         step = max(1, settings.most_expressions // 2)
         found = [x for i in range(0, len(merged), step) for x in _count(df, merged[i : i + step], registry)]
-        found += [_count_unique(df, r) for r in own if not r.type.merges]
+        found += _count_unique(df, [r for r in own if not r.type.merges])
         failed = [r for r in found if r.status == Status.FAILED]
         if failed and settings.sample_data and settings.sample_rows > 0:
             _sample(df, failed, settings, order_by, registry)

@@ -70,7 +70,9 @@ def analyse(native: TypeInfo, desired: TypeInfo) -> Compatibility:
             what = {"validation_type": "integer_digits", "max_digits": desired.max_digits, "pattern": rf"^-?[0-9]{{1,{desired.max_digits}}}\.0*$"}
         else:
             what = {"validation_type": "integer_like_float", "pattern": formats.integer_like_float()}
-    else:  # STRING to INTEGER or FLOAT; digits beyond the basic form are not looked at for INTEGER
+    elif desired.type == "INTEGER" and desired.max_digits is not None:  # from STRING
+        what = {"validation_type": "integer_text", "max_digits": desired.max_digits, "pattern": formats.integer_digits(desired.max_digits)}
+    else:  # STRING to INTEGER or FLOAT
         what = {"pattern": formats.basic_integer() if desired.type == "INTEGER" else formats.basic_float()}
     return Compatibility(native.type, desired.type, INCOMPATIBLE, "REGEX", what, "the values' form has to be checked")
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from assaykit.functions.formats import date_shape
 from assaykit.functions.predicates import quoted
 from assaykit.model import Rule, RuleType
 from assaykit.plans.registry import REGISTRY, RuleRegistry
@@ -58,6 +59,15 @@ def unique_row(df: DataFrame, rule: Rule) -> DataFrame:
     )
 
 
+def unique_rows(df: DataFrame, rules: list[Rule]) -> DataFrame:
+    """The rows of unique_row() of several rules with their places k, in one plan: their groupings run side by side."""
+    out = None
+    for k, rule in enumerate(rules):
+        one = unique_row(df, rule).withColumn("k", F.lit(k))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def _as_rows(row: DataFrame, rules: list[Rule]) -> DataFrame:
     items = [F.struct(F.lit(r.name).alias("rule"), F.col(f"total_{i}").cast("long").alias("total_records"), F.col(f"failed_{i}").cast("long").alias("failed_records")) for i, r in enumerate(rules)]
     status = F.when(F.col("failed_records") == 0, F.lit("PASSED")).otherwise(F.lit("FAILED"))
@@ -90,16 +100,21 @@ def samples(df: DataFrame, rule: Rule, rows: int, order_by: list[str] | None = N
     """A few violating rows; without order_by any of them, so that the scan may stop early. Of UNIQUE, twice as many values."""
     if rule.type == RuleType.UNIQUE:
         return duplicates(df, rule).limit(2 * rows)
+    if rule.type == RuleType.DATE_FORMAT:
+        return date_failure_samples(df, rule, rows, order_by, registry)
     found = violations(df, rule, registry)
     return (found.orderBy(*[quoted(c) for c in order_by]) if order_by else found).limit(rows)
 
 
-def date_failure_samples(df: DataFrame, rule: Rule, rows: int) -> DataFrame:
-    """Of a DATE_FORMAT rule's failures about half that don't look like the format, half that do but are no date."""
-    from assaykit.functions.formats import java_pattern
+def date_failure_samples(df: DataFrame, rule: Rule, rows: int, order_by: list[str] | None = None, registry: RuleRegistry = REGISTRY) -> DataFrame:
+    """Of a DATE_FORMAT rule's failures some that don't look like the format and some that do but are no date, by turns.
 
-    shape = "^" + "".join(r"\d" if ch in "yMdHms" else "." if ch == "'" else "\\" + ch if not ch.isalnum() else ch for ch in java_pattern(rule.pattern).replace("'", "")) + "$"
-    found = violations(df, rule)
-    shaped = quoted(rule.column).cast("string").rlike(shape)
-    half = (rows + 1) // 2
-    return found.where(~shaped).limit(half).unionByName(found.where(shaped).limit(half)).limit(rows)
+    Where one kind has too few the other fills up.
+    """
+    found, shaped = violations(df, rule, registry), quoted(rule.column).cast("string").rlike(date_shape(rule.pattern))
+    place, kind = (next(n for n in (f"{'_' * i}{name}" for i in range(len(df.columns) + 1)) if n not in df.columns) for name in ("place", "kind"))
+    parts = []
+    for k, some in enumerate((found.where(~shaped), found.where(shaped))):
+        some = (some.orderBy(*[quoted(c) for c in order_by]) if order_by else some).limit(rows)
+        parts.append(some.withColumns({place: F.monotonically_increasing_id(), kind: F.lit(k)}))  # a limit leaves one partition
+    return parts[0].unionByName(parts[1]).orderBy(place, kind).limit(rows).drop(place, kind)

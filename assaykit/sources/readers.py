@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 import csv
 import os
 import re
@@ -23,6 +24,8 @@ from assaykit.sources.xlsx import read_workbook
 
 #: File extensions; what isn't listed is read as CSV.
 EXTENSIONS = {".csv": SourceKind.CSV, ".tsv": SourceKind.CSV, ".xlsx": SourceKind.EXCEL, ".xls": SourceKind.EXCEL, ".json": SourceKind.JSON, ".jsonl": SourceKind.JSON, ".parquet": SourceKind.PARQUET}
+#: A folder with such a name holds files of that kind, as a job writes them.
+FOLDERS = (".csv", ".tsv", ".json", ".jsonl", ".parquet")
 #: URL schemes, JDBC names and default ports.
 DATABASES = {
     "mysql": (SourceKind.MYSQL, "mysql", 3306),
@@ -35,6 +38,8 @@ DATABASES = {
 }
 #: What a CSV file's field says for null.
 NULLS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
+#: What Python's codecs are called in Java.
+CHARSETS = {"iso8859-1": "iso-8859-1", "ascii": "us-ascii", "utf-16-be": "utf-16be", "utf-16-le": "utf-16le"}
 SEPARATORS = (",", ";", "\t")
 
 
@@ -70,11 +75,11 @@ def parse_source(text: str, table: str | None = None) -> Source:
             if suffix in EXTENSIONS or scheme == "file":
                 raise FileNotFoundError(f"file not found: {path}")
             raise SourceError(f"unrecognised source: {text}")
-        if os.path.isdir(path) and suffix != ".parquet" and not any(f.endswith(".parquet") for f in os.listdir(path)):
+        if os.path.isdir(path) and suffix not in FOLDERS and not any(f.endswith(".parquet") for f in os.listdir(path)):
             raise SourceError(f"not a file: {path}")
-        if os.path.isdir(path):
+        if os.path.isdir(path) and suffix not in (".csv", ".tsv", ".json", ".jsonl"):
             return Source(SourceKind.PARQUET, path, table or table_name(PurePosixPath(path).stem))
-        if os.path.getsize(path) == 0:
+        if os.path.isfile(path) and os.path.getsize(path) == 0:
             raise SourceError(f"file is empty: {path}")
     kind = EXTENSIONS.get(suffix, SourceKind.PARQUET if scheme not in ("", "file") else SourceKind.CSV)
     return Source(kind, path, table or table_name(PurePosixPath(path.rstrip("/")).stem))
@@ -93,51 +98,90 @@ def _database(text: str, scheme: str, table: str | None) -> Source:
     return Source(kind, table=inner, url=url, options={"user": unquote(parts.username or ""), "password": unquote(parts.password or ""), "database": database})
 
 
-def read(spark: SparkSession, source: Source | str, table: str | None = None) -> dict[str, DataFrame]:
-    """The source's tables by name: one, but for workbooks and databases named without a table."""
+def read(spark: SparkSession, source: Source | str, table: str | None = None, **options: Any) -> dict[str, DataFrame]:
+    """The source's tables by name: one, but for workbooks and databases named without a table.
+
+    options: for CSV encoding and multiline (see read_csv), for databases column, parts, low, high and fetch_size (see
+    jdbc_options), for workbooks and SQLite files max_mb.
+    """
     s = parse_source(source, table) if isinstance(source, str) else source
     if s.kind == SourceKind.CSV:
-        return {s.table: read_csv(spark, s.path)}
+        return {s.table: read_csv(spark, s.path, **options)}
     if s.kind == SourceKind.JSON:
-        return {s.table: _cleaned(spark.read.json(s.path, multiLine=not s.path.lower().endswith(".jsonl")))}
+        lines = s.path.lower().rstrip("/").endswith(".jsonl") or os.path.isdir(s.path)
+        return {s.table: _cleaned(spark.read.json(s.path, multiLine=not lines))}
     if s.kind in (SourceKind.PARQUET, SourceKind.HDFS):
         return {s.table: spark.read.parquet(s.path)}
     if s.kind == SourceKind.EXCEL:
-        return read_excel(spark, s.path, s.table)
+        return read_excel(spark, s.path, s.table, **options)
     if s.kind == SourceKind.SQLITE:
-        return read_sqlite(spark, s.path, s.table)
+        return read_sqlite(spark, s.path, s.table, **options)
     if s.kind in (SourceKind.HIVE, SourceKind.SPARK):
         return {s.table.split(".")[-1]: spark.table(s.table)}
     if not s.table:
         raise SourceError(f"{s.kind} needs a table")
-    return {s.table: spark.read.format("jdbc").options(url=s.url, dbtable=s.table, user=s.options["user"], password=s.options["password"]).load()}
+    return {s.table: spark.read.format("jdbc").options(**jdbc_options(spark, s, **options)).load()}
+
+
+def jdbc_options(spark: SparkSession, source: Source, *, column: str | None = None, parts: int = 8, low: Any = None, high: Any = None, fetch_size: int = 10_000) -> dict[str, Any]:
+    """Options of a JDBC read, in so many parts if a column to cut by (numbers, dates or timestamps) is named.
+
+    Its bounds are asked of the database where they are not given; rows beyond them, or with null, are read all the same.
+    """
+    found: dict[str, Any] = {"url": source.url, "dbtable": source.table, "fetchsize": fetch_size}
+    found |= {k: source.options[k] for k in ("user", "password") if source.options.get(k)}
+    if column is None:
+        return found
+    if low is None or high is None:
+        ends = {k: v for k, v in found.items() if k != "dbtable"} | {"query": f"SELECT MIN({column}) AS low, MAX({column}) AS high FROM {source.table}"}
+        row = spark.read.format("jdbc").options(**ends).load().first()
+        low, high = row[0] if low is None else low, row[1] if high is None else high
+    if low is None:  # no rows, or nulls only
+        return found
+    return found | {"partitionColumn": column, "lowerBound": str(low), "upperBound": str(high), "numPartitions": parts}
 
 
 def _cleaned(df: DataFrame) -> DataFrame:
     return df.toDF(*column_names(df.columns))
 
 
-def sniff_separator(path: str) -> str:
+def sniff_separator(path: str, encoding: str = "utf-8-sig") -> str:
     """The first of the separators that splits the header into more than one column, else a comma."""
-    with open(path, encoding="utf-8-sig", errors="replace") as f:
+    with open(path, encoding=encoding, errors="replace") as f:
         head = f.readline()
     if not head.strip():
         raise SourceError(f"file is empty: {path}")
     return next((s for s in SEPARATORS if s in re.sub(r'"[^"]*"', "", head)), ",")
 
 
-def _header(path: str, separator: str) -> list[str]:
+def _header(path: str, separator: str, encoding: str) -> list[str]:
     """As written: Spark numbers repeated names in its own way."""
-    with open(path, encoding="utf-8-sig", errors="replace", newline="") as f:
+    with open(path, encoding=encoding, errors="replace", newline="") as f:
         return next(csv.reader(f, delimiter=separator))
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """With a header; types are inferred, null tokens are null, rows with too few fields are filled with null."""
+def breaks_in_quotes(spark: SparkSession, path: str, encoding: str = "utf-8") -> bool:
+    """Whether a quoted field may hold a line break: then some line has an odd number of quotes. One distributed pass."""
+    raw = spark.read.text(path) if encoding == "utf-8" else spark.read.csv(path, sep="\u0001", quote="", encoding=encoding, header=False, schema="value string")
+    return not raw.where(F.length(F.regexp_replace("value", '[^"]', "")) % 2 == 1).isEmpty()
+
+
+def read_csv(spark: SparkSession, path: str, *, encoding: str = "utf-8", multiline: bool | None = None) -> DataFrame:
+    """With a header; types are inferred, null tokens are null, rows with too few fields are filled with null.
+
+    A file whose quoted fields hold line breaks can't be cut, so each such file is one task's; others are read in parts.
+    multiline says which it is where that is known, otherwise the lines' quotes are counted first.
+    """
     local = path.removeprefix("file://")
-    separator = sniff_separator(local) if os.path.isfile(local) else ("\t" if path.endswith(".tsv") else ",")
-    raw = spark.read.csv(path, header=True, sep=separator, inferSchema=False, mode="PERMISSIVE", multiLine=False, escape='"', nullValue="")
-    names = column_names(_header(local, separator) if os.path.isfile(local) else raw.columns)
+    encoding = codecs.lookup(encoding).name
+    encoding = CHARSETS.get(encoding, encoding)
+    single, plain = os.path.isfile(local), encoding == "utf-8"
+    own = "utf-8-sig" if plain else encoding
+    separator = sniff_separator(local, own) if single else ("\t" if path.rstrip("/").endswith(".tsv") else ",")
+    if multiline is None:
+        multiline = breaks_in_quotes(spark, path, encoding)
+    raw = spark.read.csv(path, header=True, sep=separator, inferSchema=False, mode="PERMISSIVE", multiLine=multiline, escape='"', nullValue="", encoding=encoding)
+    names = column_names(_header(local, separator, own) if single else raw.columns)
     text = raw.toDF(*names)
     text = text.select(*[F.when(quoted(c).isin(*NULLS), F.lit(None)).otherwise(quoted(c)).alias(c) for c in names])
     return text.select(*[_inferred(c, kind) for c, kind in _infer(text, names).items()])
@@ -193,10 +237,17 @@ def _frame(spark: SparkSession, names: list[str], rows: list[list[Any]]) -> Data
     return spark.createDataFrame(data, T.StructType([T.StructField(n, k) for n, k in zip(names, kinds, strict=True)]))
 
 
-def read_excel(spark: SparkSession, path: str, table: str | None = None) -> dict[str, DataFrame]:
-    """A table per sheet; a workbook of one sheet is called as the table that was asked for."""
+def _check_size(path: str, max_mb: float) -> None:
+    size = os.path.getsize(path) / 1e6
+    if size > max_mb:
+        raise SourceError(f"{path} has {size:.1f} MB, more than the {max_mb} MB that the driver reads; store it as Parquet, or raise max_mb")
+
+
+def read_excel(spark: SparkSession, path: str, table: str | None = None, *, max_mb: float = 100) -> dict[str, DataFrame]:
+    """A table per sheet; a workbook of one sheet is called as the table that was asked for. The driver reads it, up to max_mb."""
     if path.lower().endswith(".xls"):
         raise SourceError("the old binary .xls format is not supported; save the workbook as .xlsx")
+    _check_size(path, max_mb)
     out = {}
     sheets = read_workbook(path)
     for name, rows in sheets.items():
@@ -211,12 +262,13 @@ def read_excel(spark: SparkSession, path: str, table: str | None = None) -> dict
     return out
 
 
-def read_sqlite(spark: SparkSession, path: str, table: str | None = None) -> dict[str, DataFrame]:
-    """Through the standard library on the driver, with the declared types; other databases are read by JDBC."""
+def read_sqlite(spark: SparkSession, path: str, table: str | None = None, *, max_mb: float = 500) -> dict[str, DataFrame]:
+    """Through the standard library on the driver, up to max_mb, with the declared types; other databases are read by JDBC."""
     from assaykit.plans.types import from_vendor
 
     if not os.path.isfile(path):
         raise FileNotFoundError(f"file not found: {path}")
+    _check_size(path, max_mb)
     out = {}
     kinds = {"INTEGER": T.LongType(), "FLOAT": T.DoubleType(), "BOOLEAN": T.BooleanType()}
     casts = {"INTEGER": int, "FLOAT": float, "BOOLEAN": bool}

@@ -3,11 +3,15 @@
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from assaykit.model import Report, Result, Rule, RuleType, Settings, Severity, Status, Target
+from assaykit.operators import engine
 from assaykit.operators.engine import prevalidate, quarantine, validate
-from assaykit.plans.fusion import date_failure_samples, duplicates, rule_counts
+from assaykit.plans.compat import desired_rule
+from assaykit.plans.fusion import date_failure_samples, duplicates, rule_counts, unique_rows
+from assaykit.plans.types import TypeInfo
 
 PEOPLE = [(1, "Alice", "alice@example.com", 25, "active"), (2, None, "bob@example.com", 30, "active"), (3, "Charlie", "charlie@example.com", -5, "inactive"), (4, "Diana", "alice@example.com", 35, "active"), (5, "Eve", "eve@example.com", 150, "active")]
 
@@ -128,3 +132,35 @@ def test_model():
     assert Target.parse("d.t.c") == Target("t", "c", "d") and str(Target("t", "c")) == "t.c"
     assert Result.error(r, "x").failed_records == 0 and Result.skipped(r, "FIELD_MISSING").status == Status.SKIPPED
     assert r.to_dict()["category"] == "COMPLETENESS" and len(Report([])) == 0
+
+
+def test_a_rule_that_fails_at_run_time_does_not_touch_the_others(people):
+    bad = rule("RANGE", "age", min=0, filter_condition="cast(name AS int) > 0")
+    report = validate(people, [rule("NOT_NULL", "name"), bad, rule("UNIQUE", "email"), rule("UNIQUE", "age", filter_condition="cast(name AS int) > 0"), rule("UNIQUE", "status")])
+    assert [r.status for r in report] == [Status.FAILED, Status.ERROR, Status.FAILED, Status.ERROR, Status.FAILED]
+
+
+def test_faults_of_the_cluster_are_raised(people, monkeypatch):
+    """A lost connection or executor is no rule's fault: no half of the rules is tried again."""
+    calls = []
+
+    def lost(df, rules, registry=None):
+        calls.append(len(rules))
+        raise PySparkException("executor lost")
+
+    monkeypatch.setattr(engine, "fused_row", lost)
+    with pytest.raises(PySparkException):
+        validate(people, [rule("NOT_NULL", "name"), rule("NOT_NULL", "age")])
+    assert calls == [2]
+
+
+def test_unique_rules_are_one_plan(people):
+    plan = unique_rows(people, [rule("UNIQUE", c) for c in ("id", "name", "email")])
+    assert [(r["k"], r["total_0"], r["failed_0"]) for r in plan.orderBy("k").collect()] == [(0, 5, 0), (1, 5, 0), (2, 5, 1)]
+
+
+def test_blank_dates_and_digits_of_texts(spark):
+    df = spark.createDataFrame([(v,) for v in ["2023-01-01", " ", "\t", "\n \t", "", None, "2023-1-1"]], "d string")
+    assert validate(df, [Rule(RuleType.DATE_FORMAT, Target("t", "d"), {"format_pattern": "YYYY-MM-DD"})]).results[0].failed_records == 1
+    df = spark.createDataFrame([(v,) for v in ["12", "-99", "007", "123", "12.0", "", None, "-000", "abc"]], "v string")
+    assert validate(df, [desired_rule("t", "v", TypeInfo("STRING"), "integer(2)")]).results[0].failed_records == 4

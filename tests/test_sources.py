@@ -180,3 +180,38 @@ def test_streams(spark, tmp_path):
     query = counts.writeStream.format("memory").queryName("windows").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "state2")).start()
     query.awaitTermination(60)
     assert sorted((r["total_records"], r["failed_records"]) for r in spark.table("windows").collect()) == [(5, 0), (5, 5)]
+
+
+def test_csv_fields_with_line_breaks_and_encodings(spark, tmp_path):
+    path = tmp_path / "notes.csv"
+    path.write_text('id,note\n1,"two\nlines, and ""quotes"""\n2,x\n3,"a ""b"" c"\n')
+    got = R.read(spark, str(path))["notes"]
+    assert dict(got.dtypes) == {"id": "bigint", "note": "string"}
+    assert [tuple(r) for r in got.orderBy("id").collect()] == [(1, 'two\nlines, and "quotes"'), (2, "x"), (3, 'a "b" c')]
+    assert R.breaks_in_quotes(spark, str(path))
+    path.write_text('id,note\n1,"a ""b"""\n')
+    assert not R.breaks_in_quotes(spark, str(path))
+    path.write_bytes("id;note\n1;é ü\n2;\"x\ny\"\n".encode("latin-1"))
+    assert [tuple(r) for r in R.read(spark, str(path), encoding="latin-1")["notes"].orderBy("id").collect()] == [(1, "é ü"), (2, "x\ny")]
+
+
+def test_folders_of_files(spark, tmp_path):
+    spark.range(20).selectExpr("id", "concat('n', id) AS name").repartition(3).write.csv(f"{tmp_path}/many.csv", header=True)
+    spark.range(20).selectExpr("id").repartition(3).write.json(f"{tmp_path}/many.json")
+    assert R.read(spark, f"{tmp_path}/many.csv")["many"].agg({"id": "sum"}).first()[0] == 190 == R.read(spark, f"{tmp_path}/many.json")["many"].agg({"id": "sum"}).first()[0]
+
+
+def test_jdbc_reads_in_parts(spark):
+    given = R.parse_source("postgresql://u:p@h/db", "t")
+    whole = R.jdbc_options(spark, given)
+    assert whole == {"url": "jdbc:postgresql://h:5432/db", "dbtable": "t", "fetchsize": 10_000, "user": "u", "password": "p"}
+    cut = R.jdbc_options(spark, given, column="id", parts=16, low=1, high=900, fetch_size=500)
+    assert cut == whole | {"fetchsize": 500, "partitionColumn": "id", "lowerBound": "1", "upperBound": "900", "numPartitions": 16}
+
+
+def test_files_that_the_driver_reads_are_bounded(spark, tmp_path):
+    path = tmp_path / "big.db"
+    with sqlite3.connect(path) as db:
+        db.execute("CREATE TABLE t (a INTEGER)")
+    with pytest.raises(SourceError, match="more than the 0 MB"):
+        R.read(spark, f"sqlite:///{path}", "t", max_mb=0)
