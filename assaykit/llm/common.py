@@ -38,6 +38,12 @@ def scratch_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Removes what was written under a path of whatever file system."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise df in the shared folder, so that a lost executor costs no recomputation of what led to it."""
     scratch_folder(df.sparkSession)
@@ -82,6 +88,19 @@ def text_hash(text: bytes | None) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or with underscores before it, such that df has no column of that name in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def named(df: DataFrame) -> list[Column]:
+    """df's columns, whatever their names."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def word_count(text: Column) -> Column:
     """Number of words; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -2,16 +2,21 @@
 
 Each text gets counts (words, their code points, symbols, repeated lines, words in repeated 5-word windows). A fixed
 base rule fails texts that are too short or repeat themselves. Beyond it there are a few signals, larger for worse
-texts; for each stratum (language) and signal the lowest cutoff of a fixed grid is chosen such that the exact
-binomial (Clopper-Pearson) upper bound on the share of good texts above it is within the signal's part of
-``max_false_rejection``. Cutoffs are tested from the most lenient downwards and the search stops at the first that
-fails, so that one test level per stratum and signal is enough (fixed-sequence testing); the levels are divided by
-the number of strata and signals (Bonferroni). With probability ``1 - risk`` or more no stratum loses more than
-``max_false_rejection`` of its good texts. A stratum with too few labelled rows gets no cutoff.
+texts, and one fixed path of cutoffs from lenient to strict: each step tightens one signal's cutoff, so a text that a
+step rejects is rejected by all later ones. The labelled rows are a holdout, as the path doesn't depend on them. In
+each stratum (language) the steps are tested in their order: of the good labelled rows that the base rule leaves, so
+many are rejected by any signal at this step; the step holds if the exact binomial (Clopper-Pearson) upper bound on
+their share is within ``max_false_rejection``. The search stops at the first step that doesn't hold, so one test level
+per stratum is enough (fixed-sequence testing); the levels are ``risk`` divided by the number of strata (Bonferroni).
+With probability ``1 - risk`` or more no stratum loses more than ``max_false_rejection`` of those texts by the cutoffs
+of all signals together. A stratum with too few labelled rows gets no cutoff: by default about 220 good rows of each
+of four strata are needed, none of them rejected.
 
 Defined cases: a null text has no words and fails the base rule; a null stratum is a stratum of its own; of repeated
-ids in the labels the highest label counts, so that rejecting it counts as false; without labels nothing but the base rule rejects; repeated rows
-are judged alike; an empty table gives an empty result.
+ids in the labels the highest label counts, so that rejecting it counts as false; without labels nothing but the base
+rule rejects; a signal equal to its cutoff, as those of texts that tie, is not rejected; repeated rows are judged
+alike; a text is read at once, whatever its length, one at a time; an empty table gives an empty result. Other columns
+are not read, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -30,13 +35,15 @@ STATS = "doc_id long, stratum string, n_words long, word_chars long, n_symbols l
 SYMBOLS = b"#*$%&|<>"
 SPACE = b" \t\n\v\f\r"
 WINDOW = 5
-#: Signal and its grid of cutoffs, from lenient to strict; a text above a cutoff is rejected.
+#: Signal and its cutoffs, from lenient to strict; a text above a cutoff is rejected.
 GRIDS: dict[str, tuple[float, ...]] = {
     "symbols_per_char": (0.5, 0.3, 0.2, 0.15, 0.1, 0.08, 0.06, 0.05, 0.04, 0.03),
     "repeated_lines_per_word": (0.2, 0.15, 0.1, 0.08, 0.06, 0.05, 0.04, 0.03),
     "repeated_words": (0.18, 0.16, 0.14, 0.12, 0.1, 0.08, 0.06),
     "chars_per_word": (40.0, 30.0, 25.0, 20.0, 18.0, 16.0, 14.0, 13.0, 12.0),
 }
+#: The path: at its k-th step, from 1, that signal gets that cutoff; the signals take turns.
+PATH: list[tuple[str, float]] = [(s, grid[i]) for i in range(max(map(len, GRIDS.values()))) for s, grid in GRIDS.items() if i < len(grid)]
 
 
 def repeated_words(ids: np.ndarray, distinct: int) -> int:
@@ -107,55 +114,80 @@ def signals() -> dict[str, Column]:
     }
 
 
+def first_step() -> Column:
+    """The first step of the path that rejects a text; one more than the path has if none does."""
+    named = signals()
+    return F.least(*[F.when(named[s] > cutoff, F.lit(k)).otherwise(F.lit(len(PATH) + 1)) for k, (s, cutoff) in enumerate(PATH, 1)])
+
+
+def at_most(failures: int, n: int, p: float) -> float:
+    """The binomial probability of at most so many failures among n, at a share of p.
+
+    It is the regularised incomplete beta function I(1 - p; n - failures, failures + 1), by its continued fraction,
+    which takes about the square root of n steps whatever the number of failures.
+    """
+    if failures >= n or p <= 0:
+        return 1.0
+    a, b, x = n - failures, failures + 1, 1 - p
+    if x > (a + 1) / (a + b + 2):  # the fraction converges fast on one side of the mean only
+        return 1 - _beta_share(b, a, p)
+    return _beta_share(a, b, x)
+
+
+def _beta_share(a: float, b: float, x: float) -> float:
+    tiny = 1e-300
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    value, c, d = 1.0, 1.0, 0.0
+    for i in range(1_000_000):
+        m = i // 2
+        term = 1.0 if i == 0 else m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)) if i % 2 == 0 else -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        d = 1 / (1 + term * d or tiny)
+        c = 1 + term / c or tiny
+        value *= c * d
+        if i and abs(c * d - 1) < 1e-14:
+            break
+    return front * (value - 1)
+
+
 def upper_bound(failures: int, n: int, level: float) -> float:
     """The exact binomial upper confidence bound: the share at which so few failures have probability level."""
     if failures >= n:
         return 1.0
-
-    def at_most(p: float) -> float:
-        logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p) for i in range(failures + 1)]
-        top = max(logs)
-        return math.exp(top) * sum(math.exp(x - top) for x in logs)
-
     low, high = failures / n, 1.0
     for _ in range(60):
         mid = (low + high) / 2
-        low, high = (mid, high) if at_most(mid) > level else (low, mid)
+        low, high = (mid, high) if at_most(failures, n, mid) > level else (low, mid)
     return high
 
 
-def choose(n: int, above: dict[str, list[int]], share: float, level: float) -> dict[str, float | None]:
-    """A stratum's cutoffs: for each signal the last of its grid before the bound exceeds share; None if the first does."""
-    chosen: dict[str, float | None] = {}
-    for name, grid in GRIDS.items():
-        chosen[name] = None
-        for cutoff, failures in zip(grid, above[name], strict=True):
-            if failures > n * share or upper_bound(failures, n, level) > share:
-                break
-            chosen[name] = cutoff
-    return chosen
+def choose(n: int, rejected: list[int], share: float, level: float) -> int:
+    """How many steps of the path hold in a stratum with n good rows, of which each step rejects so many."""
+    for k, failures in enumerate(rejected):
+        if failures > n * share or at_most(failures, n, share) > level:
+            return k
+    return len(rejected)
 
 
 def cutoffs(stats: DataFrame, labels: DataFrame, *, max_false_rejection: float, risk: float) -> DataFrame:
-    """(stratum, cut_<signal> for each signal) from the good labelled rows; one row for each stratum that has any."""
+    """(stratum, steps, cut_<signal> for each signal), of stats with base_failed and first_step; one row for each stratum with good rows."""
     good = labels.groupBy("doc_id").agg(F.max("quality").alias("quality")).where(F.col("quality") == 1).select("doc_id")
-    named = signals()
-    counts = [F.count_if(named[s] > c).alias(f"{s}_{i}") for s, grid in GRIDS.items() for i, c in enumerate(grid)]
-    by_stratum = cut(stats.join(good, "doc_id", "left_semi").groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *counts))
-    strata = max(1, by_stratum.count())
-    share, level = max_false_rejection / len(GRIDS), risk / (strata * len(GRIDS))
+    counts = [F.count_if(F.col("first_step") <= k).alias(f"step_{k}") for k in range(1, len(PATH) + 1)]
+    by_stratum = cut(stats.where(~F.col("base_failed")).join(good, "doc_id", "left_semi").groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *counts))
+    level = risk / max(1, by_stratum.count())
 
     def run(batches):
         for batch in batches:
-            out: dict = {"stratum": [], **{f"cut_{s}": [] for s in GRIDS}}
+            out: dict = {"stratum": [], "steps": [], **{f"cut_{s}": [] for s in GRIDS}}
             for row in batch.to_pylist():
-                found = choose(row["n"], {s: [row[f"{s}_{i}"] for i in range(len(g))] for s, g in GRIDS.items()}, share, level)
+                steps = choose(row["n"], [row[f"step_{k}"] for k in range(1, len(PATH) + 1)], max_false_rejection, level)
+                last = dict(PATH[:steps])
                 out["stratum"].append(row["stratum"])
+                out["steps"].append(steps)
                 for s in GRIDS:
-                    out[f"cut_{s}"].append(found[s])
-            yield pa.RecordBatch.from_arrays([pa.array(out["stratum"], pa.string()), *[pa.array(out[f"cut_{s}"], pa.float64()) for s in GRIDS]], names=list(out))
+                    out[f"cut_{s}"].append(last.get(s))
+            yield pa.RecordBatch.from_arrays([pa.array(out["stratum"], pa.string()), pa.array(out["steps"], pa.int32()), *[pa.array(out[f"cut_{s}"], pa.float64()) for s in GRIDS]], names=list(out))
 
-    return by_stratum.mapInArrow(run, "stratum string, " + ", ".join(f"cut_{s} double" for s in GRIDS))
+    return by_stratum.mapInArrow(run, "stratum string, steps int, " + ", ".join(f"cut_{s} double" for s in GRIDS))
 
 
 def apply_rules(
@@ -171,14 +203,15 @@ def apply_rules(
     stratum: str = "lang",
 ) -> DataFrame:
     """The counts of each document with base_failed, rejected_by (signals above their cutoff) and kept."""
-    stats = cut(document_stats(docs, doc_id=doc_id, text=text, stratum=stratum))
+    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
+    counted = document_stats(docs, doc_id=doc_id, text=text, stratum=stratum)
+    stats = cut(counted.withColumns({"base_failed": failed, "first_step": first_step()}))
     limits = small_side(cut(cutoffs(stats, labels, max_false_rejection=max_false_rejection, risk=risk)).withColumnRenamed("stratum", "s"), 10_000)
     named = signals()
     broken = F.array_compact(F.array(*[F.when(named[s] > F.col(f"cut_{s}"), F.lit(s)) for s in GRIDS]))
-    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     return (
         stats.join(limits, F.col("stratum").eqNullSafe(F.col("s")), "left")
-        .withColumns({"base_failed": failed, "rejected_by": broken})
-        .withColumn("kept", ~F.col("base_failed") & (F.size("rejected_by") == 0))
-        .select(*stats.columns, "base_failed", "rejected_by", "kept")
+        .withColumn("rejected_by", broken)
+        .withColumn("kept", ~F.col("base_failed") & (F.col("first_step") > F.coalesce("steps", F.lit(0))))
+        .select(*counted.columns, "base_failed", "rejected_by", "kept")
     )

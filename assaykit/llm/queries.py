@@ -80,11 +80,42 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-def op5_count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+_NAMED = {"symbols_per_char": "n_symbols / greatest(word_chars, 1)", "repeated_lines_per_word": "n_dup_lines / greatest(n_words, 1)", "repeated_words": "n_repeat_words / greatest(n_words, 1)", "chars_per_word": "word_chars / greatest(n_words, 1)"}
+_STEPS = ", ".join(f"CASE WHEN {_NAMED[s]} > {c}::DOUBLE THEN {k} ELSE {len(quality_rules.PATH) + 1} END" for k, (s, c) in enumerate(quality_rules.PATH, 1))
+#: The binomial tails are summed term by term here.
+OP4_SQL = rf"""
+WITH doc_words AS (SELECT doc_id, lang, text, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+windows AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i + 4), ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM doc_words WHERE len(w) >= 5)),
+again AS (SELECT doc_id, g FROM windows GROUP BY ALL HAVING count(*) > 1),
+repeated AS (SELECT doc_id, count(DISTINCT k) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS k FROM windows JOIN again USING (doc_id, g)) GROUP BY doc_id),
+lines AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+base AS (
+  SELECT doc_id, lang, len(w)::BIGINT AS n_words, coalesce(length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')), 0)::BIGINT AS word_chars,
+         coalesce(length(text) - length(translate(text, '#*$%&|<>', '')), 0)::BIGINT AS n_symbols, coalesce(lines.n, 0)::BIGINT AS n_dup_lines, coalesce(repeated.n, 0)::BIGINT AS n_repeat_words
+  FROM doc_words LEFT JOIN lines USING (doc_id) LEFT JOIN repeated USING (doc_id)),
+judged AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, least({_STEPS}) AS step FROM base),
+good AS (SELECT lang, step FROM judged SEMI JOIN (SELECT doc_id FROM labels GROUP BY doc_id HAVING max(quality) = 1) USING (doc_id) WHERE NOT base_failed),
+tests AS (
+  SELECT lang, k, count(*) AS n, count(*) FILTER (WHERE step <= k) AS f
+  FROM good, (SELECT unnest(range(1, {len(quality_rules.PATH) + 1})) AS k) GROUP BY lang, k),
+terms AS (SELECT lang, k, n, f, unnest(range(0, f + 1)) AS i FROM tests WHERE f <= n * 0.02::DOUBLE),
+tails AS (SELECT lang, k, sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.02::DOUBLE) + (n - i) * ln(0.98::DOUBLE))) AS tail FROM terms GROUP BY lang, k),
+held AS (SELECT t.lang, t.k, coalesce(tail <= 0.05::DOUBLE / (SELECT count(*) FROM (SELECT DISTINCT lang FROM good)), false) AS holds FROM tests t LEFT JOIN tails s ON t.lang IS NOT DISTINCT FROM s.lang AND t.k = s.k),
+chosen AS (SELECT lang, coalesce(min(k) FILTER (WHERE NOT holds), {len(quality_rules.PATH) + 1}) - 1 AS steps FROM held GROUP BY lang)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND step > coalesce(steps, 0) AS kept
+FROM judged LEFT JOIN chosen ON judged.lang IS NOT DISTINCT FROM chosen.lang
+"""
+
+
+def _tokenizer() -> str:
     import public_tokenizers
 
     with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
-        return token_counts.count_tokens(table(spark, sf_dir, "documents"), f.read())
+        return f.read()
+
+
+def op5_count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), _tokenizer())
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,7 +131,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_format_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     added = spark.sql("SELECT -1L AS conv_id, 0L AS turn, 'user' AS role, :t AS text UNION ALL SELECT -1L, 1L, 'assistant', :t", args={"t": IMITATION})
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(added)
-    return chat_format.read_back(chat_format.format_conversations(turns))
+    return chat_format.read_back(chat_format.format_conversations(turns, tokenizer=_tokenizer()))
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,6 +201,7 @@ def oracle_sql() -> dict[str, str]:
         "op1_decontaminate": OP1_SQL,
         "op2_jaccard_join": OP2_SQL,
         "op3_url_filter": OP3_SQL,
+        "op4_quality_rules": OP4_SQL,
         "op9_substring_dedup": OP9_SQL,
         "op10_mix_sources": OP10_SQL,
     }

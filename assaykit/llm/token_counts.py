@@ -8,13 +8,16 @@ Pre-tokens are cut by the library's own pattern, with the regex module where the
 U+0240, on which both agree (see the tests), and with the library's pre-tokenizer for other texts. Strings of
 special tokens inside a text are one token each, as by the library's default.
 
-Defined cases: a null text is empty and has 0 tokens; a null id stays null; repeated rows each get their row.
+Defined cases: a null text is empty and has 0 tokens; a null id stays null; repeated rows each get their row; a very
+long text is a block of its own, read whole; an empty table gives an empty result. Other columns are not read, so
+their names can't clash.
 """
 
 from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -64,6 +67,31 @@ class PreTokens:
         return [p[a:b] for p in parts if p for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(p)], specials
 
 
+class _Counts(dict):
+    """Pieces of pre-tokens, remembered for those of late."""
+
+    def __init__(self, definition: str, most: int):
+        super().__init__()
+        self.model, self.letters, self.most = Tokenizer.from_str(definition).model, byte_alphabet(), most
+
+    def __missing__(self, token: str) -> int:
+        if len(self) >= self.most:
+            self.clear()
+        self[token] = n = len(self.model.tokenize(token.encode().decode("latin-1").translate(self.letters)))
+        return n
+
+
+def token_counter(definition: str, most: int = 200_000) -> Callable[[str], int]:
+    """A function that counts the tokens of a text, one at a time, within a task."""
+    pre_tokens, counts = PreTokens(definition), _Counts(definition, most)
+
+    def count(text: str) -> int:
+        found, specials = pre_tokens(text.encode())
+        return specials + sum(map(counts.__getitem__, found))
+
+    return count
+
+
 class _Numbers(dict):
     def __missing__(self, key):
         self[key] = n = len(self)

@@ -1,9 +1,13 @@
 import hashlib
 import random
 
+import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
-from assaykit.llm.chat_format import approximate_tokens, escape, escape_role, format_conversations, parse_window, read_back, unescape, unescape_role
+from assaykit.llm import chat_format
+from assaykit.llm.chat_format import approximate_tokens, escape, escape_role, format_conversations, parse_window, read_back, unescape, unescape_role, written
+from assaykit.llm.token_counts import token_counter
 
 from .helpers import prose
 
@@ -34,10 +38,11 @@ def expected(rows):
     return out
 
 
-@pytest.mark.parametrize("budget", [60, 300, 100_000])
-def test_what_is_read_back_is_what_went_in(spark, budget):
+@pytest.mark.parametrize(("budget", "segment"), [(60, 4096), (60, 7), (300, 3), (300, 4096), (100_000, 5), (100_000, 4096)])
+def test_what_is_read_back_is_what_went_in(spark, monkeypatch, budget, segment):
+    monkeypatch.setattr(chat_format, "PIECE", 500)
     rows = conversations()
-    windows = format_conversations(spark.createDataFrame(rows, TURNS).repartition(5), budget=budget)
+    windows = format_conversations(spark.createDataFrame(rows, TURNS).repartition(5), budget=budget, segment=segment)
     got = {r["conv_id"]: tuple(r)[1:5] for r in read_back(windows).collect()}
     assert got == expected(rows)
 
@@ -55,6 +60,68 @@ def test_windows_keep_to_the_budget_and_repeat_history(spark):
         assert spans == {(at, at + len(escape(t))) for r, t, at in new if r == "assistant" and t}
 
 
+def slow_windows(turns, budget, history, segment, tokens):
+    """[(first new turn, end, repeated turns)] by adding one turn after the other."""
+    size = [tokens("".join(written(r, t))) for r, t in turns]
+    system = [0] if turns and turns[0][0] == "system" else []
+    out, begin = [], 0
+    while begin < len(turns):
+        own = system if begin else []
+        left, back = budget // 2 - sum(size[i] for i in own), begin
+        while back - 1 >= len(system) and begin - back < history and size[back - 1] <= left:
+            back -= 1
+            left -= size[back]
+        old = [*own, *range(back, begin)]
+        if size[begin] > budget - sum(size[i] for i in old):
+            old = list(own)
+        room, end = budget - sum(size[i] for i in old), begin
+        while end < len(turns) and (end == begin or (size[end] <= room and end % segment)):
+            room -= size[end]
+            end += 1
+        out.append((begin, end, old))
+        begin = end
+    return out
+
+
+@pytest.mark.parametrize("segment", [4096, 5])
+def test_windows_match_a_turn_by_turn_loop(spark, segment):
+    rows = [r for r in conversations() if r[0] is not None and 0 <= r[0] < 40]
+    tokenizer = open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8").read()
+    count = token_counter(tokenizer)
+    found = {}
+    for w in format_conversations(spark.createDataFrame(rows, TURNS), budget=200, history=3, tokenizer=tokenizer, segment=segment).collect():
+        found.setdefault(w["conv_id"], []).append(w)
+    for c, windows in found.items():
+        turns = [(r or "", t or "") for _, _, r, t in sorted((r for r in rows if r[0] == c), key=lambda r: r[1])]
+        windows.sort(key=lambda w: (w["segment"], w["window"]))
+        want = slow_windows(turns, 200, 3, segment, count)
+        assert [[t[:2] for t in parse_window(w["text"])] for w in windows] == [[turns[i] for i in [*old, *range(a, b)]] for a, b, old in want]
+        assert [w["n_repeated"] for w in windows] == [len(old) for _, _, old in want]
+
+
+def test_tokens_are_the_librarys(spark):
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    count = token_counter(open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8").read(), most=5)
+    for t in ["", "a b  c\n", "<|endoftext|> x", "日本 é 😀", prose(random.Random(1), 50)]:
+        assert count(t) == len(library.encode(t, add_special_tokens=False).ids)
+
+
+def test_a_long_conversation_is_dealt_out(spark):
+    rows = [(1, i, "system" if i == 0 else "user", f"turn {i}") for i in range(900)]
+    windows = format_conversations(spark.createDataFrame(rows, TURNS), segment=100)
+    assert {w["segment"] for w in windows.collect()} == set(range(9))
+    assert all(parse_window(w["text"])[0][0] == "system" for w in windows.collect())
+    assert read_back(windows).first()["n_turns"] == 900
+
+
+@pytest.mark.parametrize("name", ["c", "t", "x", "g", "kind", "rank", "n", "segment", "window", "Text_"])
+def test_clashing_names(spark, name):
+    rows = [r for r in conversations() if r[0] is not None and 0 <= r[0] < 6]
+    table = spark.createDataFrame(rows, TURNS).selectExpr("*", f"'clash' AS `{name}`")
+    got = {r["conv_id"]: tuple(r)[1:5] for r in read_back(format_conversations(table, segment=10)).collect()}
+    assert got == expected(rows)
+
+
 def test_escapes_are_reversible():
     rng = random.Random(9)
     for _ in range(2000):
