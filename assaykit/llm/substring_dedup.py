@@ -5,17 +5,22 @@
    documents have too (see recurring.py); any window that recurs has such an anchor.
 2. Candidate passages. The windows with such an anchor, with their words, are the only places where a repetition can
    be. A block of documents sends each distinct passage once, to the anchor's bucket.
-3. Automata. A bucket confirms, word by word, which windows of its passages occur in documents with different ids,
-   compiles them into an Aho-Corasick automaton, one letter for each word, and streams all passages of all documents
-   through it; each block gets every occurrence with the smallest id that the window starts in.
+3. Automata. A bucket confirms which windows of its passages recur, by the hashes of all windows at once, compiles
+   them into Aho-Corasick automata, sharded by anchor, one word spelled with a few letters, and streams the passages
+   of all documents through them: that locates every occurrence, word by word. Each block gets the occurrences with
+   the smallest id that the window starts in, which is taken from what the automaton found; a hash that two windows
+   share only puts a needless word into the automaton.
 4. Removal. The block marks the words of its documents with larger ids, and the marks are joined to the documents.
 
 All documents take part in each step; what a bucket holds is bounded by the number of buckets, and a passage that a
-third of all documents share comes once per block.
+third of all documents share comes once per block. Streaming whole documents through every automaton would cost the
+corpus times the number of automata, which grows with the corpus as well; a document's passages go to just those
+automata that can match there.
 
 Defined cases: a null text has no words; a null id neither removes words nor loses any; rows with equal ids don't
-remove each other's words; texts shorter than a window keep all words; an empty table gives an empty result. Other
-columns are kept unless they clash with those added, which win.
+remove each other's words; texts shorter than a window keep all words; a very long text is a block of its own, read
+whole; an empty table gives an empty result. Other columns, whatever their names, are kept unless they clash with
+those added, which win.
 """
 
 from __future__ import annotations
@@ -24,11 +29,10 @@ import ahocorasick
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assaykit.llm.common import cut
+from assaykit.llm.common import cut, free_name, named, text_hash
 from assaykit.llm.exchange import block_exchange, join_bytes, pack, split_bytes, unpack
 from assaykit.llm.recurring import BITS, recurring_items, short
 from assaykit.llm.shingles import Powers, Words, mix
@@ -42,11 +46,6 @@ LETTERS = "".join(map(chr, range(0x30, 0x70)))
 SHARDS = 16
 
 
-def text_hash(raw: bytes | None) -> int:
-    """Spark's xxhash64 of the text, as a signed number."""
-    return int(np.uint64(xxhash.xxh64_intdigest(raw, seed=42)).view(np.int64)) if raw is not None else 42
-
-
 def window_anchors(words: Words, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray]:
     """(anchor of the window that starts at each word, whether the window is within one text)."""
     runs, _ = words.runs(anchor)
@@ -99,43 +98,69 @@ def passages(words: Words, wanted: np.ndarray, window: int, anchor: int) -> list
     return list(zip(begin.tolist(), (end - begin + window).tolist(), least[begin].tolist(), strict=True))
 
 
+class _Numbers(dict):
+    def __missing__(self, key):
+        self[key] = n = len(self)
+        return n
+
+
+def confirmed(numbers: np.ndarray, ends: np.ndarray, low: np.ndarray, high: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """(a place of each window that occurs under different ids, whether each passage holds such a window), by hashes.
+
+    numbers: the words of the passages, one after the other; ends: where each ends; low, high: the smallest and largest
+    id that each comes from.
+    """
+    of = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+    n = max(0, len(numbers) - window + 1)
+    h = np.zeros(n, np.uint64)
+    for i in range(window):
+        h = h * np.uint64(0xD1342543DE82EF95) + mix(numbers[i : i + n].astype(np.uint64) + np.uint64(1))
+    at = np.flatnonzero(of[:n] == of[window - 1 : window - 1 + n])
+    if not len(at):
+        return at, np.zeros(len(ends), bool)
+    order = at[np.argsort(h[at], kind="stable")]
+    first = np.flatnonzero(np.append(True, np.diff(h[order].view(np.int64)) != 0))
+    again = np.minimum.reduceat(low[of[order]], first) < np.maximum.reduceat(high[of[order]], first)
+    holds = np.zeros(len(ends), bool)
+    holds[of[order[np.repeat(again, np.diff(np.append(first, len(order))))]]] = True
+    return order[first[again]], holds
+
+
 def occurrences(texts: dict[bytes, tuple[int, int]], window: int) -> dict[bytes, tuple[list[int], list[int]]]:
-    """For each passage (with the smallest and largest id it comes from): first words of its confirmed windows, their smallest ids.
+    """For each passage (with the smallest and largest id it comes from): first words of its recurring windows, their smallest ids.
 
     A word is spelled with the fewest letters of a small alphabet that tell the words apart: an automaton looks
     through a node's children one by one, and the root would have one for each word.
     """
-    number: dict[bytes, int] = {}
-    numbered = {t: [number.setdefault(w, len(number)) for w in t.split(b" ")] for t in texts}
+    number = _Numbers()
+    split = [np.fromiter(map(number.__getitem__, t.split(b" ")), np.int64) for t in texts]
+    low, high = (np.fromiter((ids[i] for ids in texts.values()), np.int64, len(texts)) for i in (0, 1))
+    numbers, ends = np.concatenate([np.empty(0, np.int64), *split]), np.cumsum([len(w) for w in split], dtype=np.int64)
+    places, holds = confirmed(numbers, ends, low, high, window)
+    if not len(places):
+        return {}
     width = 1
     while len(LETTERS) ** width < len(number):
         width += 1
-    alphabet = ["".join(LETTERS[n // len(LETTERS) ** i % len(LETTERS)] for i in range(width)) for n in range(len(number))]
-    spelled = {t: "".join([alphabet[n] for n in ns]) for t, ns in numbered.items()}
-    del numbered
-    seen: dict[str, tuple[int, int]] = {}
-    size = window * width
-    for t, (low, high) in texts.items():
-        s = spelled[t]
-        for i in range(0, len(s) - size + 1, width):
-            phrase = s[i : i + size]
-            known = seen.get(phrase)
-            seen[phrase] = (low, high) if known is None else (min(low, known[0]), max(high, known[1]))
+    letters = np.frombuffer(LETTERS.encode("utf-32-le"), np.uint32)
+    spelled = letters[np.stack([numbers // len(LETTERS) ** i % len(LETTERS) for i in range(width)], 1)].astype("<u4").tobytes().decode("utf-32-le")
     automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-    owners: list[int] = []
-    for phrase, (low, high) in seen.items():
-        if low < high:
-            automaton.add_word(phrase, len(owners))
-            owners.append(low)
-    del seen
-    if not owners:
-        return {}
+    for k, place in enumerate(places.tolist()):
+        automaton.add_word(spelled[place * width : (place + window) * width], k)
     automaton.make_automaton()
-    out: dict[bytes, tuple[list[int], list[int]]] = {}
-    for t, s in spelled.items():
-        found = [((end + 1) // width - window, owners[k]) for end, k in automaton.iter(s) if (end + 1) % width == 0]
-        if found:
-            out[t] = ([f[0] for f in found], [f[1] for f in found])
+    streamed, found = np.flatnonzero(holds).tolist(), []
+    least, most = np.full(len(places), np.iinfo(np.int64).max), np.full(len(places), np.iinfo(np.int64).min)
+    begins = np.append(0, ends)
+    for t in streamed:
+        hits = [((end + 1) // width - window, k) for end, k in automaton.iter(spelled[begins[t] * width : begins[t + 1] * width]) if (end + 1) % width == 0]
+        at, which = np.array([h[0] for h in hits], np.int64), np.array([h[1] for h in hits], np.int64)
+        least[which], most[which] = np.minimum(least[which], low[t]), np.maximum(most[which], high[t])
+        found.append((at, which))
+    names, out = list(texts), {}
+    for t, (at, which) in zip(streamed, found, strict=True):
+        again = least[which] < most[which]
+        if again.any():
+            out[names[t]] = (at[again].tolist(), least[which][again].tolist())
     return out
 
 
@@ -251,8 +276,9 @@ def remove_repeats(
     some = anchors.withColumnRenamed("doc_id", "i").withColumnRenamed("text_hash", "h").hint("shuffle_hash")
     hashed = rows.withColumn("text_hash", F.xxhash64("text"))
     suspects = hashed.join(some, (F.col("doc_id") == F.col("i")) & (F.col("text_hash") == F.col("h"))).select("doc_id", "text", "text_hash", "anchors")
-    marks = cut(repeated_words(suspects, window, anchor, block_bytes)).groupBy("doc_id", "text_hash").agg(F.any_value("starts").alias("_starts"), F.any_value("lengths").alias("_lengths"))
-    marks = marks.select(F.col("doc_id").alias("_i"), F.col("text_hash").alias("_h"), "_starts", "_lengths").hint("shuffle_hash")
-    marked = docs.join(marks, (F.col(doc_id).cast("long") == F.col("_i")) & (F.xxhash64(F.col(text).cast("string")) == F.col("_h")), "left")
+    marks = cut(repeated_words(suspects, window, anchor, block_bytes)).groupBy("doc_id", "text_hash").agg(F.any_value("starts").alias("starts"), F.any_value("lengths").alias("lengths"))
+    i, h, m, out = (free_name(docs, name) for name in ("i", "h", "marks", "out"))
+    marks = marks.select(F.col("doc_id").alias(i), F.col("text_hash").alias(h), F.struct("starts", "lengths").alias(m)).hint("shuffle_hash")
+    marked = docs.join(marks, (F.col(doc_id).cast("long") == F.col(i)) & (F.xxhash64(F.col(text).cast("string")) == F.col(h)), "left")
     without = F.pandas_udf(_without, "n_words long, n_removed long, kept_text string")
-    return marked.withColumn("_out", without(F.col(text).cast("string"), "_starts", "_lengths")).select(*docs.columns, "_out.n_words", "_out.n_removed", "_out.kept_text")
+    return marked.withColumn(out, without(F.col(text).cast("string"), f"{m}.starts", f"{m}.lengths")).select(*named(docs), f"{out}.*")

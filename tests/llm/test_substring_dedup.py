@@ -3,7 +3,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from assaykit.llm.substring_dedup import LETTERS, occurrences, remove_repeats, text_hash
+from assaykit.llm.common import text_hash
+from assaykit.llm.substring_dedup import LETTERS, occurrences, remove_repeats
 
 from .helpers import corpus, docs, prose, words
 
@@ -63,6 +64,37 @@ def test_words_of_several_letters():
     assert found == {short: (list(range(28)), [1] * 28), max(many, key=len): (list(range(4000, 4028)), [1] * 28), b"x " * 12 + b"y": ([0], [3])}
 
 
+def test_occurrences_against_brute_force():
+    for seed in range(40):
+        rng = random.Random(seed)
+        texts = {}
+        for _ in range(30):
+            t = " ".join(rng.choice("abc") for _ in range(rng.randint(1, 25))).encode()
+            low = rng.randrange(9)
+            texts[t] = (low, low + rng.choice([0, 0, 2]))
+        ids = {}
+        for t, (low, high) in texts.items():
+            w = t.split()
+            for i in range(len(w) - 3):
+                ids.setdefault(tuple(w[i : i + 4]), set()).update((low, high))
+        want = {}
+        for t in texts:
+            w = t.split()
+            hits = [(i, min(ids[g])) for i in range(len(w) - 3) if len(ids[g := tuple(w[i : i + 4])]) > 1]
+            if hits:
+                want[t] = tuple(map(list, zip(*hits, strict=True)))
+        assert occurrences(texts, 4) == want
+
+
+@pytest.mark.parametrize("name", ["i", "h", "out", "marks", "_i", "_h", "_out", "_starts", "_lengths", "starts", "text_hash", "anchors", "I", "N_Removed"])
+def test_clashing_names(spark, name):
+    shared = " ".join(f"s{i}" for i in range(13))
+    table = docs(spark, [(1, shared), (2, "x " + shared)]).selectExpr("doc_id", "text", f"doc_id * 10 AS `{name}`")
+    got = remove_repeats(table).orderBy("doc_id").collect()
+    assert [(r["n_removed"], r["kept_text"]) for r in got] == [(0, shared), (13, "x")]
+    assert name == "N_Removed" or [r[name] for r in got] == [10, 20]
+
+
 def test_no_repeats_at_all(spark):
     rng = random.Random(5)
     rows = [(i, prose(rng, 40, 10**9)) for i in range(20)]
