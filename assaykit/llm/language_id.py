@@ -3,14 +3,17 @@
 A text's lower-cased letters, other characters as one blank, give its n-grams of one to three code points, hashed
 into 2^16 slots. A slot's weight in a text is its share of the text's n-grams times its inverse document frequency,
 counted over all labelled rows outside the holdout. One logistic regression over the learned languages is trained by
-follow-the-regularised-leader with elastic-net penalties, on about ``max_rows`` rows per pass, or one of each language
-if there are more languages, in a fixed order; a fifth of the rows chooses the temperature of the softmax. The sample
-is never above twice the larger of ``max_rows`` and the number of languages. Weights are dense over the languages, so
-more than ``max_languages`` of them raise an error; none is left out. The share of slots with a weight of 0 grows with the l1
-penalty. A text is read in chunks, so a very long one needs no more memory than a short one.
+follow-the-regularised-leader with elastic-net penalties, a few rows a step, in a fixed order. Each pass reads the
+same sample: about ``max_rows`` rows, as many of each language as there are, one of each language at least, and never
+more than twice the larger of ``max_rows`` and the number of languages; a fifth of it chooses the temperature of the
+softmax. Weights are dense over the languages, so more than ``max_languages`` of them raise an error; none is left
+out. The share of slots with a weight of 0 grows with the l1 penalty. A text is cleaned at once and its n-grams are
+counted in chunks that share their last two code points, so chunks change nothing.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0; without any labelled row every text is;
-a null language teaches nothing; a null id counts as held out; ties go to the first language by code points.
+a null language teaches nothing; a null id counts as held out; ties go to the first language by code points; repeated
+rows are judged alike; a very long text is one row of work; an empty table gives an empty result. Other columns are
+kept unless they clash with those added, which win.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assaykit.llm.common import cut, held_out, received, share, text_batches
+from assaykit.llm.common import cut, free_name, held_out, named, received, share, text_batches
 from assaykit.llm.memory import lean
 from assaykit.llm.sums import sum_arrays
 
@@ -38,27 +41,22 @@ _OTHER = re.compile(r"[\W\d_]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def grams(text: str) -> np.ndarray:
-    """Slots of the n-grams of a text's letters; empty if it has none."""
-    clean = _OTHER.sub(" ", text.lower()).strip()
-    if not clean:
-        return np.empty(0, np.int64)
-    c = np.frombuffer(f" {clean} ".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    two = c[:-1] << np.uint64(21) | c[1:]
-    three = (c[:-2] << np.uint64(42)) | (two[1:])
-    every = np.concatenate([c, two, three])
-    return ((every * _MIX) >> np.uint64(48)).astype(np.int64)
-
-
 def has_letter(text: str | None) -> bool:
     return bool(text) and any(map(str.isalpha, text))
 
 
 def chunks(text: str) -> Iterator[np.ndarray]:
-    for at in range(0, len(text), CHUNK):
-        g = grams(text[at : at + CHUNK])
-        if len(g):
-            yield g
+    """Slots of the n-grams of a text's letters, those that start in CHUNK code points at a time."""
+    clean = _OTHER.sub(" ", text.lower()).strip()
+    if not clean:
+        return
+    c = np.frombuffer(f" {clean} ".encode("utf-32-le", "surrogatepass"), np.uint32)
+    for at in range(0, len(c), CHUNK):
+        part = c[at : at + CHUNK + 2].astype(np.uint64)  # with what the last n-grams reach into
+        two = part[:-1] << np.uint64(21) | part[1:]
+        three = part[:-2] << np.uint64(42) | two[1:]
+        every = np.concatenate([part[:CHUNK], two[:CHUNK], three[:CHUNK]])
+        yield ((every * _MIX) >> np.uint64(48)).astype(np.int64)
 
 
 def features(text: str, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -102,12 +100,19 @@ class Ftrl:
         w = -(z - np.sign(z) * self.l1) / ((self.beta + np.sqrt(self.n[rows])) / self.alpha + self.l2)
         return np.where(np.abs(z) <= self.l1, 0.0, w)
 
-    def learn(self, slots: np.ndarray, values: np.ndarray, label: int) -> None:
-        rows, x = np.append(slots, SLOTS), np.append(values, 1.0)
+    def learn(self, examples: list[tuple[np.ndarray, np.ndarray, int]]) -> None:
+        """One step with the summed gradients of a few (slots, values, label)."""
+        rows, place = np.unique(np.concatenate([[SLOTS], *(e[0] for e in examples)]), return_inverse=True)
+        of = np.repeat(np.arange(len(examples)), [len(e[0]) for e in examples])
+        values, place = np.concatenate([e[1] for e in examples]), place[1:]
         w = self.weights(rows)
-        error = softmax(x @ w)
-        error[label] -= 1
-        g = np.outer(x, error)
+        parts = values[:, None] * w[place]
+        classes = range(w.shape[1])
+        logits = np.stack([np.bincount(of, parts[:, k], len(examples)) for k in classes], 1) + w[-1]
+        error = softmax(logits)
+        error[np.arange(len(examples)), [e[2] for e in examples]] -= 1
+        g = np.stack([np.bincount(place, values * error[of, k], len(rows)) for k in classes], 1)
+        g[-1] += error.sum(0)  # the constant is the last row
         step = (np.sqrt(self.n[rows] + g * g) - np.sqrt(self.n[rows])) / self.alpha
         self.z[rows] += g - step * w
         self.n[rows] += g * g
@@ -121,7 +126,7 @@ def softmax(logits: np.ndarray) -> np.ndarray:
 TEMPERATURES = [float(t) for t in np.geomspace(0.05, 10, 61)]
 
 
-def fit(docs: DataFrame, *, max_rows: int = 3000, max_languages: int = 1000, passes: int = 3, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.001, l2: float = 0.001, doc_id: str = "doc_id", text: str = "text", lang: str = "lang"):
+def fit(docs: DataFrame, *, max_rows: int = 3000, max_languages: int = 1000, passes: int = 3, batch: int = 8, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.001, l2: float = 0.001, doc_id: str = "doc_id", text: str = "text", lang: str = "lang"):
     """(languages, weights by slot times IDF, constants, temperature); rows of held-out ids are not read."""
     rows = text_batches(docs).where(~held_out(F.col(doc_id)) & F.col(lang).isNotNull()).select(F.col(text).cast("string").alias("_text"), F.col(lang).cast("string").alias("_lang"), F.col(doc_id).cast("long").alias("_id"))
     frequency, n = document_frequencies(rows.select("_text"))
@@ -139,15 +144,15 @@ def fit(docs: DataFrame, *, max_rows: int = 3000, max_languages: int = 1000, pas
     chosen = cut(dealt.select("_text", "_lang", "_id", "_first").orderBy(F.desc("_first"), F.xxhash64("_id", F.lit("order")), "_id").limit(2 * max(max_rows, n_languages)).drop("_first"))
 
     def read(batches):
-        for batch in batches:
+        for some in batches:
             keep, out = [], []
-            for i, t in enumerate(batch.column(0).to_pylist()):
+            for i, t in enumerate(some.column(0).to_pylist()):
                 if has_letter(t):
                     slots, values = features(t, idf)
                     keep.append(i)
                     out.append(np.concatenate([slots.astype(np.float32), values.astype(np.float32)]).tobytes())
             at = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), batch.column(1).take(at), batch.column(2).take(at)], names=["x", "lang", "id"])
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), some.column(1).take(at), some.column(2).take(at)], names=["x", "lang", "id"])
 
     found = chosen.mapInArrow(lean(read), "x binary, lang string, id long").collect()
     found.sort(key=lambda r: (xxhash.xxh64_intdigest(str(r["id"])), r["lang"], bytes(r["x"])))
@@ -164,8 +169,8 @@ def fit(docs: DataFrame, *, max_rows: int = 3000, max_languages: int = 1000, pas
     own = own + [e for e in apart if e[2] not in learned]  # a language with a single row is learned from it
     model = Ftrl(len(seen), alpha, beta, l1, l2)
     for _ in range(passes):
-        for slots, values, label in own:
-            model.learn(slots, values, label)
+        for at in range(0, len(own), batch):
+            model.learn(own[at : at + batch])
     w = model.weights()
     held = apart or own
     logits = np.array([values @ w[slots] + w[SLOTS] for slots, values, _ in held])
@@ -204,4 +209,5 @@ def identify(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **t
     udf.__annotations__ = {"texts": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
     found = F.pandas_udf(udf, "lang_pred string, score double")(F.col(text).cast("string"))
     kept = docs.drop("lang_pred", "score", "held_out")
-    return kept.withColumn("_out", found).select(*kept.columns, held_out(F.col(doc_id)).alias("held_out"), "_out.lang_pred", "_out.score")
+    out = free_name(kept, "out")
+    return kept.withColumn(out, found).select(*named(kept), held_out(F.col(doc_id)).alias("held_out"), f"{out}.lang_pred", f"{out}.score")
