@@ -14,12 +14,15 @@ need no corpus. Every row is scored on its whole text. The model, a few megabyte
 
 Defined cases: a null or empty text has a pooled vector of zeros and gets the score that the network gives to that;
 a null id counts as held out; with labels of one kind, or none, all scores are that kind's share (0.5 without any);
-of repeated ids in the labels the lowest label counts; repeated rows are scored alike.
+of repeated ids in the labels the lowest label counts; repeated rows are scored alike; a very long text is pooled at
+once, alone; an empty table gives an empty result. Other columns are kept unless they clash with those added, which win.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +45,9 @@ _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 _SHAPE = bytes(0x41 if 0x41 <= b <= 0x5A else 0x61 if 0x61 <= b <= 0x7A or b >= 0x80 else 0x30 if 0x30 <= b <= 0x39 else b for b in range(256))
 _RUN = re.compile(rb"(.)\1+", re.DOTALL)
 MOST_KNOWN = 150_000
+#: Bytes of texts whose words are turned into vectors at once.
+PIECE = 1 << 18
+NAMES = ("score", "predicted", "held_out")
 
 
 class Slots(dict):
@@ -55,10 +61,25 @@ class Slots(dict):
         self[word] = code = letters * SHAPE_SLOTS + shape
         return code
 
-    def read(self, raw: bytes | None) -> tuple[np.ndarray, np.ndarray]:
-        words = raw.split() if raw else []
-        code = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        return code // SHAPE_SLOTS, code % SHAPE_SLOTS
+    def read(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(slots of letters, slots of shapes) of all words of the texts, and how many each has."""
+        split = [t.split() if t else [] for t in texts]
+        n = np.fromiter(map(len, split), np.int64, len(split))
+        code = np.fromiter(map(self.__getitem__, chain.from_iterable(split)), np.int64, int(n.sum()))
+        return code // SHAPE_SLOTS, code % SHAPE_SLOTS, n
+
+
+def some_texts(texts: list[bytes | None]) -> Iterator[list[bytes | None]]:
+    """The texts in lists of about PIECE bytes; a longer one is alone."""
+    own, size = [], 0
+    for t in texts:
+        own.append(t)
+        size += len(t or b"")
+        if size >= PIECE:
+            yield own
+            own, size = [], 0
+    if own:
+        yield own
 
 
 def index_vectors(n: int, seed: int) -> np.ndarray:
@@ -70,17 +91,22 @@ def index_vectors(n: int, seed: int) -> np.ndarray:
 
 def word_vectors(texts: DataFrame, index: np.ndarray) -> np.ndarray:
     """For each slot of letters the vector that its neighbours in the texts give it, with its own."""
+    # An index vector is a few signs at a few places, so a neighbour is added at those places only.
+    places = np.argsort(-np.abs(index), axis=1, kind="stable")[:, :NONZERO]
+    signs = np.take_along_axis(index, places, 1).astype(np.float64)
 
     def count(batches):
-        slots, total = Slots(), np.zeros((WORD_SLOTS, DIM), np.float32)
+        slots, total = Slots(), np.zeros(WORD_SLOTS * DIM)
         for batch in batches:
-            for t in batch.column(0).cast(pa.binary()).to_pylist():
-                words, _ = slots.read(t)
+            for some in some_texts(batch.column(0).cast(pa.binary()).to_pylist()):
+                words, _, n = slots.read(some)
+                of = np.repeat(np.arange(len(n)), n)
                 for d in range(1, NEIGHBOURS + 1):
-                    if len(words) > d:
-                        np.add.at(total, words[d:], index[words[:-d]])
-                        np.add.at(total, words[:-d], index[words[d:]])
-        return total.ravel()
+                    near = np.flatnonzero(of[d:] == of[:-d])
+                    for own, other in ((words[near + d], words[near]), (words[near], words[near + d])):
+                        at = (own[:, None] * DIM + places[other]).ravel()
+                        total += np.bincount(at, weights=signs[other].ravel(), minlength=len(total))
+        return total
 
     total = sum_arrays(texts, count, WORD_SLOTS * DIM, np.float32).reshape(WORD_SLOTS, DIM)
     seen = np.abs(total).sum(1) > 0
@@ -90,12 +116,19 @@ def word_vectors(texts: DataFrame, index: np.ndarray) -> np.ndarray:
     return index + np.divide(total, length, out=np.zeros_like(total), where=length > 0)
 
 
-def pooled(words: np.ndarray, shapes: np.ndarray, vectors: np.ndarray, shape_index: np.ndarray) -> np.ndarray:
-    if not len(words):
-        return np.zeros(FEATURES, np.float32)
-    kinds, n = np.unique(words, return_counts=True)
-    mean = (n.astype(np.float32) @ vectors[kinds]) / len(words)
-    return np.concatenate([mean, np.bincount(shapes, minlength=SHAPE_SLOTS).astype(np.float32) @ shape_index / len(words)])
+def pooled(texts: list[bytes | None], slots: Slots, vectors: np.ndarray, shape_index: np.ndarray) -> np.ndarray:
+    """A row of features for each text: the means of its words' vectors and of its shapes' index vectors."""
+    out = [np.zeros((0, FEATURES), np.float32)]
+    for some in some_texts(texts):
+        words, shapes, n = slots.read(some)
+        x = np.zeros((len(some), FEATURES), np.float32)
+        full = np.flatnonzero(n)
+        starts = (np.cumsum(n) - n)[full]
+        if len(full):
+            x[full, :DIM] = np.add.reduceat(vectors[words], starts, axis=0) / n[full, None]
+            x[full, DIM:] = np.add.reduceat(shape_index[shapes], starts, axis=0) / n[full, None]
+        out.append(x)
+    return np.concatenate(out)
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -161,8 +194,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_rows: int = 12_000, hidden: i
     def features(batches):
         slots = Slots()
         for batch in batches:
-            x = [pooled(*slots.read(t), vectors, shape_index).tobytes() for t in batch.column(0).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), batch.column(1), batch.column(2)], names=["x", "y", "id"])
+            x = pooled(batch.column(0).cast(pa.binary()).to_pylist(), slots, vectors, shape_index)
+            yield pa.RecordBatch.from_arrays([pa.array([row.tobytes() for row in x], pa.binary()), batch.column(1), batch.column(2)], names=["x", "y", "id"])
 
     found = rows.mapInArrow(lean(features), "x binary, y int, id long").collect()
     found.sort(key=lambda r: (xxhash.xxh64_intdigest(str(r["id"])), r["id"], bytes(r["x"])))
@@ -172,7 +205,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_rows: int = 12_000, hidden: i
     return shape_index, vectors, network
 
 
-def score_quality(docs: DataFrame, model, *, text: str = "text", threshold: float = 0.7) -> DataFrame:
+def score_quality(docs: DataFrame, model, *, text: str = "text", threshold: float = 0.7, names: Sequence[str] = NAMES) -> DataFrame:
     """docs with score and predicted (1 from the threshold on)."""
     shared = share(docs.sparkSession, model)
 
@@ -180,11 +213,11 @@ def score_quality(docs: DataFrame, model, *, text: str = "text", threshold: floa
         shape_index, vectors, network = received(shared)
         slots = Slots()
         for batch in texts:
-            x = np.array([pooled(*slots.read(t.encode() if t else None), vectors, shape_index) for t in batch]).reshape(-1, FEATURES)
+            x = pooled([t.encode() if t else None for t in batch], slots, vectors, shape_index)
             yield _series(network.scores(x.astype(float)))
 
     score: Column = _iterator_udf(run)(F.col(text).cast("string"))
-    return text_batches(docs).drop("score", "predicted").withColumn("score", score).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return text_batches(docs).drop(*names[:2]).withColumn(names[0], score).withColumn(names[1], (F.col(names[0]) >= threshold).cast("int"))
 
 
 def _series(values):
@@ -194,8 +227,6 @@ def _series(values):
 
 
 def _iterator_udf(run):
-    from collections.abc import Iterator
-
     import pandas as pd
 
     def udf(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -205,7 +236,7 @@ def _iterator_udf(run):
     return F.pandas_udf(udf, "double")
 
 
-def classify_quality(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7, doc_id: str = "doc_id", text: str = "text", **training) -> DataFrame:
-    """docs with held_out, score and predicted."""
+def classify_quality(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7, doc_id: str = "doc_id", text: str = "text", names: Sequence[str] = NAMES, **training) -> DataFrame:
+    """docs with score, predicted and held_out, called as names says; columns of those names are replaced."""
     model = fit(docs, labels, doc_id=doc_id, text=text, **training)
-    return score_quality(docs, model, text=text, threshold=threshold).withColumn("held_out", held_out(F.col(doc_id)))
+    return score_quality(docs, model, text=text, threshold=threshold, names=names).withColumn(names[2], held_out(F.col(doc_id)))
