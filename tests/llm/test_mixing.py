@@ -1,5 +1,8 @@
 import random
+import re
+from collections import Counter
 
+from assaykit.llm import mixing
 from assaykit.llm.mixing import mix_sources, source_targets
 
 from .helpers import docs, prose, words
@@ -64,5 +67,34 @@ def test_better_texts_come_first(spark):
     assert sum(r["doc_id"] % 2 == 0 for r in taken) > 1.5 * sum(r["doc_id"] % 2 for r in taken)
 
 
+def test_many_ties_are_divided_by_arithmetic(spark):
+    """Rows without ids that share a text, and an id that repeats: the budget ends among them."""
+    long = "w " * 50_000
+    tied = [(None, "a b c d", "en", "s")] * 3000 + [(7, "x y", "en", "t")] * 3000 + [(None, None, "en", "t")] * 5 + [(8, long, "en", None)] * 3
+    rows = [*tied, *((100 + i, prose(random.Random(i), 9), "en", random.Random(i).choice("st")) for i in range(60))]
+    for piece, bin_rows in ((7, 4), (10_000, 32_768)):
+        before, mixing.PIECE = mixing.PIECE, piece
+        try:
+            got = mix_sources(docs(spark, rows).repartition(5), share=0.6, bin_rows=bin_rows).collect()
+        finally:
+            mixing.PIECE = before
+        assert Counter((r["doc_id"], r["source"], r["size"]) for r in got) == Counter((i, s, len(words(t))) for i, t, _, s in rows)
+        for s in ("s", "t", None):
+            own = [r for r in got if r["source"] == s]
+            assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= max(r["size"] for r in own) / 2 + 1e-6
+        assert len({r["epochs"] for r in got if r["doc_id"] is None and r["source"] == "s"}) == 2
+
+
+def test_plan_runs_no_python(spark):
+    plan = mix_sources(table(spark, 4))._jdf.queryExecution().toString()
+    assert not re.search("Python|Arrow|Pandas", plan) and "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_many_sources(spark):
+    sizes = {f"s{i:04}": i * 37 % 101 + 1 for i in range(700)}
+    got = source_targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long").repartition(5))
+    assert {r["source"]: round(r["target"], 6) for r in got.collect()} == {s: round(float(t), 6) for s, t in targets(sizes).items()}
+
+
 def test_empty_table(spark):
     assert mix_sources(docs(spark, [(1, "a")]).limit(0)).count() == 0
