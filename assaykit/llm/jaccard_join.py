@@ -15,9 +15,9 @@ are one group; only documents in its ring, farther than e but within 2e, can lin
 those are compared again; what lies beyond is not compared with the ball at all. What is unsettled is cut into the
 pivots' Voronoi cells: a cell holds the documents nearest to its pivot and, by the triangle inequality, those at most
 2e farther from it than from their own. Cells whose documents are all settled are dropped, the others are cut again,
-until few documents are left to compare or a cell no longer gets smaller. Regions within a task's memory are cut in
-the task, larger ones first by the same steps as DataFrame operations; a cell that doesn't get smaller there is
-joined in blocks. A document that is compared in another cell is compared in this one too if it is in the ring of a
+until few documents are left to compare or a cell no longer gets smaller. Small regions are cut in a task each, larger
+ones first by the same steps as DataFrame operations: where cells would hold most of the region several times, other
+pivots are tried on the whole of it, and what is still large after that is joined in blocks. A document that is compared in another cell is compared in this one too if it is in the ring of a
 pivot here, as the documents of that ball are then settled.
 
 Equal shingle sets are one class throughout, settled inside each block of documents before anything is exchanged, so
@@ -54,6 +54,8 @@ LINKS = "x binary, y binary"
 #: So few documents are compared one by one; more are cut into cells.
 LEAF = 4
 MOST_PIVOTS = 16
+#: Pivots of large regions are broadcast up to so many shingles, of eight bytes each.
+BROADCAST_SHINGLES = 4_000_000
 
 
 def allowed(n: np.ndarray | int, percent: int):
@@ -179,8 +181,8 @@ def _compare(region: Region, members: list[int], active: np.ndarray, percent: in
                 stack.append(z)
 
 
-def _cells(region: Region, members: list[int], active: np.ndarray, percent: int, groups: Groups) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(documents, whether each is active) of the Voronoi cells of a region that have something left to compare."""
+def _cells(region: Region, members: list[int], active: np.ndarray, percent: int, groups: Groups) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """(what of a region is active still, (documents, whether each is active) of the Voronoi cells that have such)."""
     live = np.flatnonzero(active)
     pivots = live[np.unique(np.linspace(0, len(live) - 1, min(MOST_PIVOTS, max(2, math.isqrt(len(live))))).astype(int))]
     both = np.zeros((len(pivots), len(members)), np.int64)
@@ -198,23 +200,25 @@ def _cells(region: Region, members: list[int], active: np.ndarray, percent: int,
     far = 1 - both / union
     home = far.argmin(0)
     within = far <= far.min(0) + 2 * (100 - percent) / 100 + 1e-9
-    cells = ((np.flatnonzero(w), active[w] & (home[w] == k)) for k, w in enumerate(within))
-    return [(docs, own) for docs, own in cells if own.any()]
+    cells = [(np.flatnonzero(w), active[w] & (home[w] == k)) for k, w in enumerate(within)]
+    return active, [(docs, own) for docs, own in cells if own.any()]
 
 
 def link_region(sets: list[np.ndarray], active: list[bool], percent: int) -> tuple[list[int], int]:
     """(for each document the first one of its group, as far as links of active documents reach; Voronoi cells made)."""
     groups, made = Groups(len(sets)), 0
-    stack = [(list(range(len(sets))), np.array(active, bool), False)]
+    stack = [(list(range(len(sets))), np.array(active, bool))]
     while stack:
-        members, live, stuck = stack.pop()
-        region = Region([sets[i] for i in members])
-        if stuck or live.sum() <= LEAF:
+        members, live = stack.pop()
+        region, cells = Region([sets[i] for i in members]), []
+        if live.sum() > LEAF:
+            live, cells = _cells(region, members, live, percent, groups)
+            made += len(cells)
+        if sum(len(docs) for docs, _ in cells) > 1.5 * len(members):  # cells that hold most of the region are no help
+            cells = []
+        if not cells:
             _compare(region, members, live, percent, groups)
-            continue
-        for docs, own in _cells(region, members, live, percent, groups):
-            made += 1
-            stack.append(([members[i] for i in docs.tolist()], own, len(docs) > 0.9 * len(members)))
+        stack += [([members[i] for i in docs.tolist()], own) for docs, own in cells]
     return [groups.find(i) for i in range(len(sets))], made
 
 
@@ -247,57 +251,78 @@ def _join_regions(sets: DataFrame, percent: int, counter) -> DataFrame:
         if names:
             yield close()
 
-    return sets.repartition("region").sortWithinPartitions("region", "class").mapInArrow(lean(run), LINKS)
+    # By a hash of the region: a join by region before this would make a repartition by region itself drop out of the
+    # plan, and adaptive execution may then split a region's rows or leave them where they were.
+    return sets.repartition(F.xxhash64("region")).sortWithinPartitions("region", "class").mapInArrow(lean(run), LINKS)
 
 
 def _cell(*parts) -> F.Column:
     return F.unhex(F.sha2(F.concat_ws("/", *[p.cast("string") if not isinstance(p, str) else F.hex(p) for p in parts]), 256))
 
 
+def _labels(batches):
+    """(region, for each pivot the smallest one that its ball is tied to by balls in common)."""
+    for batch in batches:
+        out = []
+        for together in batch.column(1).to_pylist():
+            groups = Groups(1 + max(max(ks) for ks in together))
+            for ks in together:
+                for k in ks:
+                    groups.link(ks[0], k)
+            out.append([groups.find(k) for k in range(len(groups.root))])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32()))], names=["r", "label"])
+
+
 def _split(sets: DataFrame, percent: int, pivots: int, depth: int) -> tuple[DataFrame, DataFrame]:
-    """(links with pivots, the Voronoi cells that still have unsettled documents), of large regions."""
+    """(links with pivots, what is still to be compared: Voronoi cells, or the region where cells would not be smaller)."""
     chosen = [F.min_by(F.struct("class", "shingles"), F.xxhash64("class", F.lit(depth), F.lit(i))).alias(f"p{i}") for i in range(pivots)]
-    some = sets.groupBy("region").agg(*chosen).select(F.col("region").alias("r"), F.posexplode(F.array(*[f"p{i}" for i in range(pivots)])).alias("k", "pivot"))
-    some = cut(some.withColumn("name", F.col("pivot.class")).dropDuplicates(["r", "name"]))
-    near = some.alias("a").join(some.alias("b"), "r").where(_overlap_at_least(F.col("a.pivot.shingles"), F.col("b.pivot.shingles"), percent))
-    some = some.join(near.groupBy("r", F.col("a.k").alias("k")).agg(F.min("b.k").alias("group")), ["r", "k"])
+    some = sets.where("active").groupBy("region").agg(*chosen).select(F.col("region").alias("r"), F.posexplode(F.array(*[f"p{i}" for i in range(pivots)])).alias("k", "pivot"))
     # A row for each region, with its few pivots.
-    some = cut(some.groupBy("r").agg(F.collect_list(F.struct("k", "name", "group", F.col("pivot.shingles").alias("shingles"))).alias("pivots")))
+    some = cut(some.withColumn("name", F.col("pivot.class")).dropDuplicates(["r", "name"]).groupBy("r").agg(F.collect_list(F.struct("k", "name", F.col("pivot.shingles").alias("shingles"))).alias("pivots")))
+    held = some.agg(F.sum(F.aggregate("pivots", F.lit(0), lambda n, p: n + F.size(p["shingles"])))).first()[0] or 0
 
     def measure(p):
         both = F.size(F.array_intersect("shingles", p["shingles"]))
         union = F.size("shingles") + F.size(p["shingles"]) - both
-        return F.struct(p["k"].alias("k"), p["name"].alias("pivot"), p["group"].alias("group"), (1 - both / union).alias("d"), (100 * both >= percent * union).alias("ball"), (100 * both >= (2 * percent - 100) * union).alias("ring"))
-
-    measured = sets.join(small_side(some, 16), F.col("region") == F.col("r")).withColumn("to", F.transform("pivots", measure)).drop("pivots", "r")
-    mine = F.transform(F.filter("to", lambda t: t["ball"]), lambda t: t["group"])
-    unsettled = F.exists("to", lambda t: t["ring"] & ~t["ball"] & ~F.array_contains(mine, t["group"]))
+        return F.struct(p["k"].alias("k"), p["name"].alias("pivot"), (1 - both / union).alias("d"), (100 * both >= percent * union).alias("ball"), (100 * both >= (2 * percent - 100) * union).alias("ring"))
+
+    measured = sets.join(F.broadcast(some) if held <= BROADCAST_SHINGLES else some, F.col("region") == F.col("r"))
+    measured = measured.withColumn("to", F.transform("pivots", measure)).withColumn("balls", F.transform(F.filter("to", lambda t: t["ball"]), lambda t: t["k"]))
+    measured = cut(measured.drop("pivots", "r"))
+    # Pivots are one group if a document is in the balls of both; at most 2^pivots arrays a region.
+    labels = measured.where(F.size("balls") > 0).groupBy("region").agg(F.collect_set("balls").alias("together")).mapInArrow(lean(_labels), "r binary, label array<int>")
+    measured = measured.join(small_side(cut(labels), 100_000), F.col("region") == F.col("r")).drop("r")
+    mine = F.transform("balls", lambda k: F.get("label", k))
+    unsettled = F.exists("to", lambda t: t["ring"] & ~t["ball"] & ~F.array_contains(mine, F.get("label", t["k"])))
     home = F.array_min(F.transform("to", lambda t: F.struct(t["d"].alias("d"), t["k"].alias("k"))))
     reach = 2 * (100 - percent) / 100 + 1e-9
     # A row that came in inactive may be all that is left to compare with a row that settles here.
-    placed = cut(measured.withColumns({"home": home, "active": (F.col("active") & (F.size(mine) == 0)) | unsettled}))
-    links = placed.select(F.col("class").alias("x"), F.explode(F.filter("to", lambda t: t["ball"])).alias("t")).select("x", F.col("t.pivot").alias("y")).where("x <> y")
-    cells = placed.select("region", "class", "shingles", (F.col("active")).alias("live"), F.col("home.k").alias("own"), F.explode(F.filter("to", lambda t: t["d"] <= F.col("home.d") + reach)).alias("t"))
-    cells = cells.withColumn("active", F.col("live") & (F.col("t.k") == F.col("own"))).withColumn("cell", _cell("region", F.col("t.k"), F.lit(depth)))
+    placed = measured.withColumns({"home": home, "live": (F.col("active") & (F.size("balls") == 0)) | unsettled})
+    placed = cut(placed.withColumn("within", F.transform(F.filter("to", lambda t: t["d"] <= F.col("home.d") + reach), lambda t: t["k"])).select("region", "class", "shingles", "live", F.col("home.k").alias("own"), "within", F.transform(F.filter("to", lambda t: t["ball"]), lambda t: t["pivot"]).alias("tied")))
+    links = placed.select(F.col("class").alias("x"), F.explode("tied").alias("y")).where("x <> y")
+    open_ones = placed.groupBy("region").agg(F.bool_or("live").alias("open"), (F.sum(F.size("within")) > 1.5 * F.count(F.lit(1))).alias("whole")).where("open").select(F.col("region").alias("r"), "whole")
+    cells = placed.join(small_side(cut(open_ones), 100_000), F.col("region") == F.col("r"))
+    cells = cells.withColumn("k", F.explode(F.when(F.col("whole"), F.array(F.lit(-1))).otherwise(F.col("within"))))
+    cells = cells.select(_cell("region", F.col("k"), F.lit(depth)).alias("cell"), "class", "shingles", (F.col("live") & (F.col("whole") | (F.col("k") == F.col("own")))).alias("active"))
+    return links, cut(_open(cells))
+
+
+def _open(cells: DataFrame) -> DataFrame:
+    """The rows of cells that have an active one."""
     wanted = cells.groupBy("cell").agg(F.bool_or("active").alias("open")).where("open").select(F.col("cell").alias("c"))
-    return links, cut(cells.join(wanted, F.col("cell") == F.col("c"), "left_semi").select(F.col("cell").alias("region"), "class", "shingles", "active"))
-
-
-def _overlap_at_least(a, b, percent: int):
-    both = F.size(F.array_intersect(a, b))
-    return 100 * both >= percent * (F.size(a) + F.size(b) - both)
+    return cells.join(wanted, F.col("cell") == F.col("c"), "left_semi").select(F.col("cell").alias("region"), "class", "shingles", "active")
 
 
 def _blocks(sets: DataFrame, sizes: DataFrame, most: int) -> DataFrame:
-    """Regions cut into blocks, one region for each two of them: every pair meets, no task holds more than two blocks."""
+    """Regions cut into blocks, a region for each two of them: every pair meets, no task holds more than two blocks."""
     parts = F.ceil(2 * F.col("total") / most).cast("int")
     own = F.pmod(F.xxhash64("class", F.lit("block")), parts).cast("int")
     dealt = sets.join(sizes.select(F.col("region").alias("r"), "total"), F.col("region") == F.col("r")).withColumns({"parts": parts, "own": own})
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    return dealt.select(_cell("region", F.least("own", "other"), F.greatest("own", "other")).alias("region"), "class", "shingles", "active")
+    return _open(dealt.select(_cell("region", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "class", "shingles", "active"))
 
 
-def join_regions(sets: DataFrame, *, percent: int, most: int, pivots: int = 8, depths: int = 6, counter=None) -> DataFrame:
+def join_regions(sets: DataFrame, *, percent: int, most: int, pivots: int = 8, depths: int = 4, counter=None) -> DataFrame:
     """LINKS that connect exactly the groups; regions of more than most shingles are cut before they are dealt to tasks."""
     found, rest = [], sets
     for depth in range(depths + 1):
@@ -339,9 +364,9 @@ def jaccard_groups(
     doc_id: str = "doc_id",
     text: str = "text",
     block_bytes: int = 2 << 20,
-    most: int = 2_000_000,
+    most: int = 200_000,
     pivots: int = 8,
-    depths: int = 6,
+    depths: int = 4,
     rounds: int = 2,
     broadcast_rows: int = 200_000,
     keyed: bool = False,

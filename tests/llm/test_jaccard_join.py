@@ -118,6 +118,20 @@ def test_regions_cut_on_several_levels_keep_every_link(spark):
     assert {(bytes(r["node"]), bytes(r["root"])) for r in components(links).collect()} == want
 
 
+def test_small_regions_beside_large_ones_keep_their_links(spark):
+    """The join that takes out large regions must not scatter the rows of small ones."""
+    rng, rows, want = random.Random(7), [], set()
+    for r in range(60):
+        base = rng.sample(range(10**6), 50)
+        for i in range(200 if r == 0 else 6):
+            own = [*base[1:], rng.randrange(10**6, 10**9)]
+            rows.append((f"{r:02}".encode(), f"{r:02}/{i:03}".encode(), own, True))
+            want.add((f"{r:02}/{i:03}".encode(), f"{r:02}/000".encode()))
+    for most in (10**6, 2000):
+        links = join_regions(spark.createDataFrame(rows, SETS).repartition(9), percent=80, most=most)
+        assert {(bytes(r["node"]), bytes(r["root"])) for r in components(links).collect()} == want
+
+
 def test_inactive_row_beside_a_settled_one_is_compared(spark):
     """Only x and y, and y and z, are linked; z came in inactive. Any of the three may be the pivot."""
     rows = []
