@@ -1,3 +1,4 @@
+import os
 import random
 from ast import literal_eval
 
@@ -109,8 +110,33 @@ def test_empty_tables(spark, tmp_path):
         assert stage(spark, empty, str(tmp_path)).count() == 0
 
 
+NAMES = ["score", "predicted", "HELD_OUT", "i", "h", "key", "rest", "n_words", "n_removed", "kept_text", "size", "Source_Size", "target", "taken", "epochs", "text_hash", "best", "_i", "a.b", "extra"]
+
+
 def test_extra_columns_pass_through(spark, tmp_path):
     make(spark, str(tmp_path))
-    frame = spark.read.parquet(f"{tmp_path}/documents.parquet").withColumn("extra", F.lit(1))
-    for _, stage in corpus_pipeline.STAGES[:4]:
-        assert stage(spark, frame, str(tmp_path)).columns == frame.columns
+    frame = spark.read.parquet(f"{tmp_path}/documents.parquet").withColumns({name: F.concat(F.lit(name), F.col("doc_id").cast("string")) for name in NAMES})
+    frame = frame.where("doc_id < 120 OR doc_id IS NULL")
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, frame, str(tmp_path)).write.parquet(f"{tmp_path}/{k}")
+        before, frame = frame, spark.read.parquet(f"{tmp_path}/{k}")
+        mixed = {c.lower() for c in corpus_pipeline.MIXED} if k == 4 else set()
+        assert [c for c in frame.columns if c.lower() not in mixed] == [c for c in before.columns if c.lower() not in mixed]
+        rows = frame.collect()
+        assert rows and all(r[name] == (None if r["doc_id"] is None else f"{name}{r['doc_id']}") for r in rows for name in NAMES if name.lower() not in mixed)
+
+
+def test_very_long_texts_pass_every_stage(spark, tmp_path):
+    make(spark, str(tmp_path))
+    rng = random.Random(33)
+    long = docs(spark, [(1, prose(rng, 60_000)), (2, prose(rng, 50)), (3, "x" * 500_000 + " " + prose(rng, 200))])
+    for _, stage in corpus_pipeline.STAGES[1:]:
+        long = stage(spark, long, str(tmp_path))
+    assert {r["doc_id"] for r in long.collect()} == {1, 2, 3}
+
+
+def test_only_the_last_stage_is_left_behind(spark, tmp_path):
+    make(spark, str(tmp_path))
+    found = corpus_pipeline.run(spark, str(tmp_path))
+    folder = os.path.dirname(os.path.dirname(found.inputFiles()[0].removeprefix("file://")))
+    assert os.listdir(folder) == ["4"]
