@@ -52,12 +52,13 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = (3.0, 1.0, 2.0),
     """
     ranked = running_sums(sizes, [F.col("source").asc_nulls_last()], {"rank": F.lit(1)})
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.col("rank"), F.lit(len(weights))) + 1).cast("int"))
-    rows = ranked.drop("rank").withColumn("weight", weight).withColumn("cap", F.col("source_size").cast("double") * max_epochs).withColumn("ratio", F.col("cap") / F.col("weight"))
+    rows = ranked.withColumn("weight", weight).drop("rank").withColumn("cap", F.col("source_size").cast("double") * max_epochs).withColumn("ratio", F.col("cap") / F.col("weight"))
     summed = running_sums(rows, [F.col("ratio"), F.col("source").asc_nulls_last()], {"capped_before": F.col("cap"), "weight_before": F.col("weight")})
     budget, all_weight = rows.agg((F.sum("source_size") * F.lit(share)), F.sum("weight")).first()
     summed = cut(summed.withColumn("level", (F.lit(budget) - F.col("capped_before")) / (F.lit(all_weight) - F.col("weight_before"))))
     # The first source, in that order, whose cap is not below its share sets the level; those before are at their cap.
-    first = summed.where(F.col("cap") >= F.col("level") * F.col("weight")).agg(F.min(F.struct("ratio", "level")).alias("first")).select("first.level").first()[0]
+    # Of sources that tie in their ratio the first has the highest level.
+    first = summed.where(F.col("cap") >= F.col("level") * F.col("weight")).agg(F.min(F.struct(F.col("ratio"), -F.col("level"), F.col("level").alias("level"))).alias("first")).select("first.level").first()[0]
     target = F.col("cap") if first is None else F.least("cap", F.lit(first) * F.col("weight"))
     return summed.select("source", "source_size", target.alias("target"))
 

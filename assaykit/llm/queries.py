@@ -168,7 +168,7 @@ levels AS (
   SELECT *, cap / weight AS ratio,
          (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(cap) OVER earlier, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER earlier, 0)) AS level
   FROM weighed WINDOW earlier AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-chosen AS (SELECT arg_min(level, ratio) AS l FROM levels WHERE cap >= level * weight),
+chosen AS (SELECT (SELECT level FROM levels WHERE cap >= level * weight ORDER BY ratio, level DESC LIMIT 1) AS l),
 targets AS (SELECT source, source_size, CASE WHEN l IS NULL OR cap <= l * weight THEN cap ELSE l * weight END AS target FROM weighed, chosen),
 plan AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS full_epochs FROM targets),
 placed AS (
