@@ -9,16 +9,18 @@ of the last four words selects a bucket of windows, and those are compared word
 
 The search runs over a few megabytes of texts at a time, cut into lanes that skip independently, one numpy step for
 all lanes. Compiled windows are broadcast in shards of at most ``shard_bytes`` of benchmark text, used one after the
-other, so neither a task nor the driver holds more than one shard's windows beside the list of shards.
+other, so neither a task nor the driver holds more than one shard's windows beside the list of shards. At most
+``broadcast_bytes`` of benchmark text are broadcast at a time: of a larger benchmark the documents are searched for one
+group of shards after the other, and what each pass has found is put together by id and text.
 
 Defined cases: a null text has no words; an item without words (or null) has no windows; an item is contaminated
 with each id once, however often rows repeat it, and a null item_id counts as the empty string; repeated documents
-each get their row; empty tables give no rows, or rows without hits.
+each get their row; a very long text is a block of its own, read whole; empty tables give no rows, or rows without
+hits. Other columns are not read, so their names can't clash.
 """
 
 from __future__ import annotations
 
-import hashlib
 from itertools import repeat
 
 import numpy as np
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assaykit.llm.common import received, share, text_batches, text_hash
+from assaykit.llm.common import cut, received, share, text_batches, text_hash
 from assaykit.llm.exchange import documents_in_blocks
 from assaykit.llm.memory import lean
 
@@ -35,7 +37,8 @@ FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <=
 TABLE_BITS = 18
 LANE = 1024
 SUFFIX = 4
-RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>"
+#: hit: ranges of words that windows cover.
+FOUND = "doc_id long, text_hash long, n_words long, hit array<struct<start:int,end:int>>, items array<string>"
 
 
 def words_of(raw: bytes | None) -> list[bytes]:
@@ -120,9 +123,10 @@ def find_contamination(
     item_text: str = "text",
     block_bytes: int = 4 << 20,
     shard_bytes: int = 8 << 20,
+    broadcast_bytes: int = 64 << 20,
     keyed: bool = False,
 ) -> DataFrame:
-    """A row of RESULT for each document; items holds the ids of the items with occurring windows, sorted.
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated and items of each document; items holds the ids of the items with occurring windows, sorted.
 
     keyed adds text_hash, the xxhash64 of the row's text, which tells rows without an id, or with the same, apart.
     """
@@ -130,10 +134,46 @@ def find_contamination(
     rows = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).cast("string").alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_shards = -(-total // shard_bytes)
-    shards = []
-    for k in range(n_shards):
+
+    def compiled(k: int):
         part = rows if n_shards == 1 else rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(n_shards)) == k)
-        shards.append(share(session, compile_items([(r["item"], r["text"]) for r in part.toLocalIterator()], window)))
+        return share(session, compile_items([(r["item"], r["text"]) for r in part.toLocalIterator()], window))
+
+    picked = text_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    at_once = max(1, broadcast_bytes // shard_bytes)
+    if n_shards <= at_once:
+        found = picked.mapInArrow(lean(_searching([compiled(k) for k in range(n_shards)], block_bytes)), FOUND)
+    else:
+        found = None
+        for at in range(0, n_shards, at_once):
+            shards = [compiled(k) for k in range(at, min(n_shards, at + at_once))]
+            one = cut(picked.mapInArrow(lean(_searching(shards, block_bytes)), FOUND).where(F.size("items") > 0))
+            for shard in shards:
+                shard.destroy()
+            found = one if found is None else found.unionByName(one)
+        hits = found.groupBy(F.col("doc_id").alias("i"), F.col("text_hash").alias("h")).agg(*[F.flatten(F.collect_set(c)).alias(c) for c in ("hit", "items")])
+        sizes = picked.mapInArrow(lean(_searching([], block_bytes)), FOUND).drop("hit", "items")
+        same = F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("text_hash") == F.col("h"))
+        nothing = [F.coalesce(c, F.array().cast(kind)).alias(c) for c, kind in (("hit", "array<struct<start:int,end:int>>"), ("items", "array<string>"))]
+        found = sizes.join(hits, same, "left").select("doc_id", "text_hash", "n_words", *nothing)
+    # Of ranges in their order each adds what the ones before haven't covered.
+    empty = F.struct(F.lit(0).alias("n"), F.lit(0).alias("upto"))
+    add = lambda seen, r: F.struct((seen["n"] + F.greatest(F.lit(0), r["end"] - F.greatest(r["start"], seen["upto"]))).alias("n"), F.greatest(seen["upto"], r["end"]).alias("upto"))
+    out = found.withColumn("items", F.array_sort(F.array_distinct("items"))).withColumn("n_hit", F.aggregate(F.array_sort("hit"), empty, add)["n"].cast("long"))
+    return out.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+        "items",
+        *["text_hash"] * keyed,
+    )
+
+
+def _searching(shards: list, block_bytes: int):
+    """A function from batches of (id, text) to rows of FOUND, with what the shards' windows hit."""
 
     def run(batches):
         single = received(shards[0]) if len(shards) == 1 else None
@@ -159,20 +199,14 @@ def find_contamination(
                         found[d].update(items[h])
                 if len(shards) > 1:
                     shard.__dict__.pop("_value", None)  # read again, from the worker's own file, when needed
-            hits = np.add.reduceat(np.cumsum(cover[:-1]) > 0, first, dtype=np.int64) if len(ids) else n_words
-            lists = [sorted(f) for f in found]
+            edges = np.flatnonzero(np.diff(np.cumsum(cover) > 0, prepend=False))
+            start, end = edges[0::2], edges[1::2]
+            doc = np.searchsorted(first, start, side="right") - 1
+            ends = pa.array(np.searchsorted(doc, np.arange(len(ids) + 1)), pa.int32())
+            ranges = pa.StructArray.from_arrays([pa.array(start - first[doc], pa.int32()), pa.array(end - first[doc], pa.int32())], ["start", "end"])
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(ids, pa.int64()),
-                    pa.array(n_words),
-                    pa.array(hits),
-                    pa.array([len(x) for x in lists], pa.int64()),
-                    pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in lists]),
-                    pa.array(hits > 0),
-                    pa.array(lists, pa.list_(pa.string())),
-                    *([pa.array(map(text_hash, texts), pa.int64())] if keyed else []),
-                ],
-                names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", *(["text_hash"] if keyed else [])],
+                [pa.array(ids, pa.int64()), pa.array(map(text_hash, texts), pa.int64()), pa.array(n_words), pa.ListArray.from_arrays(ends, ranges), pa.array([sorted(f) for f in found], pa.list_(pa.string()))],
+                names=["doc_id", "text_hash", "n_words", "hit", "items"],
             )
 
-    return text_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(lean(run), RESULT + ", text_hash long" * keyed)
+    return run

@@ -33,8 +33,8 @@ def brute(rows, items, window=10):
     return sorted(map(str, out))
 
 
-@pytest.mark.parametrize("shard", [60, 1 << 23])
-def test_matches_brute_force(spark, shard):
+@pytest.mark.parametrize(("shard", "at_once"), [(60, 64 << 20), (200, 500), (1 << 23, 64 << 20)])
+def test_matches_brute_force(spark, shard, at_once):
     rng = random.Random(1)
     items = [(i, prose(rng, rng.choice([1, 2, 3, 5, 9, 10, 11, 30]), 40)) for i in range(25)] + [(3, "same Same WORDS here"), (100, None), (101, " ?! "), (102, "é-à_ß1"), (None, "nobody knows"), (103, "of the")]
     rows = []
@@ -45,8 +45,9 @@ def test_matches_brute_force(spark, shard):
             a = rng.randint(0, 3)
             parts += [rng.choice([" ", ", ", "\n", "--"]).join(v[a : a + rng.randint(1, 20)]).upper(), prose(rng, rng.randint(0, 5), 60)]
         rows.append((i % 70, " ".join(parts)))
-    rows += [(200, None), (201, ""), (202, "!!"), (None, "Nobody knows of the"), (203, " ".join(["x"] * 4000 + ["nobody", "KNOWS"]))]
-    got = find_contamination(docs(spark, rows), spark.createDataFrame(items, ITEMS), shard_bytes=shard, block_bytes=900)
+    rows += rows[:5]
+    rows += [(None, rows[3][1]), (200, None), (201, ""), (202, "!!"), (None, "Nobody knows of the"), (203, " ".join(["x"] * 4000 + ["nobody", "KNOWS"]))]
+    got = find_contamination(docs(spark, rows), spark.createDataFrame(items, ITEMS), shard_bytes=shard, broadcast_bytes=at_once, block_bytes=900)
     assert sorted(map(str, map(tuple, got.drop("items").collect()))) == brute(rows, items)
 
 
