@@ -14,8 +14,8 @@ need no corpus. Every row is scored on its whole text. The model, a few megabyte
 
 Defined cases: a null or empty text has a pooled vector of zeros and gets the score that the network gives to that;
 a null id counts as held out; with labels of one kind, or none, all scores are that kind's share (0.5 without any);
-of repeated ids in the labels the lowest label counts; repeated rows are scored alike; a very long text is pooled at
-once, alone; an empty table gives an empty result. Other columns are kept unless they clash with those added, which win.
+of repeated ids in the labels the lowest label counts; repeated rows are scored alike; a very long text is cut
+into words at once, alone, and pooled in steps; an empty table gives an empty result. Other columns are kept unless they clash with those added, which win.
 """
 
 from __future__ import annotations
@@ -47,6 +47,8 @@ _RUN = re.compile(rb"(.)\1+", re.DOTALL)
 MOST_KNOWN = 150_000
 #: Bytes of texts whose words are turned into vectors at once.
 PIECE = 1 << 18
+#: Words whose vectors are held at once.
+STEP = 1 << 16
 NAMES = ("score", "predicted", "held_out")
 
 
@@ -102,10 +104,11 @@ def word_vectors(texts: DataFrame, index: np.ndarray) -> np.ndarray:
                 words, _, n = slots.read(some)
                 of = np.repeat(np.arange(len(n)), n)
                 for d in range(1, NEIGHBOURS + 1):
-                    near = np.flatnonzero(of[d:] == of[:-d])
-                    for own, other in ((words[near + d], words[near]), (words[near], words[near + d])):
-                        at = (own[:, None] * DIM + places[other]).ravel()
-                        total += np.bincount(at, weights=signs[other].ravel(), minlength=len(total))
+                    pairs = np.flatnonzero(of[d:] == of[:-d])
+                    for near in (pairs[i : i + STEP] for i in range(0, len(pairs), STEP)):
+                        for own, other in ((words[near + d], words[near]), (words[near], words[near + d])):
+                            at = (own[:, None] * DIM + places[other]).ravel()
+                            total += np.bincount(at, weights=signs[other].ravel(), minlength=len(total))
         return total
 
     total = sum_arrays(texts, count, WORD_SLOTS * DIM, np.float32).reshape(WORD_SLOTS, DIM)
@@ -122,12 +125,13 @@ def pooled(texts: list[bytes | None], slots: Slots, vectors: np.ndarray, shape_i
     for some in some_texts(texts):
         words, shapes, n = slots.read(some)
         x = np.zeros((len(some), FEATURES), np.float32)
-        full = np.flatnonzero(n)
-        starts = (np.cumsum(n) - n)[full]
-        if len(full):
-            x[full, :DIM] = np.add.reduceat(vectors[words], starts, axis=0) / n[full, None]
-            x[full, DIM:] = np.add.reduceat(shape_index[shapes], starts, axis=0) / n[full, None]
-        out.append(x)
+        of = np.repeat(np.arange(len(some)), n)
+        for i in range(0, len(of), STEP):
+            own = of[i : i + STEP]
+            starts = np.flatnonzero(np.diff(own, prepend=-1))
+            x[own[starts], :DIM] += np.add.reduceat(vectors[words[i : i + STEP]], starts, axis=0)
+            x[own[starts], DIM:] += np.add.reduceat(shape_index[shapes[i : i + STEP]], starts, axis=0)
+        out.append(x / np.maximum(n, 1)[:, None].astype(np.float32))
     return np.concatenate(out)
 
 

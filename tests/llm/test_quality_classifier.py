@@ -71,9 +71,10 @@ def test_slots_and_temperature():
     assert net.temperature > 0 and net.constant is None
 
 
-@pytest.mark.parametrize("piece", [1, 60, 1 << 18])
-def test_vectors_and_pooling_match_brute_force(spark, monkeypatch, piece):
+@pytest.mark.parametrize(("piece", "step"), [(1, 1 << 16), (60, 3), (1 << 18, 7)])
+def test_vectors_and_pooling_match_brute_force(spark, monkeypatch, piece, step):
     monkeypatch.setattr(quality_classifier, "PIECE", piece)
+    monkeypatch.setattr(quality_classifier, "STEP", step)
     texts = [None, "", " \n", "one", "a b", "A b a B c!! 12 a b", *(t for _, t in corpus(3, 25) if t)]
     index, shape_index = index_vectors(WORD_SLOTS, 7), index_vectors(SHAPE_SLOTS, 8)
     want = np.zeros((WORD_SLOTS, DIM))
