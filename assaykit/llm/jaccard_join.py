@@ -56,6 +56,8 @@ LEAF = 4
 MOST_PIVOTS = 16
 #: Pivots of large regions are broadcast up to so many shingles, of eight bytes each.
 BROADCAST_SHINGLES = 4_000_000
+#: A small row of each large region is broadcast up to so many of them.
+MOST_REGIONS = 100_000
 
 
 def allowed(n: np.ndarray | int, percent: int):
@@ -273,8 +275,12 @@ def _labels(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32()))], names=["r", "label"])
 
 
-def _split(sets: DataFrame, percent: int, pivots: int, depth: int) -> tuple[DataFrame, DataFrame]:
-    """(links with pivots, what is still to be compared: Voronoi cells, or the region where cells would not be smaller)."""
+def _split(sets: DataFrame, percent: int, pivots: int, depth: int, few: bool) -> tuple[DataFrame, DataFrame]:
+    """(links with pivots, what is still to be compared: Voronoi cells, or the region where cells would not be smaller).
+
+    few: whether the regions are few enough for a broadcast of a small row for each.
+    """
+    row_each = F.broadcast if few else (lambda df: df)
     chosen = [F.min_by(F.struct("class", "shingles"), F.xxhash64("class", F.lit(depth), F.lit(i))).alias(f"p{i}") for i in range(pivots)]
     some = sets.where("active").groupBy("region").agg(*chosen).select(F.col("region").alias("r"), F.posexplode(F.array(*[f"p{i}" for i in range(pivots)])).alias("k", "pivot"))
     # A row for each region, with its few pivots.
@@ -291,7 +297,7 @@ def _split(sets: DataFrame, percent: int, pivots: int, depth: int) -> tuple[Data
     measured = cut(measured.drop("pivots", "r"))
     # Pivots are one group if a document is in the balls of both; at most 2^pivots arrays a region.
     labels = measured.where(F.size("balls") > 0).groupBy("region").agg(F.collect_set("balls").alias("together")).mapInArrow(lean(_labels), "r binary, label array<int>")
-    measured = measured.join(small_side(cut(labels), 100_000), F.col("region") == F.col("r")).drop("r")
+    measured = measured.join(row_each(labels), F.col("region") == F.col("r")).drop("r")
     mine = F.transform("balls", lambda k: F.get("label", k))
     unsettled = F.exists("to", lambda t: t["ring"] & ~t["ball"] & ~F.array_contains(mine, F.get("label", t["k"])))
     home = F.array_min(F.transform("to", lambda t: F.struct(t["d"].alias("d"), t["k"].alias("k"))))
@@ -301,7 +307,7 @@ def _split(sets: DataFrame, percent: int, pivots: int, depth: int) -> tuple[Data
     placed = cut(placed.withColumn("within", F.transform(F.filter("to", lambda t: t["d"] <= F.col("home.d") + reach), lambda t: t["k"])).select("region", "class", "shingles", "live", F.col("home.k").alias("own"), "within", F.transform(F.filter("to", lambda t: t["ball"]), lambda t: t["pivot"]).alias("tied")))
     links = placed.select(F.col("class").alias("x"), F.explode("tied").alias("y")).where("x <> y")
     open_ones = placed.groupBy("region").agg(F.bool_or("live").alias("open"), (F.sum(F.size("within")) > 1.5 * F.count(F.lit(1))).alias("whole")).where("open").select(F.col("region").alias("r"), "whole")
-    cells = placed.join(small_side(cut(open_ones), 100_000), F.col("region") == F.col("r"))
+    cells = placed.join(row_each(open_ones), F.col("region") == F.col("r"))
     cells = cells.withColumn("k", F.explode(F.when(F.col("whole"), F.array(F.lit(-1))).otherwise(F.col("within"))))
     cells = cells.select(_cell("region", F.col("k"), F.lit(depth)).alias("cell"), "class", "shingles", (F.col("live") & (F.col("whole") | (F.col("k") == F.col("own")))).alias("active"))
     return links, cut(_open(cells))
@@ -328,7 +334,8 @@ def join_regions(sets: DataFrame, *, percent: int, most: int, pivots: int = 8, d
     for depth in range(depths + 1):
         sizes = cut(rest.groupBy("region").agg(F.sum(F.size("shingles")).alias("total")))
         large = sizes.where(F.col("total") > most)
-        if large.isEmpty():
+        n_large = large.limit(MOST_REGIONS + 1).count()
+        if not n_large:
             found.append(_join_regions(rest, percent, counter))
             break
         found.append(_join_regions(rest.join(large, "region", "left_anti"), percent, counter))
@@ -336,7 +343,7 @@ def join_regions(sets: DataFrame, *, percent: int, most: int, pivots: int = 8, d
         if depth == depths:
             found.append(_join_regions(_blocks(rest, large, most), percent, counter))
             break
-        links, rest = _split(rest, percent, pivots, depth)
+        links, rest = _split(rest, percent, pivots, depth, n_large <= MOST_REGIONS)
         found.append(links)
     out = found[0]
     for f in found[1:]:
@@ -364,7 +371,7 @@ def jaccard_groups(
     doc_id: str = "doc_id",
     text: str = "text",
     block_bytes: int = 2 << 20,
-    most: int = 200_000,
+    most: int = 2_000_000,
     pivots: int = 8,
     depths: int = 4,
     rounds: int = 2,
