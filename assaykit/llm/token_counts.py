@@ -70,9 +70,9 @@ class PreTokens:
 class _Counts(dict):
     """Pieces of pre-tokens, remembered for those of late."""
 
-    def __init__(self, definition: str, most: int):
+    def __init__(self, library: Tokenizer, most: int):
         super().__init__()
-        self.model, self.letters, self.most = Tokenizer.from_str(definition).model, byte_alphabet(), most
+        self.model, self.letters, self.most = library.model, byte_alphabet(), most
 
     def __missing__(self, token: str) -> int:
         if len(self) >= self.most:
@@ -83,7 +83,8 @@ class _Counts(dict):
 
 def token_counter(definition: str, most: int = 200_000) -> Callable[[str], int]:
     """A function that counts the tokens of a text, one at a time, within a task."""
-    pre_tokens, counts = PreTokens(definition), _Counts(definition, most)
+    pre_tokens = PreTokens(definition)
+    counts = _Counts(pre_tokens.library, most)
 
     def count(text: str) -> int:
         found, specials = pre_tokens(text.encode())
